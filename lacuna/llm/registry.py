@@ -1,8 +1,19 @@
 """Queries of the training-data operators, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import simhash
+from . import chat, decision_list, html_tree, reputation, simhash, warc, winnowing
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op3_chat": chat.op3_chat,
+    "op4_html": html_tree.op4_html,
+    "op5_rules": decision_list.op5_rules,
+    "op8_winnowing": winnowing.op8_winnowing,
+    "op9_reputation": reputation.op9_reputation,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_warc": warc.ORACLE_SQL,
+    "op3_chat": chat.ORACLE_SQL,
+    "op8_winnowing": winnowing.ORACLE_SQL,
+    "op9_reputation": reputation.ORACLE_SQL,
+}
