@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one kernel call handles at a time (a longer text is handled alone).
 CHUNK_BYTES = 2 << 20
@@ -41,6 +42,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def least_hash_rows(df: DataFrame, id_col: str, rows: int, seed: int, *ties: str) -> list[Row]:
+    """At most `rows` rows of df, those of least hash of the id (then by `ties`): the same at every partitioning.
+
+    df is counted first, so that tasks pass on about twice the rows asked for, however many tasks there are.
+    """
+    order, total = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), df.count()
+    at = df.withColumn("_order", order)
+    if total > 4 * rows:
+        at = at.where(F.col("_order") < int(-(2**63) + 2**64 * (2 * rows / total)))
+    return at.orderBy("_order", *ties).drop("_order").limit(rows).collect()
+
+
 def text_slices(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of batch of about limit text bytes: (rows, bytes of the column, offsets into them). Null is empty."""
     col = batch.column(column)

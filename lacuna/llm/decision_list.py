@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import least_hash_rows, materialise, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -157,9 +157,9 @@ def verdict(rules: Sequence[Sequence[Condition]]) -> Column:
 def labelled_sample(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[dict, bool]]:
     """At most `rows` labelled statistics that pass the base rules, those of least hash of the id; labels has columns id and good (null: none)."""
     at = stats.where(~base_failed()).join(labels.where("good IS NOT NULL"), "id")
-    at = at.select(*[c.alias(k) for k, c in ratios().items()], (F.col("good") == 0).alias("bad"), F.xxhash64(F.col("id").cast("string")).alias("order"))
+    at = at.select("id", *[c.alias(k) for k, c in ratios().items()], (F.col("good") == 0).alias("bad"))
     names = list(ratios())
-    return [({k: r[k] for k in names}, r["bad"]) for r in at.orderBy("order", *names, "bad").limit(rows).collect()]
+    return [({k: r[k] for k in names}, r["bad"]) for r in least_hash_rows(at, "id", rows, 1, *names, "bad")]
 
 
 def quality_rules(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[tuple[Condition, ...]]]:

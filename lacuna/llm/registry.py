@@ -1,12 +1,15 @@
 """Queries of the training-data operators, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import chat, decision_list, html_tree, reputation, simhash, warc, winnowing
+from . import chat, decision_list, html_tree, pieces, pu_quality, reputation, simhash, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_pieces": pieces.op2_pieces,
     "op3_chat": chat.op3_chat,
     "op4_html": html_tree.op4_html,
     "op5_rules": decision_list.op5_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality": pu_quality.op7_quality,
     "op8_winnowing": winnowing.op8_winnowing,
     "op9_reputation": reputation.op9_reputation,
     "op10_simhash": simhash.op10_simhash,
