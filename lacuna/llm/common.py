@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +42,30 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def least_hash_rows(df: DataFrame, id_col: str, rows: int, seed: int, *ties: str) -> list[Row]:
+def least_hash_rows(df: DataFrame, id_col: str, rows: int, seed: int, *ties: str, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[Row]:
     """At most `rows` rows of df, those of least hash of the id (then by `ties`): the same at every partitioning.
 
     df is counted first, so that tasks pass on about twice the rows asked for, however many tasks there are.
+    `then` (which keeps the id) turns the rows that may be chosen into those returned.
     """
-    order, total = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), df.count()
-    at = df.withColumn("_order", order)
+    total, order = df.count(), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
     if total > 4 * rows:
-        at = at.where(F.col("_order") < int(-(2**63) + 2**64 * (2 * rows / total)))
-    return at.orderBy("_order", *ties).drop("_order").limit(rows).collect()
+        df = df.where(order < int(-(2**63) + 2**64 * (2 * rows / total)))
+    return then(df).withColumn("_order", order).orderBy("_order", *ties).drop("_order").limit(rows).collect()
+
+
+def filter_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.RecordBatch, int], np.ndarray]]) -> DataFrame:
+    """The rows of df, all columns as they are, for which a function of (batch, place of the text column) is true; `make` gives one to each task."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            if len(batch):
+                yield batch.filter(pa.array(keep(batch, at)))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def text_slices(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

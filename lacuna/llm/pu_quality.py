@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, byte_class, least_hash_rows, materialise, small_batches, table, text_slices, word_spans
+from .common import NOT_SPACE, byte_class, filter_texts, least_hash_rows, small_batches, table, text_slices, word_spans
 from .toxicity import remainder
 from .winnowing import gram_hashes
 
@@ -185,31 +185,55 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7)
     return float(np.clip((above_u / above_p + margin / above_p).min() - margin, 0.05, 0.98))
 
 
+class Judge:
+    """Scores of texts: the network's output over the level that scores 0.5."""
+
+    def __init__(self, net: Network | None, half: float = 0.0):
+        self.net, self.half = net, half
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.full(len(x), 0.5) if self.net is None else _sigmoid(self.net(x) - self.half)
+
+    def score(self, batch: pa.RecordBatch, column: int) -> np.ndarray:
+        parts = [self(text_features(data, offsets)) for _, data, offsets in text_slices(batch, column)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def train_judge(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> Judge:
+    """The classifier from positives that labels (id, quality) marks 1 outside the held-out fold, and unlabelled rows of all of df.
+
+    Both samples hold at most sample_rows rows, those of least hash; with fewer than four of either every score is 0.5.
+    """
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    trusted = labels.where((F.col("quality") == 1) & (remainder(F.col("id"), folds) != held_out)).select("id").distinct()
+    draw = lambda t: np.array([r.x for r in least_hash_rows(t, "id", sample_rows, 5, "x", then=features)], np.float64).reshape(-1, len(NAMES))
+    positive, unlabelled = draw(src.join(trusted, "id", "left_semi")), draw(src)
+    if min(len(positive), len(unlabelled)) < 4:
+        return Judge(None)
+    net = fit_pu(positive, unlabelled, estimate_prior(positive, unlabelled))
+    return Judge(net, level(net, positive))
+
+
 def quality(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(id, held_out, score), one row per row of df; score in (0, 1), higher is likelier good.
 
-    labels has columns id and quality; only ids marked 1 are used, as trusted positives, and only where crc32(id) mod folds isn't held_out. Unlabelled rows are
-    drawn from all of df. Both samples hold at most sample_rows rows, those of least hash. Features of all texts are
-    written once, then scored. Null and empty texts have features 0 and the score of that. The thousandth part of the trusted positives with the least output ends at 0.5 (level()). With fewer than four positives every score is 0.5.
+    held_out: crc32(id) mod folds is held_out; the labels of such rows teach nothing. Whole texts are scored, null and empty ones as features of 0. The
+    thousandth part of the trusted positives with the least output ends at 0.5.
     """
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    table_ = materialise(features(src))
-    kind, dim = src.schema["id"].dataType.simpleString(), len(NAMES)
-    out_fold = F.coalesce(remainder(F.col("id"), folds) == held_out, F.lit(False))
-    draw = lambda t: np.array([r.x for r in least_hash_rows(t, "id", sample_rows, 5, "x")], np.float64).reshape(-1, dim)
-    trusted = labels.where((F.col("quality") == 1) & ~out_fold).select("id").distinct()
-    positive, unlabelled = draw(table_.join(trusted, "id", "left_semi")), draw(table_)
-    net, half = None, 0.0
-    if min(len(positive), len(unlabelled)) >= 4:
-        net = fit_pu(positive, unlabelled, estimate_prior(positive, unlabelled))
-        half = level(net, positive)
+    judge = train_judge(df, labels, id_col, text_col, folds, held_out, sample_rows)
+    src = df.select(F.col(id_col).alias("id"), (remainder(F.col(id_col), folds) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(2).flatten(), np.float64).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.full(len(x), 0.5) if net is None else _sigmoid(net(x) - half))], ["id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(judge.score(batch, 2))], ["id", "held_out", "score"])
+
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, held_out boolean, score double")
+
 
-    return table_.select("id", out_fold.alias("held_out"), "x").mapInArrow(run, f"id {kind}, held_out boolean, score double")
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, cut: float = CUT) -> DataFrame:
+    """The rows of df whose score is at least cut, all columns as they are."""
+    judge = train_judge(df, labels, id_col, text_col)
+    return filter_texts(df, text_col, lambda: lambda batch, at: judge.score(batch, at) >= cut)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,21 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = 4,
     return near_duplicate_components(materialise(simhash(df, id_col, text_col, shingle, seed)), distance)
 
 
+def keep_one_per_group(df: DataFrame, id_col: str, text_col: str, shingle: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
+    """The rows of df that stand for their component: one each, of the least id (then text hash), all columns as they are.
+
+    Rows are told apart by id and text, so repeated and null ids do no harm; of rows equal in both one stays.
+    """
+    key = F.struct(F.col(id_col).alias("a"), F.xxhash64(F.col(text_col)).alias("b"))
+    found = materialise(near_duplicates(df.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", shingle, seed, distance))
+    stays = found.where("id = component").select(F.col("id.a").alias("_a"), F.col("id.b").alias("_b"))
+    keys = stays.distinct()
+    out = df.join(keys, df[id_col].eqNullSafe(keys["_a"]) & (F.xxhash64(df[text_col]) == keys["_b"]), "left_semi")
+    if stays.count() == keys.count():
+        return out
+    return out.withColumn("_b", F.xxhash64(text_col)).dropDuplicates([id_col, "_b"]).drop("_b")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

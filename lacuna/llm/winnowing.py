@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, materialise, small_batches, table, text_slices, word_spans
+from .common import LOWER, byte_class, filter_texts, materialise, small_batches, table, text_slices, word_spans
 
 #: Words are runs of digits, letters and non-ASCII characters (after A-Z are lower-cased).
 WORD_BYTES = byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -261,6 +261,28 @@ def is_contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
+def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, span: int = SPAN, gram: int = GRAM, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of df that aren't contaminated (is_contaminated), all columns as they are."""
+    known = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    if (known.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0) > index_bytes:
+        found = contamination(df.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).distinct(), items, "h", "t", item_col, item_text_col, span, gram, index_bytes)
+        bad = found.where(is_contaminated()).select(F.col("id").alias("_contaminated"))
+        return df.join(bad, F.xxhash64(df[text_col]) == bad["_contaminated"], "left_anti")
+    index = Index([tuple(r) for r in known.collect()], span, gram)
+
+    def keep(batch: pa.RecordBatch, at: int) -> np.ndarray:
+        parts = [np.zeros(0, bool)]
+        for _, data, offsets in text_slices(batch, at):
+            first, found = index.candidates(data, offsets)
+            hit = np.zeros(len(first) - 1, np.int64)
+            for d, hits in found.items():
+                hit[d] = covered([s[1:] for s in index.spans(WORD.findall(LOWER[data[offsets[d] : offsets[d + 1]]].tobytes()), hits)])
+            parts.append(~((hit > 0) & (20 * hit >= np.diff(first))))
+        return np.concatenate(parts)
+
+    return filter_texts(df, text_col, lambda: keep)
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
