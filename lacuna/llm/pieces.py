@@ -289,6 +289,9 @@ def _encode_small(path: str):
     return run
 
 
+_CHUNK = pa.schema([("row", pa.int64()), ("no", pa.int32()), ("text", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("last", pa.bool_())])
+
+
 def _cut(path: str, chunk: int):
     """Rows (row, text) -> chunks (row, no, text with a margin on both sides, from, to), places within that text."""
 
@@ -300,7 +303,7 @@ def _cut(path: str, chunk: int):
                 for no, lo in enumerate(range(0, len(s), chunk)):
                     begin = max(0, lo - model.longest)
                     part = s[begin : lo + chunk + model.longest]
-                    yield pa.RecordBatch.from_pydict({"row": [row], "no": [no], "text": [part], "a": [lo - begin], "b": [min(lo + chunk, len(s)) - begin], "last": [lo + chunk >= len(s)]})
+                    yield pa.RecordBatch.from_pylist([{"row": row, "no": no, "text": part, "a": lo - begin, "b": min(lo + chunk, len(s)) - begin, "last": lo + chunk >= len(s)}], schema=_CHUNK)
 
     return run
 
