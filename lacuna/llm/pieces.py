@@ -11,15 +11,18 @@ fixes the states at every border; then every chunk traces its own path back.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +85,9 @@ class Pieces:
         self.out = [b"" if sp.is_control(i) or i == self.unknown else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in n]
         self.out[self.unknown] = " ⁇ ".encode()
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        #: Neighbouring characters that some piece holds; no piece crosses between others.
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.plain = pa.array(self.out, pa.binary())
         #: Runs that no piece crosses: a word with the blanks before it.
         self.segments = None if inner else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -118,8 +124,18 @@ class Pieces:
         return [self.bytes[b] for b in piece.encode()] if self.fallback else [self.unknown]
 
     def decode(self, ids) -> str:
-        text = b"".join([self.out[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_all(self, ids: pa.ListArray) -> list[str]:
+        """The text of each list of ids; a null list is empty, a null id is skipped."""
+        flat = ids.flatten()
+        parts = self.plain.take(flat)
+        lengths = pc.fill_null(pc.binary_length(parts), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        raw = b"".join(parts.drop_null().to_pylist()) if parts.null_count else _joined(parts)
+        cuts = ends[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))]
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        return [t[1:] if self.prefix and t.startswith(" ") else t for t in texts]
 
     def steps(self, text: str, at: int, last: str) -> list[tuple[int, str, str, float]]:
         """(position, piece to remember, piece, weight) of each step from a state."""
@@ -253,8 +269,10 @@ class Encoder(dict):
         self.model = model
 
     def __missing__(self, segment: str) -> bytes:
+        if len(segment) > 2 and segment[-1] in ".,!?;:" and segment[-2:] not in self.model.joined:
+            return self[segment[:-1]] + self[segment[-1]]
         ids = [i for piece in self.model.solve(segment) for i in self.model.token(piece)]
-        packed = np.array(ids, np.int32).tobytes()
+        packed = array("i", ids).tobytes()
         if len(segment) <= CACHED_LENGTH:
             if len(self) > CACHE:
                 self.clear()
@@ -272,6 +290,21 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, parts))
 
 
+def _joined(parts: pa.BinaryArray) -> bytes:
+    """All values of an array without nulls, one after the other."""
+    if not len(parts):
+        return b""
+    _, offsets, data = parts.buffers()
+    at = np.frombuffer(offsets, np.int32)[parts.offset : parts.offset + len(parts) + 1]
+    return data[int(at[0]) : int(at[-1])].to_pybytes() if data is not None else b""
+
+
+@functools.lru_cache(maxsize=4)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks that a worker process runs."""
+    return Encoder(load(path))
+
+
 def _id_lists(packed: list[bytes]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
@@ -279,7 +312,7 @@ def _id_lists(packed: list[bytes]) -> pa.Array:
 
 def _encode_small(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(path))
+        encoder = encoder_of(path)
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
@@ -296,7 +329,7 @@ def _cut(path: str, chunk: int):
     """Rows (row, text) -> chunks (row, no, text with a margin on both sides, from, to), places within that text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        model = encoder_of(path).model
         for batch in batches:
             for row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = model.surface(text)
@@ -346,7 +379,7 @@ def _matrices(path: str):
     """Chunks -> (row, no, matrix): the states as offsets from the chunk's borders, and the weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        model = encoder_of(path).model
         for batch in batches:
             out = []
             for x in batch.to_pylist():
@@ -384,7 +417,7 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _trace_chunks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(path))
+        encoder = encoder_of(path)
         model = encoder.model
         for batch in batches:
             packed = []
@@ -424,9 +457,9 @@ def decode(df: DataFrame, id_col: str, ids_col: str, path: str = MODEL) -> DataF
     src = df.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        model = encoder_of(path).model
         for batch in batches:
-            texts = [model.decode([i for i in ids or () if i is not None]) for ids in batch.column(1).to_pylist()]
+            texts = model.decode_all(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, text string")
@@ -437,10 +470,10 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(MODEL)
+        model = encoder_of(MODEL).model
         for batch in batches:
             ids = batch.column(1)
-            texts = [model.decode(x) for x in ids.to_pylist()]
+            texts = model.decode_all(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])], ["doc_id", "n_tokens", "token_ids", "decoded_chars", "decoded_sha256"])
 
     return found.mapInArrow(run, f"doc_id {found.schema['id'].dataType.simpleString()}, n_tokens long, token_ids array<int>, decoded_chars long, decoded_sha256 string")
