@@ -1,4 +1,6 @@
-"""The queries of the engine's own operators, by name, and their DuckDB oracles."""
+"""The queries of the engine's own operators, by name, and their DuckDB oracles. Names start with the operator they show."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import entropy, ledger, recovery
+
+QUERIES = {**entropy.QUERIES, **recovery.QUERIES, **ledger.QUERIES}
+ORACLES = {**entropy.ORACLES, **recovery.ORACLES, **ledger.ORACLES}
