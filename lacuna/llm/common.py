@@ -36,6 +36,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids and labels that are sent to every task at most (some tens of MB); more are joined by a shuffle.
+SENT_ROWS = 1_000_000
+
+
+def join_narrow(texts: DataFrame, narrow: DataFrame, on: str, how: str = "inner", sent_rows: int = SENT_ROWS) -> DataFrame:
+    """texts joined with a narrow table, which is counted first: up to sent_rows rows are broadcast, so that texts stay where they are."""
+    return texts.join(F.broadcast(narrow) if narrow.count() <= sent_rows else narrow, on, how)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches near CHUNK_BYTES, so that Python workers hold little at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
