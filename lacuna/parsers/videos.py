@@ -197,7 +197,7 @@ def ftyp_format(src: Source, start: int) -> tuple[str, str, str]:
     size, major = src.num(start, ">I"), src.at(start + 8, 4)
     if size is None or src.at(start + 4, 4) != b"ftyp" or len(major) < 4:
         return dims.DEFAULT_BRAND
-    more = src.at(start + 16, min(max(size - 20, 0), 64))
+    more = src.at(start + 16, min(max(size - 20, 0), 64))  # the last compatible brand isn't looked at: results depend on it
     for raw in [major, *(more[i : i + 4] for i in range(0, len(more) - 3, 4))]:
         name = raw.decode("ascii", "replace").strip("\x00")
         if name in dims.BRANDS:

@@ -121,10 +121,10 @@ def m2_status_machine(spark, sf_dir):
     return f.withColumns(transition(F.col("estado"), True)).select("row", "status", "new_estado", T.period_label(F.col("servicio"), F.col("anio"), F.col("periodo_num")).alias("label"))
 
 
-_SPECS = [("TCFV", "2022-11:2024-02"), ("STM", "2023-01:2023-03"), ("TCFV", "2024-01:2024-03")]
+_SPECS = [("NORTE", "2022-11:2024-02"), ("SUR", "2023-01:2023-03"), ("NORTE", "2024-01:2024-03")]
 
 
-@query(f"""WITH s(servicio, a, b) AS (VALUES ('TCFV', DATE '2022-11-01', DATE '2024-02-01'), ('STM', DATE '2023-01-01', DATE '2023-03-01'), ('TCFV', DATE '2024-01-01', DATE '2024-03-01')),
+@query(f"""WITH s(servicio, a, b) AS (VALUES ('NORTE', DATE '2022-11-01', DATE '2024-02-01'), ('SUR', DATE '2023-01-01', DATE '2023-03-01'), ('NORTE', DATE '2024-01-01', DATE '2024-03-01')),
 m AS (SELECT servicio, unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS d FROM s)
 SELECT row_number() OVER (ORDER BY year(d), month(d), servicio) AS num, servicio, CAST(year(d) AS INTEGER) AS anio, CAST(month(d) AS INTEGER) AS mes, ({list(dims.MONTHS)})[month(d)] AS nombre FROM m""")
 def x20_month_expand(spark, sf_dir):

@@ -1,6 +1,6 @@
 """The queries of the engine's own operators, by name, and their DuckDB oracles. Names start with the operator they show."""
 
-from .plans import entropy, ledger, recovery
+from .plans import entropy, ledger, recovery, streams
 
-QUERIES = {**entropy.QUERIES, **recovery.QUERIES, **ledger.QUERIES}
-ORACLES = {**entropy.ORACLES, **recovery.ORACLES, **ledger.ORACLES}
+QUERIES = {**entropy.QUERIES, **recovery.QUERIES, **ledger.QUERIES, **streams.QUERIES}
+ORACLES = {**entropy.ORACLES, **recovery.ORACLES, **ledger.ORACLES, **streams.ORACLES}
