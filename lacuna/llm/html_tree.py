@@ -134,6 +134,8 @@ def _gather(node: Node, keep, parts: list[str]) -> None:
                 parts.append(" ")
                 waiting.append(" ")
             waiting.extend(reversed(x.children))
+        elif x.tag not in INLINE and x.tag not in ("script", "style", "template", "noscript"):
+            parts.append(" ")  # a dropped block still parts what stands around it
 
 
 def text_of(node: Node, keep=lambda x: True) -> str:
