@@ -91,3 +91,33 @@ def summary(items: DataFrame, moves: DataFrame | None = None) -> DataFrame:
 def csv_rows(items: DataFrame) -> DataFrame:
     """The summary table as it goes into a CSV file: reasons joined by ';'."""
     return items.select("path", "bucket", "suggested", F.col("still").alias("score_still"), F.col("frame").alias("score_frame"), F.array_join("reasons", ";").alias("reasons"))
+
+
+def apply_moves(moves: DataFrame, root: str) -> DataFrame:
+    """Rename the planned files below a folder that all workers share; moves with status moved, skipped (file_not_found_at_rename) or error.
+
+    A file that is already at its new place and no longer at the old one counts as moved, so a repeated task does no harm.
+    """
+    import os
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for i, r in rows[rows["status"] == "planned"].iterrows():
+                old, new = os.path.join(root, r["path"]), os.path.join(root, r["path_after"])
+                try:
+                    if os.path.isfile(old):
+                        os.makedirs(os.path.dirname(new), exist_ok=True)
+                        os.rename(old, new)
+                    elif not os.path.isfile(new):
+                        rows.loc[i, ["status", "reason"]] = ["skipped", "file_not_found_at_rename"]
+                        continue
+                    rows.loc[i, "status"] = "moved"
+                except OSError as e:
+                    rows.loc[i, ["status", "reason"]] = ["error", str(e)]
+            yield rows
+
+    at = moves.select("path", "suggested", "status", "reason", "path_after")
+    return at.mapInPandas(run, at.schema)

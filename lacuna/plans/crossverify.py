@@ -94,3 +94,22 @@ def summary(carved: DataFrame, videos_: DataFrame, matches: DataFrame) -> DataFr
     at = a.join(b).join(c)  # one row each
     at = at.withColumn("orphaned", F.col("carved_files") - F.col("matched_to_video"))
     return at.withColumn("match_rate_percent", rate("matched_to_video", "carved_files")).withColumn("recovery_rate_percent", rate("matched_to_video", "avi_frames"))
+
+
+def offsets_of(manifest: DataFrame) -> DataFrame:
+    """(fname, start, end): where each carved JPEG lies, by file name; of several rows of one name the last (line_no) counts. Rows without whole offsets are left out."""
+    name = F.substring_index("path", "/", -1)
+    at = manifest.where("format = 'JPEG' AND path IS NOT NULL AND source_offset IS NOT NULL AND source_end IS NOT NULL").withColumn("fname", name)
+    best = at.groupBy("fname").agg(F.max_by(F.struct("source_offset", "source_end"), "line_no").alias("_o"))
+    return best.select("fname", F.col("_o.source_offset").alias("start"), F.col("_o.source_end").alias("end"))
+
+
+def film_spans(manifest: DataFrame) -> DataFrame:
+    """(start, end, path) of the AVI files of a manifest, in order."""
+    at = manifest.where("format = 'AVI' AND source_offset IS NOT NULL AND source_end IS NOT NULL")
+    return at.select(F.col("source_offset").alias("start"), F.col("source_end").alias("end"), "path").orderBy("start")
+
+
+def frame_sized(manifest: DataFrame) -> DataFrame:
+    """The JPEG rows whose size is one of video frames; not known counts as no."""
+    return manifest.where("format = 'JPEG'").where(F.coalesce(F.col("jpeg.matches_skip_frame_resolution"), F.lit(False)))

@@ -81,6 +81,23 @@ def expand_periods(specs: DataFrame) -> DataFrame:
     return number_rows(out, [], ["seq", "servicio"], "num").select("num", "servicio", "anio", "mes", "nombre")
 
 
+def workbook(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tracker's three sheets as tables: all periods, the summary (with finished shares per service), and a row per filing for the finished ones' list.
+
+    The last sheet lists every row, finished or not, as its formulas refer to the first sheet row by row.
+    """
+    finished = F.lower("estado").isin("finalizada")
+    per = rows.groupBy("servicio").agg(F.count(F.lit(1)).alias("total"), F.count_if(finished).alias("finalizadas"))
+    per = per.withColumn("percent", F.coalesce(F.round(F.try_divide(100.0 * F.col("finalizadas"), F.col("total")), 2), F.lit(0.0)))
+    return {"seguimiento": rows.orderBy("anio", "servicio", "periodo_num"), "resumen": per.orderBy("servicio"), "finalizadas": rows.select("num", "servicio", "anio", "periodo_num", "carpeta_tecnica", "fecha_presentacion")}
+
+
+def write_workbook(rows: DataFrame, folder: str) -> None:
+    """Each sheet as CSV below a folder."""
+    for name, sheet in workbook(rows).items():
+        sheet.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+
+
 _ORDERS = "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'Pendiente' WHEN 'F' THEN 'Finalizada' WHEN 'P' THEN 'En curso' ELSE o_orderstatus END AS estado, o_orderpriority AS servicio, CAST(year(o_orderdate) AS INTEGER) AS anio, CAST(month(o_orderdate) AS INTEGER) AS mes FROM orders"
 
 

@@ -152,3 +152,28 @@ def test_probes_and_hashes(spark):
     got = [list(r[0]) for r in df.select(E.B.matching_probes(F.col("data"))).collect()]
     assert got == [["ISOBMFF (MP4/MOV/HEIF)"], ["BMP"], [], ["RIFF (AVI/WAV/WebP)"]]
     assert df.select(E.B.is_transport_stream(F.lit((b"\x47" + b"\x00" * 187) * 8)).alias("t")).first().t
+
+
+def test_state_moves_and_offsets(spark, tmp_path):
+    from lacuna.sources import state as Z
+
+    folder = str(tmp_path / "state")
+    assert Z.load_seen(spark, folder).count() == 0 and Z.load_counters(spark, folder).count() == 0
+    Z.save(spark.createDataFrame([("a",), ("a",), (None,)], "sha256 string"), folder)
+    Z.save(spark.createDataFrame([("b",)], "sha256 string"), folder)
+    Z.save_counters(spark.createDataFrame([("photo", 7)], Z.COUNTERS), folder)
+    Z.save_counters(Z.load_counters(spark, folder).withColumn("last_id", F.col("last_id") + 1), folder)
+    assert sorted(r.hash for r in Z.load_seen(spark, folder).collect()) == ["a", "b"] and Z.load_counters(spark, folder).first().last_id == 8
+    Z.reset(spark, folder)
+    assert Z.load_seen(spark, folder).count() == 0
+    root = tmp_path / "files"
+    (root / "photos").mkdir(parents=True)
+    (root / "photos/a.jpg").write_bytes(b"a")
+    plan = K.plan_moves(spark.createDataFrame([("photos/a.jpg", "likely_frame", True), ("photos/gone.jpg", "likely_frame", True), ("photos/b.jpg", "uncertain", True)], "path string, suggested string, present boolean"))
+    done = {r.path: (r.status, r.reason) for r in K.apply_moves(plan, str(root)).collect()}
+    assert done["photos/a.jpg"] == ("moved", None) and done["photos/gone.jpg"] == ("skipped", "file_not_found_at_rename") and done["photos/b.jpg"][0] == "skipped"
+    assert (root / "frames/a.jpg").read_bytes() == b"a"
+    rows = [json.dumps({"path": "photos/x.jpg", "format": "JPEG", "source_offset": i, "source_end": i + 5, "jpeg": {"matches_skip_frame_resolution": i == 9}}) for i in (1, 9)] + [json.dumps({"path": "videos/v.avi", "format": "AVI", "source_offset": 0, "source_end": 99})]
+    parsed = M.parse_manifest(spark.createDataFrame(list(enumerate(rows)), "line_no long, line string"))
+    assert [(r.fname, r.start, r.end) for r in X.offsets_of(parsed).collect()] == [("x.jpg", 9, 14)]
+    assert [(r.start, r.end) for r in X.film_spans(parsed).collect()] == [(0, 99)] and X.frame_sized(parsed).count() == 1

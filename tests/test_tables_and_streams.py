@@ -29,6 +29,13 @@ def test_tracker(sheet):
     assert [(r.status, r.new_estado) for r in states] == [("ok", "Enviada"), ("error", None), ("skipped", "Enviada"), ("skipped", "Finalizada")]
 
 
+def test_workbook(spark, sheet, tmp_path):
+    L.write_workbook(sheet, str(tmp_path))
+    per = {r.servicio: (r.total, r.finalizadas, r.percent) for r in spark.read.csv(str(tmp_path / "resumen"), header=True, inferSchema=True).collect()}
+    assert per == {"NORTE": (2, 0, 0.0), "SUR": (1, 1, 100.0), "X": (1, 0, 0.0)}
+    assert spark.read.csv(str(tmp_path / "finalizadas"), header=True).count() == 4
+
+
 def test_periods(spark):
     got = L.expand_periods(spark.createDataFrame([("A", "2023-12:2024-01")], "servicio string, spec string")).orderBy("num").collect()
     assert [(r.num, r.anio, r.mes, r.nombre) for r in got] == [(1, 2023, 12, "Diciembre"), (2, 2024, 1, "Enero")]
