@@ -52,7 +52,7 @@ def test_rules(docs, none, labels):
     known = labels.select("id", F.col("quality").alias("good"))
     got, _ = decision_list.quality_rules(docs, known, "doc_id", "text")
     rows = {r.id: r for r in got.collect()}
-    assert got.count() == 10 and rows[5].n_repeat_words == 40_000 and not rows[5].kept and rows[1].n_words == 0 and rows[8].word_chars == 17
+    assert got.count() == 10 and rows[5].n_repeat_words == 40_000 and not rows[5].kept and rows[1].n_words == 0 and rows[8].word_chars == 15
     assert decision_list.quality_rules(none, known.limit(0), "doc_id", "text")[0].count() == 0
 
 
