@@ -59,11 +59,13 @@ def info_record(date: str) -> bytes:
 
 
 def train_dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from sample records; None where they are too few or too alike to give one."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=200, d=8) if len(samples) >= 8 else None
-    except zstandard.ZstdError:
-        return None
+    """A dictionary from sample records, smaller where they are few; None where they are too few or too alike to give one."""
+    while len(samples) >= 8 and size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=200, d=8)
+        except zstandard.ZstdError:
+            size //= 4
+    return None
 
 
 class ArchiveWriter:
