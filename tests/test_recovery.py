@@ -124,7 +124,7 @@ def test_cross_verify(spark, tmp_path):
     carved = spark.createDataFrame([(sha(a), "a1.jpg", "photos", 1), (sha(a), "a2.jpg", "photos", 2), (sha(c), "c.jpg", "photos", 3)], "sha256 string, fname string, bucket string, seq int")
     matched = X.match_frames(carved, X.frames_of_files(films)).cache()
     matches = X.file_matches(matched)
-    assert [(r.fname, r.video, r.index) for r in matches.collect()] == [("a2.jpg", "one.avi", 0)]
+    assert [(r.fname, r.video, r["index"]) for r in matches.collect()] == [("a2.jpg", "one.avi", 0)]
     assert [r.fname for r in X.orphans(carved, matches).collect()] == ["a1.jpg", "c.jpg"]
     per = X.per_video(films, matched)
     assert {(r.video, r.total_frames, r.jpeg_frames, r.matched_carved, r.unrecovered) for r in per.collect()} == {("one.avi", 3, 2, 1, 2), ("two.avi", 0, 0, 0, 0)}
