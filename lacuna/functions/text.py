@@ -20,7 +20,7 @@ def bits_per_pixel(size: Column, width: Column, height: Column) -> Column:
 def human_size(n: Column) -> Column:
     """Bytes as B, KB, MB or GB of 1024, one place beyond B."""
     k, m, g = (float(1 << s) for s in (10, 20, 30))
-    return F.when(n < k, F.format_string("%d B", n.cast("long"))).when(n < m, F.format_string("%.1f KB", n / k)).when(n < g, F.format_string("%.1f MB", n / m)).otherwise(F.format_string("%.2f GB", n / g))
+    return F.when(n.isNull(), None).when(n < k, F.format_string("%d B", n.cast("long"))).when(n < m, F.format_string("%.1f KB", n / k)).when(n < g, F.format_string("%.1f MB", n / m)).otherwise(F.format_string("%.2f GB", n / g))
 
 
 def size_label(n: Column) -> Column:
@@ -106,7 +106,7 @@ def pretty_id(name: Column) -> Column:
 def compact_number(x: Column) -> Column:
     """131072 -> '131.1K': one place at most, none if it is 0."""
     scaled = lambda unit, sign: F.concat(F.regexp_replace(F.format_string("%.1f", x / unit), r"\.0$", ""), F.lit(sign))
-    return F.when(x < 999.95, scaled(1.0, "")).when(x < 999_950.0, scaled(1e3, "K")).when(x < 999_950_000.0, scaled(1e6, "M")).otherwise(scaled(1e9, "B"))
+    return F.when(x.isNull(), None).when(x < 999.95, scaled(1.0, "")).when(x < 999_950.0, scaled(1e3, "K")).when(x < 999_950_000.0, scaled(1e6, "M")).otherwise(scaled(1e9, "B"))
 
 
 def without_trailing_slashes(text: Column) -> Column:
