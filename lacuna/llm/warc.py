@@ -148,7 +148,7 @@ def _write(folder: str, archive_bytes: int, sample_bytes: int, dictionary_bytes:
             for name, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None:
                     archive = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{at}.warc.zst"
-                    writer = ArchiveWriter(fs.open_output_stream(f"{root}/{archive}"), sample_bytes, dictionary_bytes, level)
+                    writer = ArchiveWriter(fs.open_output_stream(f"{root}/{archive}", compression=None), sample_bytes, dictionary_bytes, level)
                     writer.add(info_record(date))
                 writer.add(build_record(name, url, payload, refers_to, date))
                 if writer.size >= archive_bytes:
@@ -195,7 +195,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for archive in batch.column(0).to_pylist():
             fs, path = pyarrow.fs.FileSystem.from_uri(archive)
             out: list[tuple] = []
-            with fs.open_input_stream(path) as source:
+            with fs.open_input_stream(path, compression=None) as source:
                 for fields, block in read_records(source):
                     if fields["warc-type"] == "warcinfo":
                         continue
