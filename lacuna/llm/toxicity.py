@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ START, END = "\x02", "\x03"
 #: and words over these ratios (their share, and the logarithm of their number).
 WINDOWS, TOP, OVER = (1, 4, 16, 64), (2, 4), (1.0, 2.0, 3.0)
 N_FEATURES = 1 + len(WINDOWS) + len(TOP) + 2 * len(OVER)
-#: Entries of the models that are sent to every task at most; above, the rarest n-grams of top order go first.
+#: Entries of the models, or of words' ratios, that are sent to every task at most; models of more stay tables, which the words meet in joins.
 MODEL_ROWS = 1_500_000
 #: Labelled rows that the final calibration is fitted on at most, and the score that a toxic document should reach.
 CALIBRATION_ROWS, CUT = 20_000, 0.7
@@ -31,6 +32,8 @@ CALIBRATION_ROWS, CUT = 20_000, 0.7
 ABSENT = -3.0
 #: Remembered words per task.
 CACHE = 400_000
+#: Characters of a word that is its own key in tables; longer ones go by a digest.
+KEY_CHARS = 40
 WORD = re.compile(r"\w+")
 
 
@@ -91,6 +94,21 @@ def _level(counts: DataFrame, lower: DataFrame | None, shared: bool, discount: f
     return at.select("gram", "ctx", *[(first(k) + weight(k) * F.col(f"b{k}")).alias(f"p{k}") for k in (0, 1)], *[weight(k).alias(f"g{k}") for k in (0, 1)])
 
 
+def text_row(values: list[float], distinct: Iterable[float]) -> list[float]:
+    """The N_FEATURES numbers of a text with words: from the log ratios of its words in order, and of its distinct words."""
+    all_, n = np.array(values), len(values)
+    sums = np.concatenate(([0.0], np.cumsum(all_)))
+    row = [sums[-1] / n]
+    row += [(sums[min(k, n) :] - sums[: -min(k, n)]).max() / min(k, n) for k in WINDOWS]
+    best = heapq.nlargest(max(TOP), distinct)
+    best += [ABSENT] * (max(TOP) - len(best))
+    row += [sum(best[:k]) / k for k in TOP]
+    for least in OVER:
+        above = int((all_ > least).sum())
+        row += [above / n, np.log1p(above)]
+    return row
+
+
 class Model:
     """Log ratios (toxic to ordinary) of seen grams and of contexts' backoff weights, for words."""
 
@@ -125,27 +143,106 @@ class Model:
                 if v is None:
                     v = cache[w] = self.word(w)
                 values.append(v)
-            all_, n = np.array(values), len(words)
-            sums = np.concatenate(([0.0], np.cumsum(all_)))
-            row = [sums[-1] / n]
-            row += [(sums[min(k, n) :] - sums[: -min(k, n)]).max() / min(k, n) for k in WINDOWS]
-            best = heapq.nlargest(max(TOP), dict(zip(words, values, strict=True)).values())
-            best += [ABSENT] * (max(TOP) - len(best))
-            row += [sum(best[:k]) / k for k in TOP]
-            for least in OVER:
-                above = int((all_ > least).sum())
-                row += [above / n, np.log1p(above)]
-            out[i] = row
+            out[i] = text_row(values, dict(zip(words, values, strict=True)).values())
         return out
 
+    def apply(self, df: DataFrame, what: Callable[[np.ndarray], pa.Array], name: str, kind: str) -> DataFrame:
+        """df (text last) with `name` of Spark type `kind` for the text: what(features) of each row."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cache: dict[str, float] = {}
+            for batch in batches:
+                found = what(self.features(batch.column(batch.num_columns - 1).to_pylist(), cache))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], name])
+
+        return df.mapInArrow(run, _schema(df.drop("text"), name, kind))
+
+
+def _schema(df: DataFrame, name: str, kind: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{name} {kind}"])
+
+
+def word_key(word: str) -> str:
+    return word if len(word) <= KEY_CHARS else START + hashlib.md5(word.encode()).hexdigest()
+
+
+class TableModel:
+    """As Model, where grams are more than can be sent: nothing is dropped, the distinct words' grams meet the tables in joins.
 
-def train_models(labelled: DataFrame, order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, model_rows: int = MODEL_ROWS) -> Model:
+    tables has (n, gram, r) and (ctx, b) of each order above shared, from the top down.
+    """
+
+    def __init__(self, tables: list[tuple[int, DataFrame, DataFrame]], order: int, model_rows: int):
+        self.tables, self.order, self.model_rows = tables, order, model_rows
+
+    def word_values(self, words: DataFrame) -> DataFrame:
+        """(key, c, v) of words (word, c), each word once: v is what Model.word gives."""
+        padded = F.concat(F.lit(START * (self.order - 1)), "word", F.lit(END))
+        key = F.when(F.length("word") <= KEY_CHARS, F.col("word")).otherwise(F.concat(F.lit(START), F.md5(F.col("word").cast("binary"))))
+        grams = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(self.order)))
+        placed = words.select(key.alias("key"), "c", F.posexplode(grams).alias("at", "gram"))
+        told, value, found = placed.select("gram").distinct(), F.lit(0.0), []
+        for n, ratios, backoffs in self.tables:
+            gram = F.substring("gram", self.order - n + 1, n)
+            told = told.withColumn("_g", gram).withColumn("_x", F.substring("_g", 1, n - 1))
+            told = told.join(ratios.select(F.col("gram").alias("_g"), F.col("r").alias(f"_r{n}")), "_g", "left").join(backoffs.select(F.col("ctx").alias("_x"), F.col("b").alias(f"_b{n}")), "_x", "left").drop("_g", "_x")
+            found.append(n)
+        for n in reversed(found):
+            value = F.coalesce(F.col(f"_r{n}"), F.coalesce(F.col(f"_b{n}"), F.lit(0.0)) + value)
+        parts = placed.join(told.select("gram", value.alias("v")), "gram").groupBy("key", "c").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("parts"))
+        return parts.select("key", "c", F.aggregate("parts", F.lit(0.0), lambda total, x: total + x["v"]).alias("v"))
+
+    def apply(self, df: DataFrame, what: Callable[[np.ndarray], pa.Array], name: str, kind: str) -> DataFrame:
+        """As Model.apply. Values of the words that stand in most texts are sent, model_rows at most; a text's other words, none of which is in many texts, are
+        joined with theirs by key, with the places where they stand."""
+        rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+        words = word_counts(rows.select("text", F.lit(0).alias("label"))).select("word", F.col("c0").alias("c"))
+        values = materialise(self.word_values(words))
+        got = values.orderBy(F.desc("c"), "key").limit(self.model_rows).select("key", "v").toArrow()
+        sent = dict(zip(got["key"].to_pylist(), got["v"].to_pylist(), strict=True))
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    places: dict[str, list[int]] = {}
+                    for at, w in enumerate(words_of(text or "")):
+                        places.setdefault(word_key(w), []).append(at)
+                    known = [k for k in places if k in sent]
+                    out.append((row, None, [sent[k] for k in known], [places[k] for k in known]))
+                    out += [(row, k, None, [at]) for k, at in places.items() if k not in sent]
+                kinds = (pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())))
+                for lo in range(0, len(out), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[lo : lo + 4096], strict=True), kinds, strict=True)], ["_row", "key", "known", "places"])
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.zeros((len(batch), N_FEATURES))
+                for i, parts in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    distinct = [v for p in parts for v in p["known"]]
+                    places = [at for p in parts for at in p["places"]]
+                    if distinct:
+                        ordered = [0.0] * sum(map(len, places))
+                        for v, at in zip(distinct, places, strict=True):
+                            for k in at:
+                                ordered[k] = v
+                        x[i] = text_row(ordered, distinct)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], what(x)], [*batch.schema.names[:-1], name])
+
+        spelt = rows.select("_row", "text").mapInArrow(spell, "_row long, key string, known array<double>, places array<array<int>>")
+        met = spelt.join(values.select("key", "v"), "key", "left").select("_row", F.struct(F.coalesce("known", F.array("v")).alias("known"), "places").alias("part"))
+        parts = met.groupBy("_row").agg(F.collect_list("part").alias("parts"))
+        back = rows.drop("text").join(parts, "_row").drop("_row")
+        return back.mapInArrow(gather, _schema(back.drop("parts"), name, kind))
+
+
+def train_models(labelled: DataFrame, order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, model_rows: int = MODEL_ROWS) -> Model | TableModel:
     """The two models from all rows of labelled (text, label 0 or 1).
 
     Both classes have their own discounted counts above order `shared` and back off to one distribution of pooled counts below, so that what only
     one class has seen, or neither, is judged by common shorter pieces. Counting and all probabilities are DataFrame
-    aggregations and joins; the tables that reach the driver are measured first, and where they exceed model_rows, grams of top order seen
-    least go (as in pruned language models) until they fit. No rows give ratios of 0.
+    aggregations and joins; the tables that would reach the driver are measured first, and where they exceed model_rows they stay tables. All
+    counted grams are kept either way. No rows give ratios of 0.
     """
     counts = gram_counts(materialise(word_counts(labelled)), order)
     lower, tables = None, []
@@ -153,21 +250,15 @@ def train_models(labelled: DataFrame, order: int = ORDER, shared: int = SHARED,
         lower = materialise(_level(counts[n], lower, n <= shared, discount))
         if n > shared:
             tables.append(lower)
-    least, rows = 1, sum(t.count() for t in tables)
-    top = counts[order].select("gram", (F.col("c0") + F.col("c1")).alias("c"))
-    while rows > model_rows and least < 1 << 20:
-        least *= 2
-        rows = sum(t.count() for t in tables[:-1]) + top.where(F.col("c") >= least).count()
-    if least > 1:
-        tables[-1] = tables[-1].join(top.where(F.col("c") >= least), "gram", "left_semi")
-    ratio = lambda a, b: F.log(a) - F.log(b)
+    ratio = lambda a, b, name: (F.log(a) - F.log(b)).cast("float").cast("double").alias(name)
+    told = [(t.select("gram", ratio(F.col("p1"), F.col("p0"), "r")), t.select("ctx", ratio(F.col("g1"), F.col("g0"), "b")).distinct()) for t in tables]
+    if sum(t.count() for t in tables) > model_rows:
+        return TableModel([(n, materialise(r), materialise(b)) for n, (r, b) in reversed([*enumerate(told, shared + 1)])], order, model_rows)
     ratios: dict[str, float] = {}
     backoffs: dict[str, float] = {}
-    for t in tables:
-        got = t.select("gram", ratio(F.col("p1"), F.col("p0")).cast("float").alias("r")).toArrow()
-        ratios.update(zip(got["gram"].to_pylist(), got["r"].to_pylist(), strict=True))
-        got = t.select("ctx", ratio(F.col("g1"), F.col("g0")).cast("float").alias("r")).distinct().toArrow()
-        backoffs.update(zip(got["ctx"].to_pylist(), got["r"].to_pylist(), strict=True))
+    for r, b in told:
+        for part, into in ((r.toArrow(), ratios), (b.toArrow(), backoffs)):
+            into.update(zip(*(c.to_pylist() for c in part.columns), strict=True))
     return Model(ratios, backoffs, order, shared)
 
 
@@ -223,14 +314,19 @@ def remainder(key: Column, n: int) -> Column:
 class Detector:
     """A model and the scorer of its features."""
 
-    def __init__(self, model: Model, scorer: Scorer):
+    def __init__(self, model: Model | TableModel, scorer: Scorer):
         self.model, self.scorer = model, scorer
 
     def score(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
         return self.scorer(self.model.features(texts, cache))
 
+    def scores(self, df: DataFrame) -> DataFrame:
+        """df (text last) with a score for the text."""
+        scorer = self.scorer
+        return self.model.apply(df, lambda x: pa.array(scorer(x)), "score", "double")
+
 
-def train_detector(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, cut: float = CUT, folds: int = 3, held_out: int = 1, calibration_rows: int = CALIBRATION_ROWS) -> Detector:
+def train_detector(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, cut: float = CUT, folds: int = 3, held_out: int = 1, calibration_rows: int = CALIBRATION_ROWS, model_rows: int = MODEL_ROWS) -> Detector:
     """The detector from labels (id, toxic: 0 or 1; others and null don't count) of rows outside the held-out fold.
 
     Three quarters of the rows (by a hash of the id) are counted for the models; the last quarter calibrates the score, on calibration_rows rows of least
@@ -241,39 +337,30 @@ def train_detector(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     known = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col("id"), folds) != held_out)).select("id", F.col("toxic").cast("int").alias("label"))
     quarter = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(4))
     taught = join_narrow(src, known, "id").select("id", "text", "label", quarter.alias("quarter"))
-    model = train_models(taught.where("quarter <> 0").select("text", "label"))
-    kind = src.schema["id"].dataType.simpleString()
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
-        for batch in batches:
-            x = model.features(batch.column(2).to_pylist(), cache)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["id", "label", "x"])
-
-    rows = least_hash_rows(taught.where("quarter = 0").select("id", "label", "text"), "id", calibration_rows, 3, "label", "x", then=lambda t: t.mapInArrow(features, f"id {kind}, label int, x array<double>"))
+    model = train_models(taught.where("quarter <> 0").select("text", "label"), model_rows=model_rows)
+    features = lambda t: model.apply(t.select("id", "label", "text"), lambda x: pa.array(list(x), pa.list_(pa.float64())), "x", "array<double>")
+    rows = least_hash_rows(taught.where("quarter = 0").select("id", "label", "text"), "id", calibration_rows, 3, "label", "x", then=features)
     return Detector(model, Scorer(np.array([r.x for r in rows]).reshape(len(rows), N_FEATURES), np.array([r.label for r in rows], float), cut))
 
 
-def toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, cut: float = CUT, folds: int = 3, held_out: int = 1, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, cut: float = CUT, folds: int = 3, held_out: int = 1, calibration_rows: int = CALIBRATION_ROWS, model_rows: int = MODEL_ROWS) -> DataFrame:
     """(id, held_out, score), one row per row of df; score in (0, 1), higher is likelier toxic.
 
     held_out: crc32(id) mod folds is held_out; the labels of such rows teach nothing (see train_detector). Whole texts are scored; null, empty and wordless ones
     have log ratio 0. Without labels of both classes every score is half of cut.
     """
-    detector = train_detector(df, labels, id_col, text_col, cut, folds, held_out, calibration_rows)
+    detector = train_detector(df, labels, id_col, text_col, cut, folds, held_out, calibration_rows, model_rows)
     src = df.select(F.col(id_col).alias("id"), (remainder(F.col(id_col), folds) == held_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(detector.score(batch.column(2).to_pylist(), cache))], ["id", "held_out", "score"])
-
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, held_out boolean, score double")
+    return detector.scores(src)
 
 
-def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, cut: float = CUT) -> DataFrame:
+def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, cut: float = CUT, model_rows: int = MODEL_ROWS) -> DataFrame:
     """The rows of df whose score is under cut, all columns as they are."""
-    detector = train_detector(df, labels, id_col, text_col, cut)
+    detector = train_detector(df, labels, id_col, text_col, cut, model_rows=model_rows)
+    if isinstance(detector.model, TableModel):
+        rows = materialise(df.withColumn("_at", F.monotonically_increasing_id()))
+        kept = detector.scores(rows.select("_at", F.col(text_col).cast("string").alias("text"))).where(F.col("score") < cut)
+        return rows.join(kept.select("_at"), "_at").drop("_at")
 
     def make():
         cache: dict[str, float] = {}

@@ -162,6 +162,21 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
     assert mass and all(r.a <= 1.0001 and r.b <= 1.0001 for r in mass)
 
 
+def test_models_beyond_the_sent_size_keep_all_grams(spark):
+    texts = [(i, t, int("zorn" in t)) for i, t in enumerate(["plain words here", "more plain words", "zornig zorn words", "a zorn " + "q" * 50 + " zorn", "", None, "rare наука words"] * 6) if t is not None] + [(99, None, 0)]
+    df = spark.createDataFrame(texts, "id long, text string, label int")
+    model = toxicity.train_models(df.where("text is not null").select("text", "label"))
+    tables = toxicity.train_models(df.where("text is not null").select("text", "label"), model_rows=5)
+    x = lambda m: {r.id: r.x for r in m.apply(df.select("id", "text"), lambda x: toxicity.pa.array(list(x)), "x", "array<double>").collect()}
+    mine, theirs = x(model), x(tables)
+    assert isinstance(tables, toxicity.TableModel) and mine.keys() == theirs.keys() and len(mine) == len(texts)
+    assert all(np.allclose(mine[i], theirs[i], atol=1e-9) for i in mine)
+    labels = df.select("id", F.col("label").alias("toxic"))
+    for got in (toxicity.toxicity, toxicity.drop_toxic):
+        a, b = (sorted(map(str, got(df, labels, "id", "text", model_rows=n).select("id").collect())) for n in (toxicity.MODEL_ROWS, 5))
+        assert a == b
+
+
 def test_prior_and_risk():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1.5, 1, (1500, 3)), rng.normal(-1.5, 1, (500, 3))
