@@ -237,14 +237,19 @@ class TableModel:
 
 
 def train_models(labelled: DataFrame, order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, model_rows: int = MODEL_ROWS) -> Model | TableModel:
-    """The two models from all rows of labelled (text, label 0 or 1).
+    """The two models from all rows of labelled (text, label 0 or 1); see models_of."""
+    return models_of(materialise(word_counts(labelled)), order, shared, discount, model_rows)
+
+
+def models_of(words: DataFrame, order: int = ORDER, shared: int = SHARED, discount: float = DISCOUNT, model_rows: int = MODEL_ROWS) -> Model | TableModel:
+    """The two models from words (word, c0, c1), each word once.
 
     Both classes have their own discounted counts above order `shared` and back off to one distribution of pooled counts below, so that what only
     one class has seen, or neither, is judged by common shorter pieces. Counting and all probabilities are DataFrame
     aggregations and joins; the tables that would reach the driver are measured first, and where they exceed model_rows they stay tables. All
     counted grams are kept either way. No rows give ratios of 0.
     """
-    counts = gram_counts(materialise(word_counts(labelled)), order)
+    counts = gram_counts(words, order)
     lower, tables = None, []
     for n in range(1, order + 1):
         lower = materialise(_level(counts[n], lower, n <= shared, discount))
@@ -329,17 +334,21 @@ class Detector:
 def train_detector(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, cut: float = CUT, folds: int = 3, held_out: int = 1, calibration_rows: int = CALIBRATION_ROWS, model_rows: int = MODEL_ROWS) -> Detector:
     """The detector from labels (id, toxic: 0 or 1; others and null don't count) of rows outside the held-out fold.
 
-    Three quarters of the rows (by a hash of the id) are counted for the models; the last quarter calibrates the score, on calibration_rows rows of least
-    hash at most, so that `cut` parts the classes best. A repeated id counts as often as it stands.
+    For calibration, models of three quarters of the rows (by a hash of the id) judge the last quarter, calibration_rows rows of least
+    hash at most, so that `cut` parts the classes best. The models that score are then those of all rows. A repeated id counts as often as it stands.
     """
     small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col("id"), folds) != held_out)).select("id", F.col("toxic").cast("int").alias("label"))
     quarter = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(4))
     taught = join_narrow(src, known, "id").select("id", "text", "label", quarter.alias("quarter"))
-    model = train_models(taught.where("quarter <> 0").select("text", "label"), model_rows=model_rows)
-    features = lambda t: model.apply(t.select("id", "label", "text"), lambda x: pa.array(list(x), pa.list_(pa.float64())), "x", "array<double>")
+    counted = lambda apart: word_counts(taught.where((F.col("quarter") == 0) == apart).select("text", "label"))
+    words = materialise(counted(False))
+    model = models_of(words, model_rows=model_rows)
+    features = lambda t, model=model: model.apply(t.select("id", "label", "text"), lambda x: pa.array(list(x), pa.list_(pa.float64())), "x", "array<double>")
     rows = least_hash_rows(taught.where("quarter = 0").select("id", "label", "text"), "id", calibration_rows, 3, "label", "x", then=features)
+    both = words.unionByName(counted(True)).groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    model = models_of(materialise(both), model_rows=model_rows)
     return Detector(model, Scorer(np.array([r.x for r in rows]).reshape(len(rows), N_FEATURES), np.array([r.label for r in rows], float), cut))
 
 
