@@ -45,6 +45,8 @@ class Node:
     aside: bool
     article: bool
     named: bool
+    by_name: bool = False  # aside by words of ASIDE alone
+    main: bool = False  # marked as the article, aside or not
     children: list = field(default_factory=list)  # nodes and strings, in page order
 
 
@@ -97,9 +99,11 @@ def parse(page: str) -> Node:
                     hidden = True
         words = set(_WORD.findall(names)) | set(_WORD.findall(role))
         article = tag in ("article", "main") or role == "main" or prose
-        aside = hidden or tag in NEVER or bool(words & ASIDE) or (tag == "header" and not any(x.article for x in stack))
+        aside = hidden or tag in NEVER or (tag == "header" and not any(x.article for x in stack))
+        by_name = not aside and bool(words & ASIDE) and tag not in ("html", "body")
+        aside |= by_name
         shape = ".".join(sorted({re.sub(r"\d+", "0", w) for w in names.split()}))
-        node = Node(f"{stack[-1].path}>{tag}{'.' + shape if shape else ''}", tag, aside, article and not aside, bool(shape))
+        node = Node(f"{stack[-1].path}>{tag}{'.' + shape if shape else ''}", tag, aside, article and not aside, bool(shape), by_name, article)
         stack[-1].children.append(node)
         if tag in RAW and not found[3].endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -212,26 +216,68 @@ def low_branches(nodes: list, gamma: float = GAMMA, least: float = LEAST_IMPORTA
     return frozenset(p for p, v in value.items() if v < least)
 
 
+def major_branches(tops: list[Node], low: frozenset[str]) -> set[int]:
+    """Ids of branches below tops that only a name of ASIDE would drop, but that hold as much text as all that no name takes, or more.
+
+    Outermost ones are judged first; the text of those that stay counts with the rest for what stands in them. Branches of low importance agree with their name.
+    """
+    nodes: list[Node | None] = [None]
+    within, own = [-1], [0]
+    waiting: list = [(x, 0, True) for x in tops]
+    while waiting:
+        x, at, top = waiting.pop()
+        if isinstance(x, str):
+            own[at] += len(" ".join(x.split()))
+            continue
+        if x.aside and not top:
+            if not x.by_name:
+                continue
+            nodes.append(x)
+            within.append(at)
+            own.append(0)
+            at = len(nodes) - 1
+        waiting += [(c, at, False) for c in x.children]
+    full = list(own)
+    below: list[list[int]] = [[] for _ in nodes]
+    for k in range(len(nodes) - 1, 0, -1):  # a branch stands after the one that it is in
+        full[within[k]] += full[k]
+        below[within[k]].append(k)
+    base, saved, level = own[0], set(), below[0]
+    while level:
+        stay = [k for k in level if full[k] and full[k] >= base and nodes[k].path not in low]
+        saved |= {id(nodes[k]) for k in stay}
+        base += sum(own[k] for k in stay)
+        level = [j for k in stay for j in below[k]]
+    return saved
+
+
 def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
     """The article's text.
 
     Branches that markup names as something else go (NEVER, ASIDE, hidden, a header outside the article). What is left is the text of
     all article or main elements, or, on a page without any, of the whole body. Branches of low importance on their
     site go too, but in an article only those of a class or id of their own, and none that holds half of
-    the page's text: pages that are copies of one another repeat their article as well.
+    the page's text: pages that are copies of one another repeat their article as well. A name of ASIDE doesn't drop html, body or a
+    branch that holds most of the text, unless the site's tree agrees and something is left (see major_branches).
     """
     root = parse(page or "")
-    inside = {id(x) for x in _outermost(root, lambda x: x.article, lambda x: x.aside)}
+    return _main_text(root, low, low) or (_main_text(root, low, frozenset()) if low else "")
+
+
+def _main_text(root: Node, low: frozenset[str], agreed: frozenset[str]) -> str:
+    saved = major_branches([root], agreed)
+    inside = {id(x) for x in _outermost(root, lambda x: x.article or (x.main and id(x) in saved), lambda x: x.aside and id(x) not in saved)}
     whole = not inside
     if whole:  # an article that only broken markup put into a dropped branch still counts
         inside = {id(x) for x in _outermost(root, lambda x: x.tag in ("article", "main"), lambda x: x.tag in RAW or bool(set(_WORD.findall(x.path.rpartition(">")[2])) & ASIDE & {"comment", "comments", "commentlist"}))}
         whole = not inside
     tops = [root] if whole else [x for x in _walk_in_order(root) if id(x) in inside]
     tops_ids = {id(x) for x in tops}
-    usual = lambda x: id(x) in tops_ids or not x.aside
+    saved |= major_branches(tops, agreed)
+    usual = lambda x: id(x) in tops_ids or not x.aside or id(x) in saved
     text = " ".join(filter(None, (text_of(x, usual) for x in tops)))
     if low:
-        cut = {id(y) for x in tops for y in _outermost(x, lambda y: y.path in low and (whole or y.named), lambda y: y.aside and id(y) not in tops_ids) if id(y) not in tops_ids and 2 * len(text_of(y, usual)) < len(text)}
+        cut = {id(y) for x in tops for y in _outermost(x, lambda y: y.path in low and (whole or y.named), lambda y: not usual(y)) if id(y) not in tops_ids and 2 * len(text_of(y, usual)) < len(text)}
         if cut:
             text = " ".join(filter(None, (text_of(x, lambda y: usual(y) and id(y) not in cut) for x in tops)))
     return text

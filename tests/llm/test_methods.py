@@ -274,6 +274,15 @@ def test_main_text():
     assert html_tree.main_text("a < b <!-- open") == "a < b" and html_tree.main_text(None) == ""
 
 
+def test_names_drop_no_main_text():
+    story = "<p>A long story about something that matters to readers.</p>" * 3
+    text = " ".join(["A long story about something that matters to readers."] * 3)
+    for page in (f"<body class='home no-sidebar'>{story}</body>", f"<div class='content has-sidebar'>{story}<div class='sidebar'>Side</div></div>", f"<h1></h1><div id='search-results'><div class='no-ads'>{story}</div></div>"):
+        assert html_tree.main_text(page) == text
+    assert html_tree.main_text(f"<article>Teaser</article><div class='has-sidebar'><article>{story}</article></div>") == f"Teaser {text}"
+    assert html_tree.main_text(f"<div>{story}</div><div class='comments'>Nice</div>") == text
+
+
 def test_style_tree_finds_repeated_branches(spark):
     page = lambda i: f"<body><div class='x7'><p>Follow us everywhere</p></div><div class='body'><p>Story {i} of many {i * i}</p><p>More {i}</p></div></body>"
     rows = [(i, f"http://h{i % 2}.com/{i}", page(i)) for i in range(40)]
