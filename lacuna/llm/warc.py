@@ -23,6 +23,8 @@ DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of records that an archive's dictionary is trained on, its size, and bytes of payload after which an archive is closed.
 SAMPLE_BYTES, DICTIONARY_BYTES, ARCHIVE_BYTES = 1 << 20, 32 << 10, 256 << 20
+#: Bytes of the pieces that a dictionary learns from where the sample has fewer than 8 records.
+PIECE_BYTES = 16 << 10
 #: Equal payloads of at least so many bytes are stored once.
 LEAST_SHARED = 1000
 
@@ -87,7 +89,11 @@ class ArchiveWriter:
 
     def _begin(self) -> None:
         waiting, self.waiting = self.waiting, None
-        dictionary = train_dictionary(waiting, self.dictionary_bytes)
+        samples = waiting
+        if len(samples) < 8:  # large records: the first bytes of each, up to sample_bytes in all
+            share = self.sample_bytes // max(1, len(waiting))
+            samples = [r[at : min(at + PIECE_BYTES, share)] for r in waiting for at in range(0, min(len(r), share), PIECE_BYTES)]
+        dictionary = train_dictionary(samples, self.dictionary_bytes)
         if dictionary is not None:
             packed = zstandard.ZstdCompressor(level=self.level).compress(dictionary.as_bytes())
             self.sink.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)

@@ -314,6 +314,21 @@ def test_warc_frames(spark, tmp_path):
     assert {r.page_id: r.payload_digest for r in index} == want and all(r.intact for r in index)
 
 
+def test_large_records_get_a_dictionary():
+    import io
+    import struct
+
+    r, sink = random.Random(1), io.BytesIO()
+    sink.close = lambda: None
+    out = warc.ArchiveWriter(sink, warc.SAMPLE_BYTES, warc.DICTIONARY_BYTES, 3)
+    records = [warc.info_record("2026-01-01T00:00:00Z")] + [warc.build_record(str(i), f"http://e.com/{i}", " ".join(str(r.randrange(5000)) for _ in range(60_000)).encode(), None, "2026-01-01T00:00:00Z") for i in range(6)]
+    for record in records:
+        out.add(record)
+    out.close()
+    assert struct.unpack("<I", sink.getvalue()[:4])[0] == warc.DICTIONARY_MAGIC
+    assert len(list(warc.read_records(io.BytesIO(sink.getvalue())))) == len(records)
+
+
 def test_reputation_shrinks(spark):
     pages = spark.createDataFrame([(i, f"http://{'bad' if i < 60 else 'good' if i < 120 else 'new'}.site.co.uk/{i}") for i in range(130)], "i long, u string")
     outcomes = spark.createDataFrame([(i, 0 if i < 60 else 1) for i in range(120)], "id long, good int")
