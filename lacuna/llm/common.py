@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,35 +21,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session that is one process gets a folder of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         found = f"file://{tempfile.mkdtemp(prefix='lacuna-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. See drop_tables."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all that materialise() wrote in this application. For use once results are written: DataFrames that rest on such tables can't be read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    path.getFileSystem(conf).delete(path, True)
+
+
 #: Rows of ids and labels that are sent to every task at most (some tens of MB); more are joined by a shuffle.
 SENT_ROWS = 1_000_000
 
 
-def join_narrow(texts: DataFrame, narrow: DataFrame, on: str, how: str = "inner", sent_rows: int = SENT_ROWS) -> DataFrame:
-    """texts joined with a narrow table, which is counted first: up to sent_rows rows are broadcast, so that texts stay where they are."""
-    return texts.join(F.broadcast(narrow) if narrow.count() <= sent_rows else narrow, on, how)
+def join_narrow(texts: DataFrame, narrow: DataFrame, on: str, how: str = "inner", sent_rows: int = SENT_ROWS, salts: int = 16) -> DataFrame:
+    """texts joined with a narrow table, which is counted first: up to sent_rows rows are broadcast, so that texts stay where they are.
+
+    Beyond that both are shuffled by the key and the number of the texts' partition modulo `salts`, so that the rows of one frequent key are many tasks' work.
+    """
+    if narrow.count() <= sent_rows:
+        return texts.join(F.broadcast(narrow), on, how)
+    dealt = narrow.withColumn("_salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return texts.withColumn("_salt_", F.pmod(F.spark_partition_id(), F.lit(salts))).join(dealt, [on, "_salt_"], how).drop("_salt_")
+
+
+#: A key with more than this part of all rows is hot; there are HOT_SHARE of them at most, however many rows there are.
+HOT_SHARE = 1000
+
+
+def join_hot(rows: DataFrame, total: int, keyed: DataFrame, on: str, n: str) -> DataFrame:
+    """rows (`total` of them) joined with keyed, which has one row a key and, in column n, how many of rows have it.
+
+    The rows of hot keys (at most HOT_SHARE keys) meet theirs in a broadcast, all others in a shuffle, so that no task gets a hot key whole. Null keys join nothing.
+    """
+    hot, rest = keyed.where(F.col(n) > F.lit(total // HOT_SHARE)), keyed.where(F.col(n) <= F.lit(total // HOT_SHARE))
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold).drop(n)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores, such that df has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches near CHUNK_BYTES, so that Python workers hold little at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+def small_slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most `rows` rows and about `size` bytes, so that what a kernel turns into Python objects stays small at any session setting."""
+    for batch in batches:
+        step = max(1, min(rows, len(batch) * size // max(1, batch.nbytes)))
+        for lo in range(0, len(batch), step):
+            yield batch.slice(lo, step)
 
 
 def least_hash_rows(df: DataFrame, id_col: str, rows: int, seed: int, *ties: str, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[Row]:
@@ -65,14 +109,12 @@ def least_hash_rows(df: DataFrame, id_col: str, rows: int, seed: int, *ties: str
 
 def filter_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.RecordBatch, int], np.ndarray]]) -> DataFrame:
     """The rows of df, all columns as they are, for which a function of (batch, place of the text column) is true; `make` gives one to each task."""
-    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
-        for batch in batches:
-            if len(batch):
-                yield batch.filter(pa.array(keep(batch, at)))
+        for batch in small_slices(batches):
+            yield batch.filter(pa.array(keep(batch, at)))
 
     return df.mapInArrow(run, df.schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_hot, materialise
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,22 +13,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges has two columns of one orderable type. Alternates the large-star and small-star
     steps (Kiveris et al., 2014): each is a minimum per node (partial aggregation, so a hub costs
-    one row per task) joined back to the edges (adaptive execution splits a hub's rows). Each
+    one row per task) joined back to the edges (join_hot: a hub's edges stay spread over tasks). Each
     round is written to the shared folder. Loops, repeated edges and edges with a null end
     change nothing; no edge gives no row.
     """
     a, b = edges.columns
+    count = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
     at = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    at, seen = materialise(at), None
+    at = materialise(at)
+    seen = count(at)
     for _ in range(max_rounds):
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_hot(both, 2 * seen[0], low, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, seen[0], low, "u", "n")
+        low = low.select("u", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         at = materialise(small.where("u <> v").distinct())
-        now = at.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
+        now = count(at)
         if now == seen:
             roots = at.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

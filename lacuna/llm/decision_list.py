@@ -156,7 +156,7 @@ def verdict(rules: Sequence[Sequence[Condition]]) -> Column:
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[dict, bool]]:
     """At most `rows` labelled statistics that pass the base rules, those of least hash of the id; labels has columns id and good (null: none)."""
-    at = stats.where(~base_failed()).join(labels.where("good IS NOT NULL"), "id")
+    at = stats.where(~base_failed()).join(labels.select("id", "good").where("good IS NOT NULL"), "id")
     at = at.select("id", *[c.alias(k) for k, c in ratios().items()], (F.col("good") == 0).alias("bad"))
     names = list(ratios())
     return [({k: r[k] for k in names}, r["bad"]) for r in least_hash_rows(at, "id", rows, 1, *names, "bad")]
@@ -174,6 +174,7 @@ def quality_rules(df: DataFrame, labels: DataFrame, id_col: str, text_col: str)
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the five statistics, base_failed and kept of every row of documents; null texts have no words and fail the base rules, repeated rows stay, null labels teach nothing."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("good"))
     found, _ = quality_rules(table(spark, sf_dir, "documents"), labels, "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, byte_class, filter_texts, join_narrow, least_hash_rows, small_batches, table, text_slices, word_spans
+from .common import NOT_SPACE, byte_class, filter_texts, join_narrow, least_hash_rows, table, text_slices, word_spans
 from .toxicity import remainder
 from .winnowing import gram_hashes
 
@@ -102,7 +102,6 @@ def level(net: Network, positive: np.ndarray) -> float:
 
 def features(df: DataFrame) -> DataFrame:
     """(id, x) of df (id, text): the features of each row's whole text; of null and empty texts all 0."""
-    small_batches(df.sparkSession)
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, materialise, small_batches, table, text_slices, word_spans
+from .common import LOWER, NOT_SPACE, free_name, join_hot, materialise, table, text_slices, word_spans
 from .components import connected_components
 
 BITS = 64
@@ -59,7 +59,6 @@ def simhash(df: DataFrame, id_col: str, text_col: str, shingle: int = 4, seed: i
     repeats included, is joined by spaces and hashed by XXH64; a bit is set if over half the hashes
     set it. A shorter text is one shingle of all its words; null, empty and blank texts give 0.
     """
-    small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
 
@@ -151,10 +150,9 @@ def near_duplicate_components(fingerprints: DataFrame, distance: int = 4, bucket
     returns a star per local component, never all pairs. Null ids belong to their fingerprint's
     component and never name it; a component of null ids alone has a null name.
     """
-    spark = fingerprints.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    nodes = materialise(fingerprints.groupBy("fp").agg(F.min("id").alias("least")))
-    masks = block_masks(nodes.count(), distance)
+    nodes = materialise(fingerprints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    size = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    masks = block_masks(size.nodes, distance)
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)]))
     keyed = nodes.select("fp", key.alias("b")).select(F.xxhash64("b.i", "b.k").alias("bucket"), "fp")
@@ -170,11 +168,11 @@ def near_duplicate_components(fingerprints: DataFrame, distance: int = 4, bucket
         dealt = dealt.withColumn("mine", mine).withColumn("other", other).select("bucket", pair.alias("cell"), "fp")
     dealt = dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
     edges = dealt.mapInArrow(_bucket_edges(distance), "u long, v long")
-    roots = connected_components(edges)
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component"))
-    names = named.join(names, "root").select("fp", "component")
-    return fingerprints.join(names, "fp").select("id", "fp", "component")
+    linked = materialise(connected_components(edges).withColumnRenamed("node", "fp").join(nodes.select("fp", "least"), "fp"))
+    names = linked.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members"))
+    linked = join_hot(linked, linked.count(), names, "root", "members").select("fp", "component")
+    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), "n")
+    return join_hot(fingerprints, size.rows, materialise(named), "fp", "n").select("id", "fp", "component")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
@@ -194,9 +192,11 @@ def keep_one_per_group(df: DataFrame, id_col: str, text_col: str, shingle: int =
     out = df.join(keys, df[id_col].eqNullSafe(keys["_a"]) & (F.xxhash64(df[text_col]) == keys["_b"]), "left_semi")
     if stays.count() == keys.count():
         return out
-    return out.withColumn("_b", F.xxhash64(text_col)).dropDuplicates([id_col, "_b"]).drop("_b")
+    digest = free_name(df, "_digest")
+    return out.withColumn(digest, F.xxhash64(text_col)).dropDuplicates([id_col, digest]).drop(digest)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of documents; null, empty and blank texts have fingerprint zero and are linked like any other, repeated rows stay."""
     found = near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
