@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
+from array import array
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_texts, join_narrow, least_hash_rows, materialise, small_batches, table
+from .common import filter_texts, join_narrow, least_hash_rows, materialise, small_slices, table
 
 #: Characters of an n-gram at most, and up to how many the counts are shared by both classes.
-ORDER, SHARED = 4, 3
+ORDER, SHARED = 4, 2
 DISCOUNT = 0.9
 #: Pads the start of a word and ends it; neither is a word character.
 START, END = "\x02", "\x03"
@@ -37,18 +39,37 @@ KEY_CHARS = 40
 WORD = re.compile(r"\w+")
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+#: Characters of a text that are split into words at a time, and distinct words that a counting task holds.
+PIECE, HELD_WORDS = 1 << 20, 300_000
+_NO_WORD = re.compile(r"\W")
+
+
+def words_of(text: str) -> Iterator[list[str]]:
+    """The words of a text in order, lower-cased, in lists of one piece of it each."""
+    at = 0
+    while at < len(text):
+        border = _NO_WORD.search(text, at + PIECE) if at + PIECE < len(text) else None
+        end = border.start() if border else len(text)
+        yield WORD.findall(text[at:end].lower())
+        at = end
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[label].update(set(words_of(text or "")))
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def flush() -> Iterator[pa.RecordBatch]:
         rows = [(w, c if k == 0 else 0, c if k == 1 else 0) for k in (0, 1) for w, c in counts[k].items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["word", "c0", "c1"])
+        for lo in range(0, len(rows), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 50_000], strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["word", "c0", "c1"])
+        for c in counts:
+            c.clear()
+
+    for batch in small_slices(batches):
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts[label].update(set().union(*words_of(text or "")))
+        if sum(map(len, counts)) > HELD_WORDS:
+            yield from flush()
+    yield from flush()
 
 
 def word_counts(df: DataFrame) -> DataFrame:
@@ -60,32 +81,36 @@ def word_counts(df: DataFrame) -> DataFrame:
 
 
 def gram_counts(words: DataFrame, order: int = ORDER) -> dict[int, DataFrame]:
-    """Per order n (gram, c0, c1). The top order counts occurrences; lower ones, as Kneser and Ney do, the distinct characters
-    before the gram, but for grams at a word's start, which nothing else precedes: those keep occurrences."""
+    """Per order n (gram, c0, c1, c): the counts of each class, and of both pooled. The top order counts occurrences; lower ones, as Kneser and Ney do, the distinct
+    characters before the gram (pooled: in either class, each once), but for grams at a word's start, which nothing else precedes: those keep occurrences."""
     padded = F.concat(F.lit(START * (order - 1)), "word", F.lit(END))
     starts = F.sequence(F.lit(1), F.length("word") + 1)
     grams = words.select(F.explode(F.transform(starts, lambda i: F.substring(padded, i, F.lit(order)))).alias("gram"), "c0", "c1")
-    at = materialise(grams.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
-    occurrences, out = at, {order: at}
+    at = materialise(grams.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).withColumn("c", F.col("c0") + F.col("c1")))
+    occurrences, out, names = at, {order: at}, ("c0", "c1", "c")
     for n in range(order - 1, 0, -1):
         shorter = F.substring("gram", 2, n).alias("gram")
-        both = lambda f: [f(c).alias(c) for c in ("c0", "c1")]
-        occurrences = occurrences.select(shorter, "c0", "c1").groupBy("gram").agg(*both(F.sum))
-        kinds = out[n + 1].select(shorter, *[F.when(F.col(c) > 0, 1).otherwise(0).cast("long").alias(c) for c in ("c0", "c1")]).groupBy("gram").agg(*both(F.sum))
+        each = lambda f: [f(c).alias(c) for c in names]
+        occurrences = occurrences.select(shorter, *names).groupBy("gram").agg(*each(F.sum))
+        kinds = out[n + 1].select(shorter, *[(F.col(c) > 0).cast("long").alias(c) for c in names]).groupBy("gram").agg(*each(F.sum))
         initial = F.col("gram").startswith(START)
         out[n] = materialise(kinds.where(~initial).unionByName(occurrences.where(initial)))
     return out
 
 
 def _level(counts: DataFrame, lower: DataFrame | None, shared: bool, discount: float) -> DataFrame:
-    """(gram, p0, p1, g0, g1): interpolated probabilities of the gram's last character, and its context's backoff weights."""
+    """(gram, p0, p1, g0, g1): interpolated probabilities of the gram's last character, and its context's backoff weights.
+
+    Below the lowest order stands an even chance of each character seen and of one that stands for all others, so that the probabilities after any context sum to 1.
+    """
     if shared:
-        counts = counts.select("gram", *[(F.col("c0") + F.col("c1")).alias(c) for c in ("c0", "c1")])
+        counts = counts.select("gram", F.col("c").alias("c0"), F.col("c").alias("c1"))
     counts = counts.withColumn("ctx", F.expr("substring(gram, 1, length(gram) - 1)"))
     tot = counts.groupBy("ctx").agg(*[F.sum(c).alias(f"t{c[1]}") for c in ("c0", "c1")], *[F.sum(F.least(F.col(c), F.lit(1))).alias(f"n{c[1]}") for c in ("c0", "c1")])
     at = counts.join(tot, "ctx")
     if lower is None:
-        at = at.withColumn("b0", F.lit(1e-6)).withColumn("b1", F.lit(1e-6))
+        even = 1 / (counts.count() + 1)  # of the lowest order each gram is a character
+        at = at.withColumn("b0", F.lit(even)).withColumn("b1", F.lit(even))
     else:
         below = lower.select(F.col("gram").alias("rest"), F.col("p0").alias("b0"), F.col("p1").alias("b1"))
         at = at.withColumn("rest", F.expr("substring(gram, 2)")).join(below, "rest")
@@ -94,7 +119,15 @@ def _level(counts: DataFrame, lower: DataFrame | None, shared: bool, discount: f
     return at.select("gram", "ctx", *[(first(k) + weight(k) * F.col(f"b{k}")).alias(f"p{k}") for k in (0, 1)], *[weight(k).alias(f"g{k}") for k in (0, 1)])
 
 
-def text_row(values: list[float], distinct: Iterable[float]) -> list[float]:
+def levels(counts: dict[int, DataFrame], shared: int = SHARED, discount: float = DISCOUNT) -> dict[int, DataFrame]:
+    """_level() of each order, from the lowest up."""
+    out: dict[int, DataFrame] = {}
+    for n in sorted(counts):
+        out[n] = materialise(_level(counts[n], out.get(n - 1), n <= shared, discount))
+    return out
+
+
+def text_row(values: Sequence[float], distinct: Iterable[float]) -> list[float]:
     """The N_FEATURES numbers of a text with words: from the log ratios of its words in order, and of its distinct words."""
     all_, n = np.array(values), len(values)
     sums = np.concatenate(([0.0], np.cumsum(all_)))
@@ -132,18 +165,18 @@ class Model:
         """Per text N_FEATURES numbers, all 0 without words: the mean log ratio of all words, then what WINDOWS, TOP and OVER say. A text shorter than a window is one."""
         out = np.zeros((len(texts), N_FEATURES))
         for i, text in enumerate(texts):
-            words = words_of(text or "")
-            if not words:
-                continue
-            if len(cache) > CACHE:
-                cache.clear()
-            values = []
-            for w in words:
-                v = cache.get(w)
-                if v is None:
-                    v = cache[w] = self.word(w)
-                values.append(v)
-            out[i] = text_row(values, dict(zip(words, values, strict=True)).values())
+            values, distinct = array("d"), {}
+            for words in words_of(text or ""):
+                if len(cache) > CACHE:
+                    cache.clear()
+                for w in words:
+                    v = cache.get(w)
+                    if v is None:
+                        v = cache[w] = self.word(w)
+                    values.append(v)
+                distinct.update((w, cache[w]) for w in set(words))
+            if values:
+                out[i] = text_row(values, distinct.values())
         return out
 
     def apply(self, df: DataFrame, what: Callable[[np.ndarray], pa.Array], name: str, kind: str) -> DataFrame:
@@ -151,7 +184,7 @@ class Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache: dict[str, float] = {}
-            for batch in batches:
+            for batch in small_slices(batches):
                 found = what(self.features(batch.column(batch.num_columns - 1).to_pylist(), cache))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], name])
 
@@ -202,11 +235,11 @@ class TableModel:
         sent = dict(zip(got["key"].to_pylist(), got["v"].to_pylist(), strict=True))
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_slices(batches):
                 out = []
                 for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     places: dict[str, list[int]] = {}
-                    for at, w in enumerate(words_of(text or "")):
+                    for at, w in enumerate(itertools.chain.from_iterable(words_of(text or ""))):
                         places.setdefault(word_key(w), []).append(at)
                     known = [k for k in places if k in sent]
                     out.append((row, None, [sent[k] for k in known], [places[k] for k in known]))
@@ -216,7 +249,7 @@ class TableModel:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[lo : lo + 4096], strict=True), kinds, strict=True)], ["_row", "key", "known", "places"])
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_slices(batches):
                 x = np.zeros((len(batch), N_FEATURES))
                 for i, parts in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                     distinct = [v for p in parts for v in p["known"]]
@@ -249,12 +282,7 @@ def models_of(words: DataFrame, order: int = ORDER, shared: int = SHARED, discou
     aggregations and joins; the tables that would reach the driver are measured first, and where they exceed model_rows they stay tables. All
     counted grams are kept either way. No rows give ratios of 0.
     """
-    counts = gram_counts(words, order)
-    lower, tables = None, []
-    for n in range(1, order + 1):
-        lower = materialise(_level(counts[n], lower, n <= shared, discount))
-        if n > shared:
-            tables.append(lower)
+    tables = [t for n, t in levels(gram_counts(words, order), shared, discount).items() if n > shared]
     ratio = lambda a, b, name: (F.log(a) - F.log(b)).cast("float").cast("double").alias(name)
     told = [(t.select("gram", ratio(F.col("p1"), F.col("p0"), "r")), t.select("ctx", ratio(F.col("g1"), F.col("g0"), "b")).distinct()) for t in tables]
     if sum(t.count() for t in tables) > model_rows:
@@ -337,7 +365,6 @@ def train_detector(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     For calibration, models of three quarters of the rows (by a hash of the id) judge the last quarter, calibration_rows rows of least
     hash at most, so that `cut` parts the classes best. The models that score are then those of all rows. A repeated id counts as often as it stands.
     """
-    small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col("id"), folds) != held_out)).select("id", F.col("toxic").cast("int").alias("label"))
     quarter = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(4))
@@ -379,6 +406,7 @@ def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, cut
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of documents; null and wordless texts have a log ratio of 0, repeated rows stay, labels other than 0 and 1 teach nothing."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "toxic")
     found = toxicity(table(spark, sf_dir, "documents"), labels, "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
