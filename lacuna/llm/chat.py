@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from ..operators.ordered import running_before
+from .common import small_slices, table
 
 
 @dataclass(frozen=True)
@@ -63,88 +64,98 @@ def read_turn(template: Template, text: str) -> tuple[str, str]:
 
 
 def _render(template: Template):
-    """Rows (conv, role, text) in order -> rows (conv, turn_no, part, segment, loss, in_order, may_end): three segments a turn."""
+    """Rows (conv, turn_no, before, role, text) in any order -> rows (conv, turn_no, part, segment, loss, allowed, may_end): three segments a turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, n, state = object(), 0, ""
-        for batch in batches:
+        names, kinds = ["conv", "turn_no", "part", "segment", "loss", "allowed", "may_end"], (pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+        for batch in small_slices(batches):
             out: list[tuple] = []
-            for conv, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if conv != last or type(conv) is not type(last):
-                    last, n, state = conv, 0, template.start
-                role = role or ""
-                ok = state != "" and (state, role) in template.moves
-                state = role if ok else ""
-                learned = role in template.learned
-                parts = ((template.head(role), False), (template.escape(text or ""), learned), (template.end, False))
-                out += [(conv, n, i, part, loss, ok, state in template.final) for i, (part, loss) in enumerate(parts)]
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((batch.schema[0].type, pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_()))], ["conv", "turn_no", "part", "segment", "loss", "in_order", "may_end"])
+            for no, before, role, text in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                allowed, learned = (template.start if before is None else before, role) in template.moves, role in template.learned
+                parts = ((template.head(role), False), (template.escape(text), learned), (template.end, False))
+                out += [(no, i, part, loss, allowed, role in template.final) for i, (part, loss) in enumerate(parts)]
+            conv = batch.column(0).take(pa.array([i for i in range(len(batch)) for _ in range(3)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([conv, *(pa.array([x[i] for x in out], t) for i, t in enumerate(kinds))], names)
 
     return run
 
 
 def format_chat(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, template: Template | None = None) -> DataFrame:
-    """(conv, turn_no, part, segment, loss, in_order, may_end): the formatted text of each conversation as segments in order.
+    """(conv, turn_no, part, segment, loss, allowed, may_end): the formatted text of each conversation as segments, three a turn.
 
-    Joined in order, a conversation's segments are its training text; loss marks what is learned. Turns are
-    taken by turn, then role, then text (ties and repeated rows all stay); null roles and texts are empty; rows of a null conversation are one
-    conversation. in_order says if the machine accepts all turns so far (a role it doesn't know or expect ends that, the text is emitted
-    all the same), may_end if it would accept an end here. A partition streams its sorted rows and keeps one turn
-    at a time, so a conversation of any length fits; its order (and a hash of it) makes it one task's work.
+    Joined by turn_no and part, a conversation's segments are its training text; loss marks what is learned. Turns (whole numbers) are
+    taken by turn, then role, then text (ties and repeated rows all stay; null turns come first); null roles and texts are empty; rows of a null conversation are one
+    conversation. The machine's state is the role of the turn before: allowed says if it may go from there to this turn's role (a role it doesn't know or expect
+    is emitted all the same), may_end if it may end after this turn. Numbers and roles before are running aggregates over buckets of turns, so that a conversation of any
+    length is many tasks' work, and each turn is formatted on its own.
     """
-    small_batches(df.sparkSession)
-    src = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    src = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"))
     kind = src.schema["conv"].dataType.simpleString()
-    ordered = src.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
-    return ordered.mapInArrow(_render(template or Template()), f"conv {kind}, turn_no long, part int, segment string, loss boolean, in_order boolean, may_end boolean")
+    at = running_before(src, ["conv"], ["turn", "role", "text"], {"turn_no": (F.lit(1).cast("long"), "sum"), "before": (F.col("role"), "last")})
+    return at.select("conv", "turn_no", "before", "role", "text").mapInArrow(_render(template or Template()), f"conv {kind}, turn_no long, part int, segment string, loss boolean, allowed boolean, may_end boolean")
 
 
 def _read_back(template: Template):
+    """Segments in order -> digests. Of the columns only conv, the segment's text and its loss flag say what stands where: turns are cut out of the running text by the template's end."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
-        kinds = (None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+        convs, out = [], []
         now: dict | None = None
-        out: list[tuple] = []
 
         def close() -> None:
-            if now is not None:
-                out.append((now["conv"], now["n"], now["turns"].hexdigest(), now["loss_chars"], now["loss"].hexdigest(), now["chars"], now["ok"]))
+            if now["text"]:
+                raise ValueError(f"text after the last turn: {now['text'][:80]!r}")
+            out.append((now["n"], now["turns"].hexdigest(), now["loss_chars"], now["loss"].hexdigest(), now["chars"], now["ok"] and now["may_end"]))
+            convs.append(now["conv"])
+
+        def told(kind: pa.DataType) -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(convs, kind), *(pa.array([x[i] for x in out], t) for i, t in enumerate(kinds))], names)
+            convs.clear()
+            out.clear()
+            return rows
 
         kind = None
-        for batch in batches:
+        for batch in small_slices(batches):
             kind = batch.schema[0].type
-            for conv, no, part, segment, loss, in_order, may_end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if no == 0 and part == 0:
-                    close()
-                    now = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "ok": True, "turn": []}
-                now["turn"].append(segment)
+            for conv, segment, loss, allowed, may_end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or conv != now["conv"]:
+                    if now is not None:
+                        close()
+                    now = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "ok": True, "text": ""}
                 now["chars"] += len(segment)
+                now["ok"], now["may_end"] = now["ok"] and allowed, may_end
                 if loss:
                     plain = template.unescape(segment)
                     now["loss"].update(plain.encode())
                     now["loss_chars"] += len(plain)
-                if segment == template.end and part == 2:
-                    role, text = read_turn(template, "".join(now["turn"]))
+                seen = max(0, len(now["text"]) - len(template.end))
+                now["text"] += segment
+                while (at := now["text"].find(template.end, seen)) >= 0:
+                    at += len(template.end)
+                    role, text = read_turn(template, now["text"][:at])
                     now["turns"].update(f"{role}\n{text}\n".encode())
-                    now["n"], now["turn"], now["ok"] = now["n"] + 1, [], in_order and may_end
+                    now["n"], now["text"], seen = now["n"] + 1, now["text"][at:], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t or kind) for i, t in enumerate(kinds)], names)
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t or kind) for i, t in enumerate(kinds)], names)
+                yield told(kind)
+        if now is not None:
+            close()
+            yield told(kind)
 
     return run
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """Digests of each conversation, read from format_chat()'s segments: turns parsed out of the text, loss text by its mask.
+    """Digests of each conversation, read from format_chat()'s segments joined in order: turns parsed out of the running text alone, loss text by its mask.
 
-    valid is true if every turn was in order and the conversation may end where it does.
+    valid is true if every turn was allowed and the conversation may end where it does. A digest is a sequential hash, so here (and only here) a conversation is one task's
+    stream; a turn at a time is in memory.
     """
     kind = segments.schema["conv"].dataType.simpleString()
-    return segments.mapInArrow(_read_back(template or Template()), f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    ordered = segments.repartition("conv").sortWithinPartitions("conv", "turn_no", "part").select("conv", "segment", "loss", "allowed", "may_end")
+    return ordered.mapInArrow(_read_back(template or Template()), f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 
 #: A conversation that the query adds: control strings inside the texts themselves.
@@ -158,6 +169,7 @@ def with_tricky(conversations: DataFrame) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid of all conversations and the tricky one; null texts and roles are empty, repeated rows are turns of their own."""
     segments = format_chat(with_tricky(table(spark, sf_dir, "conversations")), "conv_id", "turn", "role", "text")
     return read_back(segments).withColumnRenamed("conv", "conv_id")
 
