@@ -20,14 +20,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import materialise, small_slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -313,30 +312,28 @@ def _id_lists(packed: list[bytes]) -> pa.Array:
 def _encode_small(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                packed = [encoder.encode(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(packed)], ["id", "ids"])
+        for part in small_slices(batches, 256):
+            packed = [encoder.encode(x or "") for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(packed)], ["id", "ids"])
 
     return run
 
 
-_CHUNK = pa.schema([("row", pa.int64()), ("no", pa.int32()), ("text", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("last", pa.bool_())])
+_CHUNK = pa.schema([("row", pa.int64()), ("no", pa.int32()), ("n", pa.int32()), ("text", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("last", pa.bool_())])
 
 
 def _cut(path: str, chunk: int):
-    """Rows (row, text) -> chunks (row, no, text with a margin on both sides, from, to), places within that text."""
+    """Rows (row, text) -> chunks (row, no, n: the row's chunks, text with a margin on both sides, from, to), places within that text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder_of(path).model
-        for batch in batches:
+        for batch in small_slices(batches):
             for row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = model.surface(text)
                 for no, lo in enumerate(range(0, len(s), chunk)):
                     begin = max(0, lo - model.longest)
                     part = s[begin : lo + chunk + model.longest]
-                    yield pa.RecordBatch.from_pylist([{"row": row, "no": no, "text": part, "a": lo - begin, "b": min(lo + chunk, len(s)) - begin, "last": lo + chunk >= len(s)}], schema=_CHUNK)
+                    yield pa.RecordBatch.from_pylist([{"row": row, "no": no, "n": -(-len(s) // chunk), "text": part, "a": lo - begin, "b": min(lo + chunk, len(s)) - begin, "last": lo + chunk >= len(s)}], schema=_CHUNK)
 
     return run
 
@@ -346,9 +343,11 @@ def chunk_entries(model: Pieces, text: str, a: int, no: int) -> list[State]:
     return [(a, "")] if no == 0 or model.border(text, a, a) == a else model.entries(text, a)
 
 
-def chunk_matrix(model: Pieces, text: str, entries: list[State], a: int, b: int) -> dict[State, np.ndarray]:
-    """transfer() of text[a:b]. All paths meet at a border, so only what lies before the first and after the last one is walked;
-    what lies between adds the same to all of them and is left out."""
+def chunk_matrix(model: Pieces, text: str, entries: list[State], a: int, b: int, walk_all: bool = False) -> dict[State, np.ndarray]:
+    """transfer() of text[a:b]. All paths meet at a border, so only what lies before the first and after the last one need be walked;
+    what lies between adds the same to all of them and is left out, unless walk_all."""
+    if walk_all:
+        return transfer(model, text, entries, b)
     first = a if entries == [(a, "")] else model.border(text, a, b)
     if first < 0:
         return transfer(model, text, entries, b)
@@ -359,11 +358,14 @@ def chunk_matrix(model: Pieces, text: str, entries: list[State], a: int, b: int)
     return {s: met + v[0] for s, v in tail.items()}
 
 
-def chunk_ids(model: Pieces, encoder: Encoder, text: str, start: State, stop: State, a: int, b: int) -> bytes:
-    """The ids of the best path through text[a:b] from state to state, as bytes of int32."""
+def chunk_ids(model: Pieces, encoder: Encoder, text: str, start: State, stop: State, a: int, b: int, walk_all: bool = False) -> bytes:
+    """The ids of the best path through text[a:b] from state to state, as bytes of int32: traced back whole if walk_all, else only outside the first and last border."""
     ids = lambda pieces: np.array([i for piece in pieces for i in model.token(piece)], np.int32).tobytes()
     first = start[0] if start == (a, "") else model.border(text, a, b)
-    if first < 0:
+    if first < 0 or walk_all:
+        if stop == (b, "") and walk_all and b < len(text):  # at a border all states are one: the best of them
+            leaving = transfer(model, text, [start], b)
+            stop = max((float(v[0]), s) for s, v in leaving.items() if s[0] == b)[1]
         return ids(trace(model, text, start, stop, b))
     head = b""
     if start[0] < first:
@@ -375,78 +377,143 @@ def chunk_ids(model: Pieces, encoder: Encoder, text: str, start: State, stop: St
     return head + encoder.surface(text[first:last]) + tail
 
 
-def _matrices(path: str):
-    """Chunks -> (row, no, matrix): the states as offsets from the chunk's borders, and the weights."""
+Matrix = dict[str, list]  # in: entering states, from the chunk's start; out: (leaving state, from its end, and the weight from each entering state)
+
+
+def _matrices(path: str, walk_all: bool):
+    """Chunks -> (row, no, n, matrix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder_of(path).model
-        for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                entries = chunk_entries(model, x["text"], x["a"], x["no"])
-                leaving = chunk_matrix(model, x["text"], entries, x["a"], x["b"])
-                if not x["last"] and model.border(x["text"], x["b"], x["b"]) == x["b"]:  # one state there, whatever the last piece
-                    leaving = {(x["b"], ""): np.max(np.stack(list(leaving.values())), axis=0)}
-                out.append(json.dumps({"in": [(p - x["a"], s) for p, s in entries], "out": [(p - x["b"], s, v.tolist()) for (p, s), v in leaving.items() if not x["last"] or p == x["b"]]}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["row", "no", "matrix"])
+        for batch in small_slices(batches):
+            out = [json.dumps(border_matrix(model, x["text"], x["a"], x["b"], x["no"], x["last"], walk_all)) for x in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("no"), batch.column("n"), pa.array(out, pa.string())], ["row", "no", "n", "matrix"])
 
     return run
 
 
-def border_states(matrices: list[dict]) -> list[tuple[State, State]]:
-    """(entering, leaving) state of each chunk on the best path through all of them: a forward product, then the choice from the end."""
-    entries = [[(p, s) for p, s in m["in"]] for m in matrices]
-    own = [{(p, s): np.array(v) for p, s, v in m["out"]} for m in matrices]
-    ahead = [own[0]]
-    for rows, m in zip(entries[1:], own[1:], strict=True):
-        ahead.append(combine(ahead[-1], rows, m))
-    at = max((float(v[0]), s) for s, v in ahead[-1].items())[1]
-    out = []
-    for k in range(len(matrices) - 1, -1, -1):
-        before = entries[k][0] if k == 0 else max((float(ahead[k - 1][s][0] + own[k][at][i]), s) for i, s in enumerate(entries[k]) if s in ahead[k - 1])[1]
-        out.append((before, at))
-        at = before
-    return out[::-1]
+def border_matrix(model: Pieces, text: str, a: int, b: int, no: int, last: bool, walk_all: bool = False) -> Matrix:
+    """The matrix of a chunk (text[a:b]), its states told by their distance from the chunk's borders, so that neighbours speak of the same ones."""
+    entries = chunk_entries(model, text, a, no)
+    leaving = chunk_matrix(model, text, entries, a, b, walk_all)
+    if not last and model.border(text, b, b) == b:  # one state there, whatever the last piece
+        leaving = {(b, ""): np.max(np.stack(list(leaving.values())), axis=0)}
+    return {"in": [(p - a, s) for p, s in entries], "out": [(p - b, s, v.tolist()) for (p, s), v in leaving.items() if not last or p == b]}
+
+
+def _states(matrix: Matrix) -> tuple[list[State], dict[State, np.ndarray]]:
+    return [(p, s) for p, s in matrix["in"]], {(p, s): np.array(v) for p, s, v in matrix["out"]}
+
+
+def product(left: Matrix, right: Matrix) -> Matrix:
+    """The matrix of two neighbours as one."""
+    _, of_left = _states(left)
+    entries, of_right = _states(right)
+    return {"in": left["in"], "out": [(p, s, v.tolist()) for (p, s), v in combine(of_left, entries, of_right).items()]}
+
+
+def middle_state(left: Matrix, right: Matrix, start: State, stop: State) -> State:
+    """The state between two neighbours on the best path from start to stop."""
+    rows, of_left = _states(left)
+    entries, of_right = _states(right)
+    i = rows.index(start)
+    return max((float(of_left[s][i] + of_right[stop][j]), s) for j, s in enumerate(entries) if s in of_left)[1]
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("no")
-    states = border_states([json.loads(m) for m in pdf["matrix"]])
-    return pd.DataFrame({"row": pdf["row"], "no": pdf["no"], "state": [json.dumps(s) for s in states]})
+def best_ends(matrix: Matrix) -> tuple[State, State]:
+    """(entering, leaving) state of the best path through a whole text."""
+    entries, leaving = _states(matrix)
+    return entries[0], max((float(v[0]), s) for s, v in leaving.items())[1]
 
 
-def _trace_chunks(path: str):
+def _as_state(x) -> State:
+    return x[0], x[1]
+
+
+def _with_json(column: int, kinds: list[tuple[str, pa.DataType]], f):
+    """Rows with f (of the JSON values in the columns from `column` on) as JSON in their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_slices(batches):
+            given = zip(*([None if x is None else json.loads(x) for x in c.to_pylist()] for c in batch.columns[column:]), strict=True)
+            told = [f(*x) for x in given]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:column], *(pa.array([json.dumps(x[i]) for x in told], t) for i, (_, t) in enumerate(kinds))], [*batch.schema.names[:column], *(k for k, _ in kinds)])
+
+    return run
+
+
+def _pair_states(left, right, state):
+    """JSON values of two neighbours (the right one may be missing) and the states around both -> the states around each."""
+    if right is None:
+        return state, None
+    start, stop = map(_as_state, state)
+    middle = middle_state(left, right, start, stop)
+    return (start, middle), (middle, stop)
+
+
+def border_states(matrices: DataFrame) -> DataFrame:
+    """(row, no, state) of matrices (row, no, n: the chunks of the row, matrix): the (entering, leaving) states of each chunk on the best path through its text.
+
+    A parallel scan: neighbours are multiplied in pairs, then the products, until a text is one matrix (a round per doubling, for all texts at once); its ends are chosen; then each
+    product hands its states down to its two halves. No more than two matrices ever meet in one place, however long a text is.
+    """
+    levels, at, span = [], matrices, 1
+    pair = lambda df: df.groupBy("row", F.shiftright("no", 1).alias("no"), "n").agg(F.max(F.when(F.col("no") % 2 == 0, F.col("matrix"))).alias("left"), F.max(F.when(F.col("no") % 2 == 1, F.col("matrix"))).alias("right"))
+    text = [("matrix", pa.string())]
+    while True:
+        levels.append((span, at))
+        more = at.where(F.col("n") > span)
+        if more.isEmpty():
+            break
+        span *= 2
+        multiplied = pair(more).mapInArrow(_with_json(3, text, lambda a, b: (a if b is None else product(a, b),)), "row long, no int, n int, matrix string")
+        at = materialise(multiplied)
+    ends = lambda df: df.mapInArrow(_with_json(3, [("state", pa.string())], lambda m: (best_ends(m),)), "row long, no int, n int, state string").select("row", "no", "state")
+    states = None
+    for k in range(len(levels) - 1, -1, -1):
+        span, at = levels[k]
+        done = ends(at.where((F.col("n") <= span) & (F.col("n") > span // 2)))  # whole texts at this level
+        if states is not None:
+            handed = pair(at.where(F.col("n") > span)).join(states, ["row", "no"]).select("row", "no", "left", "right", "state")
+            handed = handed.mapInArrow(_with_json(2, [("a", pa.string()), ("b", pa.string())], _pair_states), "row long, no int, a string, b string")
+            halves = F.explode(F.array(F.struct((F.col("no") * 2).alias("no"), F.col("a").alias("state")), F.struct((F.col("no") * 2 + 1).alias("no"), F.col("b").alias("state")))).alias("x")
+            done = done.unionByName(handed.select("row", halves).select("row", "x.no", "x.state").where("state <> 'null'"))
+        states = materialise(done)
+    return states
+
+
+def _trace_chunks(path: str, walk_all: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         model = encoder.model
-        for batch in batches:
+        for batch in small_slices(batches):
             packed = []
             for x in batch.to_pylist():
                 (p, s), (q, t) = json.loads(x["state"])
-                packed.append(chunk_ids(model, encoder, x["text"], (p + x["a"], s), (q + x["b"], t), x["a"], x["b"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _id_lists(packed)], ["row", "no", "ids"])
+                packed.append(chunk_ids(model, encoder, x["text"], (p + x["a"], s), (q + x["b"], t), x["a"], x["b"], walk_all))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("no"), _id_lists(packed)], ["row", "no", "ids"])
 
     return run
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, path: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def encode(df: DataFrame, id_col: str, text_col: str, path: str = MODEL, chunk: int = CHUNK, walk_all: bool = False) -> DataFrame:
     """(id, ids): the model's token ids of each row's whole text, one row per row of df; an empty array for null and empty texts.
 
     Texts of up to two chunks are one chunk, solved segment by segment (no piece crosses a segment's border, so its
     matrix is one number). Longer ones are cut, and their chunks are spread over tasks three times: for their matrices, for
-    tracing, and to be joined in order; of a text only the small matrices meet in one task. path is a file that
-    every worker can read.
+    tracing, and to be joined in order; of a text no more than two small matrices meet in one task (border_states). walk_all takes all steps of a chunk
+    into its matrix and traces all of them back, instead of solving what lies between two borders segment by segment: the same ids, more slowly. path is a file that
+    every worker can read. Repeated rows and null ids stay.
     """
-    small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     long = F.length("text") > 2 * chunk
     short = src.where(~long).mapInArrow(_encode_small(path), f"id {kind}, ids array<int>")
     giants = materialise(src.where(long).withColumn("row", F.monotonically_increasing_id()))
-    chunks = materialise(giants.select("row", "text").mapInArrow(_cut(path, chunk), "row long, no int, text string, a int, b int, last boolean"))
+    chunks = materialise(giants.select("row", "text").mapInArrow(_cut(path, chunk), "row long, no int, n int, text string, a int, b int, last boolean"))
     dealt = chunks.repartition("row", "no")
-    states = materialise(dealt.mapInArrow(_matrices(path), "row long, no int, matrix string").groupBy("row").applyInPandas(_fold, "row long, no int, state string"))
-    traced = chunks.join(states, ["row", "no"]).mapInArrow(_trace_chunks(path), "row long, no int, ids array<int>")
+    states = border_states(materialise(dealt.mapInArrow(_matrices(path, walk_all), "row long, no int, n int, matrix string")))
+    traced = chunks.join(states, ["row", "no"]).mapInArrow(_trace_chunks(path, walk_all), "row long, no int, ids array<int>")
     whole = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     whole = whole.select("row", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
     return short.unionByName(giants.select("row", "id").join(whole, "row").select("id", "ids"))
@@ -458,7 +525,7 @@ def decode(df: DataFrame, id_col: str, ids_col: str, path: str = MODEL) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder_of(path).model
-        for batch in batches:
+        for batch in small_slices(batches):
             texts = model.decode_all(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
@@ -471,9 +538,9 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder_of(MODEL).model
-        for batch in batches:
+        for batch in small_slices(batches):
             ids = batch.column(1)
             texts = model.decode_all(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)), ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])], ["doc_id", "n_tokens", "token_ids", "decoded_chars", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64()), ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])], ["doc_id", "n_tokens", "token_ids", "decoded_chars", "decoded_sha256"])
 
     return found.mapInArrow(run, f"doc_id {found.schema['id'].dataType.simpleString()}, n_tokens long, token_ids array<int>, decoded_chars long, decoded_sha256 string")
