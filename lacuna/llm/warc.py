@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, small_batches, table
+from .common import join_hot, materialise, shared_dir, small_slices, table
 
 #: Magic of the skippable frame that holds a dictionary in .warc.zst files, and of a plain Zstandard frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
@@ -29,25 +29,31 @@ PIECE_BYTES = 16 << 10
 LEAST_SHARED = 1000
 
 
-def record_urn(name: str | None, digest: bytes) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}:{digest.hex()}')}>"
+def header_value(text: str) -> str:
+    """text without line ends, such that plain_value() gives it back."""
+    return text.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def build_record(name: str | None, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
-    """One WARC/1.1 record: a response, or a revisit (the HTTP head alone) if refers_to is given."""
+def plain_value(value: str | None) -> str | None:
+    return value if value is None else value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
+def build_record(urn: str, name: str | None, url: str | None, payload: bytes, refers_to: str | None, refers_url: str | None, date: str) -> bytes:
+    """One WARC/1.1 record of a name of its own: a response, or a revisit (the HTTP head alone) of another page's response if refers_to is given."""
     digest = hashlib.sha1(payload).digest()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_urn(name, digest)),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, urn)}>"),
         ("WARC-Date", date),
         ("WARC-Target-URI", None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", f"sha1:{base64.b32encode(digest).decode()}"),
         ("WARC-Profile", None if refers_to is None else REVISIT_PROFILE),
-        ("WARC-Refers-To", None if refers_to is None else record_urn(refers_to, digest)),
-        ("X-Page-Id", name),
-        ("X-Refers-To-Page-Id", refers_to),
+        ("WARC-Refers-To-Target-URI", None if refers_to is None or refers_url is None else refers_url.replace("\r", "%0D").replace("\n", "%0A")),
+        ("WARC-Refers-To-Date", None if refers_to is None else date),
+        ("X-Page-Id", None if name is None else header_value(name)),
+        ("X-Refers-To-Page-Id", None if refers_to is None else header_value(refers_to)),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
@@ -60,14 +66,15 @@ def info_record(date: str) -> bytes:
     return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def train_dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from sample records, smaller where they are few; None where they are too few or too alike to give one."""
+def train_dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressionDict:
+    """A dictionary from sample records, smaller where they are few; where they are too few or too alike for training, their own first bytes are the dictionary."""
+    content = b"".join(samples)[:size]
     while len(samples) >= 8 and size >= 256:
         try:
             return zstandard.train_dictionary(size, samples, k=200, d=8)
         except zstandard.ZstdError:
             size //= 4
-    return None
+    return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class ArchiveWriter:
@@ -94,9 +101,8 @@ class ArchiveWriter:
             share = self.sample_bytes // max(1, len(waiting))
             samples = [r[at : min(at + PIECE_BYTES, share)] for r in waiting for at in range(0, min(len(r), share), PIECE_BYTES)]
         dictionary = train_dictionary(samples, self.dictionary_bytes)
-        if dictionary is not None:
-            packed = zstandard.ZstdCompressor(level=self.level).compress(dictionary.as_bytes())
-            self.sink.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
+        packed = zstandard.ZstdCompressor(level=self.level).compress(dictionary.as_bytes())
+        self.sink.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
         self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=dictionary, write_checksum=True)
         for record in waiting:
             self.sink.write(self.compressor.compress(record))
@@ -150,13 +156,13 @@ def _write(folder: str, archive_bytes: int, sample_bytes: int, dictionary_bytes:
             writer.close()
             return pa.RecordBatch.from_pydict({"archive": [f"{folder}/{archive}"], "records": [writer.records - 1], "bytes": [writer.size]})
 
-        for batch in batches:
-            for name, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in small_slices(batches):
+            for name, url, payload, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None:
                     archive = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{at}.warc.zst"
                     writer = ArchiveWriter(fs.open_output_stream(f"{root}/{archive}", compression=None), sample_bytes, dictionary_bytes, level)
                     writer.add(info_record(date))
-                writer.add(build_record(name, url, payload, refers_to, date))
+                writer.add(build_record(f"{archive}:{writer.records}", name, url, payload, refers_to, refers_url, date))
                 if writer.size >= archive_bytes:
                     yield closed()
                     writer, at = None, at + 1
@@ -167,15 +173,17 @@ def _write(folder: str, archive_bytes: int, sample_bytes: int, dictionary_bytes:
 
 
 def revisits(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
-    """(name, digest, refers_to) of the pages (name, payload) whose payload, of `least` bytes or more, a page of larger name holds too.
+    """(name, digest, refers_to, refers_url) of the pages (name, url, payload) whose payload, of `least` bytes or more, a page of larger name holds too.
 
-    Digests and names alone are shuffled. Rows repeated with the largest name stay responses all; a null name refers
+    Digests, names and urls alone are shuffled, those of a payload that very many pages have not even that (join_hot). Rows repeated with the largest name stay responses all; a null name refers
     to any other and is never referred to.
     """
-    ids = pages.select("name", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= least).drop("n")
-    keepers = ids.groupBy("digest").agg(F.max("name").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = ids.join(keepers, "digest").where("refers_to IS NOT NULL AND NOT (name <=> refers_to)")
-    return materialise(found.select("name", "digest", "refers_to").distinct())
+    ids = pages.select("name", "url", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= least).drop("n")
+    ids = materialise(ids)
+    keepers = ids.groupBy("digest").agg(F.max(F.when(F.col("name").isNotNull(), F.struct("name", "url"))).alias("_k"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    keepers = keepers.select("digest", F.col("_k.name").alias("refers_to"), F.col("_k.url").alias("refers_url"), "n")
+    found = join_hot(ids.drop("url"), ids.count(), keepers, "digest", "n").where("refers_to IS NOT NULL AND NOT (name <=> refers_to)")
+    return materialise(found.select("name", "digest", "refers_to", "refers_url").distinct())
 
 
 def write_archives(df: DataFrame, id_col: str, url_col: str, payload_col: str, folder: str, *, least_shared: int = LEAST_SHARED, archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -187,11 +195,10 @@ def write_archives(df: DataFrame, id_col: str, url_col: str, payload_col: str, f
     that the manifest (itself written durably) names count. Payloads meet their revisit row by id, not by digest, so thousands of
     copies don't meet in one task. Null urls have no target field. An empty df gives an empty manifest.
     """
-    small_batches(df.sparkSession)
     pages = df.select(F.col(id_col).alias("name"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
-    again = revisits(pages, least_shared).select(F.col("name").alias("other"), F.col("digest").alias("same"), "refers_to")
+    again = revisits(pages, least_shared).select(F.col("name").alias("other"), F.col("digest").alias("same"), "refers_to", "refers_url")
     joined = pages.join(again, pages["name"].eqNullSafe(again["other"]) & (F.sha1(pages["payload"]) == again["same"]), "left")
-    rows = joined.select(F.col("name").cast("string").alias("name"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
+    rows = joined.select(F.col("name").cast("string").alias("name"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"), "refers_url")
     return materialise(rows.mapInArrow(_write(folder, archive_bytes, sample_bytes, dictionary_bytes, level, date), "archive string, records long, bytes long"))
 
 
@@ -209,7 +216,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     length = int(head.rpartition(b"Content-Length: ")[2])
                     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                     whole = fields["warc-type"] == "revisit" or (len(payload) == length and hashlib.sha1(payload).hexdigest() == digest)
-                    out.append((fields.get("x-page-id"), fields.get("warc-target-uri"), length, digest, fields["warc-type"], fields.get("x-refers-to-page-id"), whole))
+                    out.append((plain_value(fields.get("x-page-id")), fields.get("warc-target-uri"), length, digest, fields["warc-type"], plain_value(fields.get("x-refers-to-page-id")), whole))
                     if len(out) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                         out = []
@@ -227,6 +234,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from the archives of all rows of pages; null html is an empty payload, repeated rows are records of their own."""
     folder = f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}"
     found = read_archives(write_archives(table(spark, sf_dir, "pages"), "page_id", "url", "html", folder))
     return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
