@@ -62,8 +62,8 @@ class Page:
 
     __slots__ = ("keys", "marks", "owners", "parents", "pieces", "tags")
 
-    def __init__(self) -> None:
-        self.tags, self.parents, self.keys, self.marks = [""], [-1], [0], [0]
+    def __init__(self, site: str) -> None:
+        self.tags, self.parents, self.keys, self.marks = [""], [-1], [xxhash.xxh64_intdigest(site) >> 1], [0]
         self.owners: list[int] = []
         self.pieces: list[str] = []
 
@@ -73,13 +73,13 @@ class Page:
         return " ".join(html.unescape("".join(parts)).split())
 
 
-def parse(page: str) -> Page:
-    """The page's tree, in time and memory linear in the page.
+def parse(page: str, site: str = "") -> Page:
+    """The page's tree, in time and memory linear in the page. A node's key is a hash of its site and of the elements down to it.
 
     Forgiving: unclosed elements end with their parent, stray end tags and unfinished comments go, a tag that never ends takes the rest
     of the page with it. Blocks put a blank on both sides into the text of their parent.
     """
-    out = Page()
+    out = Page(site)
     tags, parents, keys, marks, owners, pieces = out.tags, out.parents, out.keys, out.marks, out.owners, out.pieces
     stack, block, article = [0], [0], [False]  # open nodes; the place in the stack of the nearest block; inside an article
     open_tags: Counter = Counter()
@@ -224,14 +224,14 @@ def _signed(text: str) -> int:
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, kinds = ["site", "key", "kind", "feature", "c"], (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-    held: dict[tuple[str, int, int], Counter] = {}
+    names, kinds = ["key", "kind", "feature", "c"], (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+    held: dict[tuple[int, int], Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (site, key, kind), counts in held.items():
+        for (key, kind), counts in held.items():
             n = len(counts)
             hashed = [_signed(x) for x in counts] if kind else [0] * n
-            columns = [pa.repeat(pa.scalar(site, pa.string()), n), pa.repeat(pa.scalar(key, pa.int64()), n), pa.repeat(pa.scalar(kind, pa.int32()), n), pa.array(hashed, pa.int64()), pa.array(list(counts.values()), pa.int64())]
+            columns = [pa.repeat(pa.scalar(key, pa.int64()), n), pa.repeat(pa.scalar(kind, pa.int32()), n), pa.array(hashed, pa.int64()), pa.array(list(counts.values()), pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names)
         held.clear()
 
@@ -241,13 +241,13 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in small_slices(batches):
         for site, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found, words, styles = features(parse(page or ""))
+            found, words, styles = features(parse(page or "", site))
             for key in found:
-                held.setdefault((site, key, PAGES), Counter())[""] += 1
+                held.setdefault((key, PAGES), Counter())[""] += 1
             for key, style in styles:
-                held.setdefault((site, key, STYLE), Counter())[style] += 1
+                held.setdefault((key, STYLE), Counter())[style] += 1
             for key, of in words.items():
-                held.setdefault((site, key, WORDS), Counter()).update(of)
+                held.setdefault((key, WORDS), Counter()).update(of)
         if sum(map(len, held.values())) > HELD_FEATURES:
             yield from together(flush())
     if held:
@@ -255,18 +255,17 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def node_weights(pages: DataFrame) -> DataFrame:
-    """(site, key, pages, styles, presentation, content) of every node that two or more pages (columns site, html) of a site share.
+    """(key, pages, styles, presentation, content) of every node that two or more pages (columns site, html) of a site share.
 
     presentation is the entropy of the node's styles, to the base of its number of pages; content is 1 minus the mean, over the distinct words that its own
     text ever holds, of the logarithm, to that base, of the pages that hold the word there (null without words): words that all pages share
     have 0, words that one page alone has 1. Tasks pre-aggregate, then counts are summed per feature, then per node: no site is ever gathered.
     """
-    rows = pages.select("site", "html").mapInArrow(_count_features, "site string, key long, kind int, feature long, c long")
-    # a site's and a feature's hash make one short key: what is shuffled are numbers
-    counts = rows.groupBy("site", "key", "kind", "feature").agg(F.sum("c").alias("c"))
+    rows = pages.select("site", "html").mapInArrow(_count_features, "key long, kind int, feature long, c int")
+    counts = rows.groupBy("key", "kind", "feature").agg(F.sum("c").alias("c"))
     style, word = F.col("kind") == STYLE, F.col("kind") == WORDS
     log = F.log(F.col("c").cast("double"))
-    nodes = counts.groupBy("site", "key").agg(
+    nodes = counts.groupBy("key").agg(
         F.max(F.when(F.col("kind") == PAGES, F.col("c"))).alias("pages"),
         F.count(F.when(style, 1)).alias("styles"),
         F.sum(F.when(style, F.col("c"))).alias("n"),
@@ -278,7 +277,7 @@ def node_weights(pages: DataFrame) -> DataFrame:
     base = F.log(F.col("pages").cast("double"))
     presentation = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(F.col("n").cast("double")) - F.col("slog") / F.col("n")) / base))
     content = F.when(F.col("words") > 0, F.greatest(F.lit(0.0), 1 - F.col("wlog") / F.col("words") / base))
-    return nodes.select("site", "key", "pages", "styles", presentation.alias("presentation"), content.alias("content"))
+    return nodes.select("key", "pages", "styles", presentation.alias("presentation"), content.alias("content"))
 
 
 Weights = dict[int, tuple[int, float, float | None]]  # key -> styles, presentation, content
@@ -355,7 +354,7 @@ def major_branches(page: Page, lengths: list[int], within: list[bool], agreed: l
     return saved
 
 
-def main_text(page: str | None, weights: Weights | None = None, priors: bool = True) -> str:
+def main_text(page: str | None, weights: Weights | None = None, priors: bool = True, site: str = "") -> str:
     """The article's text, '' if there is none.
 
     What goes: branches that the site's tree finds noisy, and, as priors that need no other page, those whose markup names something else (NEVER, hidden,
@@ -363,7 +362,7 @@ def main_text(page: str | None, weights: Weights | None = None, priors: bool = T
     branches of a class or id of their own, and never nodes of a key that holds half of the text or more: pages that are copies of one another repeat their article
     as well. A name of ASIDE doesn't drop html, body or a branch that holds most of the text (major_branches). priors=False leaves all to the tree.
     """
-    at = parse(page or "")
+    at = parse(page or "", site)
     quiet = noisy_nodes(at, weights) if weights else [False] * len(at.tags)
     return _main_text(at, quiet, quiet, priors) or (_main_text(at, [False] * len(at.tags), quiet, priors) if weights else "")
 
@@ -421,7 +420,7 @@ def _extract(weights_of: Callable[[pa.RecordBatch, int], Weights | None], priors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches):
-            texts = [main_text(page, weights_of(batch, i), priors) for i, page in enumerate(batch.column(3).to_pylist())]
+            texts = [main_text(page, weights_of(batch, i), priors, site) for i, (site, page) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     return run
@@ -430,10 +429,10 @@ def _extract(weights_of: Callable[[pa.RecordBatch, int], Weights | None], priors
 def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_slices(batches):
         for row, site, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys = list(dict.fromkeys(parse(page or "").keys))
+            keys = list(dict.fromkeys(parse(page or "", site).keys))
             for lo in range(0, len(keys), 50_000):
                 part = keys[lo : lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.repeat(row, len(part)), pa.repeat(pa.scalar(site, pa.string()), len(part)), pa.array(part, pa.int64())], ["row", "site", "key"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(row, len(part)), pa.array(part, pa.int64())], ["row", "key"])
 
 
 def site_of(url: Column, large_host: Column) -> Column:
@@ -454,7 +453,7 @@ def extract_text(df: DataFrame, id_col: str, url_col: str, html_col: str, host_p
     """(id, url, text, n_chars): the main text of each row's whole page, '' if it has none (null, empty, no article text).
 
     Trees are built over all pages of a site: a host of host_pages pages or more, else all such hosts of a registered domain (null urls share the empty one). Weights of at most
-    sent_rows nodes go to every task; more are joined with the distinct nodes of each page, dealt by site, node and a part of the page's number, so that
+    sent_rows nodes go to every task; more are joined with the distinct nodes of each page, dealt by node and a part of the page's number, so that
     a page only ever holds the weights of its own nodes. Blocks follow one another in page order with one space between; nothing is cut off.
     Repeated rows give repeated rows; null ids are ids like others.
     """
@@ -462,16 +461,15 @@ def extract_text(df: DataFrame, id_col: str, url_col: str, html_col: str, host_p
     schema = f"id {pages.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
     weights = materialise(node_weights(pages))
     if weights.count() <= sent_rows:
-        sent: dict[str, Weights] = {}
-        for part in weights.select("site", "key", "styles", "presentation", "content").toArrow().to_batches():
-            for site, key, *w in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                sent.setdefault(site, {})[key] = tuple(w)
-        return pages.select("id", "url", "site", "html").mapInArrow(_extract(lambda batch, i: sent.get(batch.column(2)[i].as_py()), priors), schema)
+        sent: Weights = {}
+        for part in weights.select("key", "styles", "presentation", "content").toArrow().to_batches():
+            sent.update((key, tuple(w)) for key, *w in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        return pages.select("id", "url", "site", "html").mapInArrow(_extract(lambda batch, i: sent, priors), schema)
     rows = materialise(pages.withColumn("row", F.monotonically_increasing_id()))
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")
-    nodes = rows.select("row", "site", "html").mapInArrow(_nodes_of, "row long, site string, key long").select("*", salt)
+    nodes = rows.select("row", "site", "html").mapInArrow(_nodes_of, "row long, key long").select("*", salt)
     dealt = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = nodes.join(dealt, ["site", "key", "salt"]).groupBy("row").agg(F.collect_list(F.struct("key", "styles", "presentation", "content")).alias("weights"))
+    met = nodes.join(dealt, ["key", "salt"]).groupBy("row").agg(F.collect_list(F.struct("key", "styles", "presentation", "content")).alias("weights"))
     own = lambda batch, i: {x["key"]: (x["styles"], x["presentation"], x["content"]) for x in batch.column(4)[i].as_py() or ()}
     return rows.join(met, "row", "left").select("id", "url", "site", "html", "weights").mapInArrow(_extract(own, priors), schema)
 

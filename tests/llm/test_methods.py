@@ -418,7 +418,7 @@ def brute_weights(pages):
     """key -> (pages, styles, presentation, content) by the definitions, over whole pages in memory."""
     import math
 
-    trees = [html_tree.parse(p) for p in pages]
+    trees = [html_tree.parse(p, "s") for p in pages]
     out = {}
     for key in {k for t in trees for k, m in zip(t.keys, t.marks) if not m & html_tree.RAW_MARK}:
         on, styles, words = 0, collections.Counter(), collections.Counter()
