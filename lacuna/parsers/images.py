@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 
 from .. import dims
@@ -9,7 +10,7 @@ from . import extent
 from .source import Source
 
 EOI = b"\xff\xd9"
-#: Bits per sample that each PNG colour type allows.
+# Bits per sample that each PNG colour type allows; sizes of BMP headers, and bits per pixel.
 PNG_DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
 BMP_HEADERS, BMP_DEPTHS = (12, 40, 52, 56, 108, 124), (1, 4, 8, 16, 24, 32)
 GIF_READ = 32 * dims.MIB
@@ -251,6 +252,58 @@ def _tags(src: Source) -> dict:
     return out
 
 
+def is_valid_jpeg(data: bytes, least: int = 0, decode: bool = False) -> bool:
+    """Whether segments follow one another up to scans whose entropy-coded data ends exactly with the data, and the picture has sides of `least` or more.
+
+    An end marker inside a segment (a thumbnail's) or a cut-off scan fails. decode: Pillow, where it is installed, must also read the picture whole, without a grey tail.
+    """
+    frame, at, n, scans = jpeg_frame(data), 2, len(data), 0
+    if frame is None or min(frame[:2]) < least:
+        return False
+    while at + 2 <= n and data[at] == 0xFF:
+        mark = data[at + 1]
+        if mark == 0xFF:
+            at += 1
+        elif mark == 0xD9:
+            return at + 2 == n and scans > 0 and (not decode or _decodes(data, least))
+        elif mark == 0x01 or 0xD0 <= mark <= 0xD7:
+            at += 2
+        else:
+            if at + 4 > n:
+                return False
+            at += 2 + max(2, struct.unpack_from(">H", data, at + 2)[0])
+            if mark == 0xDA:
+                scans += 1
+                at = _scan_end(data, at)
+    return False
+
+
+def _scan_end(data: bytes, at: int) -> int:
+    """The first marker from `at` on that ends entropy-coded data."""
+    while True:
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(data):
+            return len(data)
+        if data[at + 1] and not 0xD0 <= data[at + 1] <= 0xD7:
+            return at
+        at += 2
+
+
+def _decodes(data: bytes, least: int) -> bool:
+    try:
+        from PIL import Image
+    except ImportError:
+        return True
+    try:
+        with Image.open(io.BytesIO(data)) as picture:
+            grey = picture.convert("L")
+            w, h = grey.size
+            rows = [bytes(grey.crop((0, y, w, y + 1)).tobytes()[:: max(1, w // 10)]) for y in range(h - max(1, h // 20), h)]
+            return min(w, h) >= least and not has_grey_tail(rows)
+    except Exception:
+        return False
+
+
 def has_grey_tail(rows: list[bytes]) -> bool:
     """Whether over half of the last rows (grey bytes) hold nothing but 125..131, as decoders fill what is missing."""
     flat = [bool(r) and all(125 <= x <= 131 for x in r) for r in rows]

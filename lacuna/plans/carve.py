@@ -16,16 +16,20 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import text as T
 from ..operators import dedup as D
-from ..operators.intervals import greedy_nonoverlap, inside_spans
+from ..operators.intervals import gap_regions, greedy_nonoverlap, inside_spans
 from ..operators.ordered import running_before
 from ..parsers import find_end, images, videos
 from ..parsers.source import Source
 from ..sources.rawimage import input_size, read_image
+from ..sources.scratch import materialise
 
 #: Bytes that a tile repeats of the next one: a sync pattern needs 8 * 192.
 LOOK_AHEAD = 8 * 192
 _STARTS = re.compile(b"|".join(sorted({re.escape(s.magic) for s in dims.SIGNATURES if s.magic != b"ftyp"}, key=len, reverse=True)) + b"|(?<=....)ftyp|\x47", re.S)
-FOUND = "image_id string, start bigint, end bigint, format string, extension string, media string, width int, height int, progressive boolean, is_mjpeg boolean, prefix_md5 string, sha256 string"
+FOUND = "image_id string, start bigint, end bigint, format string, extension string, media string, width int, height int, progressive boolean, is_mjpeg boolean, valid boolean"
+HASHES = "prefix_md5 string, sha256 string"
+#: Format of a row that is a part of a transport stream, as far as one tile shows it.
+RUN = "sync-run"
 
 
 @dataclass(frozen=True)
@@ -40,46 +44,68 @@ class Settings:
     photo_prefix: str = ""
     video_prefix: str = ""
     first_id: int = 0
-
-
-def file_hashes(src: Source, start: int, end: int, block: int = 4 * dims.MIB) -> tuple[str, str]:
-    """(MD5 of the first 64 KiB, SHA-256 of all) in pieces; files may be larger than memory."""
-    whole = hashlib.sha256()
+    validate: str = "structure"  # JPEGs: all segments and the scan must end where the file does; none: any end marker counts; decode: Pillow must read it whole, too
+    min_dimension: int = 0  # least width and height of a valid JPEG
+
+
+def jpeg_extent(src: Source, start: int, end: int, most: int, s: Settings) -> tuple[int, bool]:
+    """(end, valid): the first end, from the first end marker on, that gives a valid JPEG; after eight more markers, the first end and False."""
+    if s.validate == "none":
+        return end, True
+    for stop in images.jpeg_ends(src, start, most):
+        if stop >= end and images.is_valid_jpeg(src.at(start, stop - start), s.min_dimension, s.validate == "decode"):
+            return stop, True
+    return end, False
+
+
+def file_hashes(src: Source, start: int, end: int, whole: bool = True, block: int = 4 * dims.MIB) -> tuple[str, str | None]:
+    """(MD5 of the first 64 KiB, SHA-256 of all or None) in pieces; files may be larger than memory."""
+    first = hashlib.md5(src.at(start, min(dims.HASH_PREFIX, end - start))).hexdigest()
+    if not whole:
+        return first, None
+    digest = hashlib.sha256()
     for at in range(start, end, block):
-        whole.update(src.at(at, min(block, end - at)))
-    return hashlib.md5(src.at(start, min(dims.HASH_PREFIX, end - start))).hexdigest(), whole.hexdigest()
+        digest.update(src.at(at, min(block, end - at)))
+    return first, digest.hexdigest()
 
 
 def recognise(src: Source, place: int, size: int, s: Settings) -> tuple | None:
-    """(end, format, extension, media) of the file that begins at a place: the first signature, in order of priority, whose extent is sound.
+    """(end, format, extension, media, valid) of the file that begins at a place: the first signature, in order of priority, whose extent is sound.
 
-    Extents end with the image at most. A signature that fails gives way to the next one. Files below the least size of their
-    media don't count, but for those told by a type box.
+    Extents are judged as they are stated, against the greatest size of their format, and then end with the image at most: a file that the image cuts off is kept. A signature that
+    fails gives way to the next one. Files whose stated size is below the least of their media don't count, but for those told by a type box. Transport streams are found by sync_run().
     """
     head = src.at(place, LOOK_AHEAD)
     if head[4:8] == b"ftyp":
         if not 8 < int.from_bytes(head[:4], "big") < 200:
             return None
         fmt, ext, media = videos.ftyp_format(src, place)
-        end = find_end("isobmff_walk", src, place, min(dims.PHOTO_MAX if media == "photo" else dims.VIDEO_MAX, size - place))
-        return None if end is None else (min(end, size), fmt, ext, media)
+        end = find_end("isobmff_walk", src, place, dims.PHOTO_MAX if media == "photo" else dims.VIDEO_MAX)
+        return None if end is None else (min(end, size), fmt, ext, media, True)
     for sig in dims.SIGNATURES:
         if sig.offset or not head.startswith(sig.magic) or (sig.magic2 and head[sig.offset2 : sig.offset2 + len(sig.magic2)] != sig.magic2):
             continue
         if sig.name == "JPEG" and (len(head) < 4 or head[3] not in dims.JPEG_FOURTH):
             continue
-        end = find_end(sig.strategy, src, place, min(sig.max_size, size - place))
-        if end is None or min(end, size) - place < (s.photo_min if sig.media == "photo" else max(s.video_min, dims.VIDEO_MIN)):
+        end = find_end(sig.strategy, src, place, sig.max_size)
+        if end is None or end - place < (s.photo_min if sig.media == "photo" else max(s.video_min, dims.VIDEO_MIN)):
             continue
-        fmt, ext = images.tiff_format(src, place) if sig.strategy == "tiff_ifd" else (sig.name, sig.extension)
-        return min(end, size), fmt, ext, sig.media
-    stride = videos.ts_stride(head, 0)
-    if stride:
-        end = videos.ts_end(src, place, min(dims.VIDEO_MAX, size - place), stride, max(s.video_min, dims.VIDEO_MIN))
-        return None if end is None else (min(end, size), "MPEG-TS", "ts", "video")
+        fmt, ext, valid = sig.name, sig.extension, True
+        if sig.strategy == "tiff_ifd":
+            fmt, ext = images.tiff_format(src, place)
+        elif sig.name == "JPEG":
+            end, valid = jpeg_extent(src, place, end, min(sig.max_size, size - place), s)
+        return min(end, size), fmt, ext, sig.media, valid
     return None
 
 
+def sync_run(data: bytes, at: int, stride: int) -> int:
+    """Where the sync bytes from `at` on stop within a tile and its look-ahead (the first place without one, or beyond the data)."""
+    syncs = data[at::stride]
+    found = re.match(b"G*", syncs).end()
+    return at + found * stride
+
+
 def starts_in(data: bytes, own: int) -> Iterator[int]:
     """Places within the first `own` bytes of a tile where a file may begin. A type box begins four bytes before its name."""
     for m in _STARTS.finditer(data):
@@ -91,7 +117,11 @@ def starts_in(data: bytes, own: int) -> Iterator[int]:
 
 
 def find_files(spark: SparkSession, path: str, settings: Settings | None = None, start: int = 0, end: int = 0, image_id: str | None = None, tile: int = 4 * dims.MIB) -> DataFrame:
-    """All candidate files of an image (FOUND), overlapping ones too: tiles are scanned in parallel, extents read the image itself."""
+    """All candidate files of an image (FOUND), overlapping ones and invalid JPEGs too: tiles are scanned in parallel, extents read the image itself by seeks.
+
+    A transport stream has no length of its own, so tiles only tell how far its sync bytes go in them; runs that meet in step are joined afterwards (join_runs), so the
+    image is read about once whatever it holds.
+    """
     s, size, name = settings or Settings(), input_size(path), image_id or path
     tiles = read_image(spark, path, start=start, end=end, tile=tile, overlap=LOOK_AHEAD, image_id=name)
 
@@ -99,30 +129,66 @@ def find_files(spark: SparkSession, path: str, settings: Settings | None = None,
         with open(path, "rb") as f:
             src = Source(file=f, size=size)
             for tile_rows in batches:
-                rows, until = [], -1
                 for offset, own, data in zip(tile_rows["offset"], tile_rows["length"], tile_rows["data"], strict=True):
-                    for at in starts_in(bytes(data), own):
+                    rows, data, until = [], bytes(data), {}  # until: of each stride and step, the end of the run at hand
+                    for at in starts_in(data, own):
                         place = int(offset) + at
-                        if data[at] == 0x47 and place < until:
-                            continue  # inside a transport stream that is already known
+                        stride = videos.ts_stride(data, at) if data[at] == 0x47 else None
+                        if stride and at < until.get((stride, at % stride), 0):
+                            continue
                         found = recognise(src, place, size, s)
                         if found is None:
+                            if stride:
+                                stop = until[stride, at % stride] = sync_run(data, at, stride)
+                                rows.append((name, place, min(size, int(offset) + stop), RUN, str(stride), "video", None, None, None, False, True))
                             continue
-                        stop, fmt, ext, media = found
-                        if fmt == "MPEG-TS":
-                            until = stop
+                        stop, fmt, ext, media, valid = found
                         w, h, prog = (images.jpeg_frame(src.at(place, min(stop - place, dims.MIB))) or (None, None, None)) if fmt == "JPEG" else (None, None, None)
                         mjpeg = fmt == "AVI" and videos.avi_is_mjpeg(src, place, stop)
-                        rows.append((name, place, stop, fmt, ext, media, w, h, prog, mjpeg, *file_hashes(src, place, stop)))
-                if rows:
-                    out = pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
-                    yield out.astype({"width": "Int32", "height": "Int32", "progressive": "boolean"})
+                        rows.append((name, place, stop, fmt, ext, media, w, h, prog, mjpeg, valid))
+                    if rows:
+                        out = pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+                        yield out.astype({"width": "Int32", "height": "Int32", "progressive": "boolean"})
+
+    return materialise(join_runs(materialise(tiles.mapInPandas(scan, FOUND)), s))
+
+
+def join_runs(found: DataFrame, s: Settings) -> DataFrame:
+    """found, with sync runs of one stride and step that meet joined to transport streams; streams of too few bytes go, longer ones than a video may be are cut there."""
+    found = found.withColumn("_run", F.col("format") == RUN)
+    if found.where("_run").isEmpty():
+        return found.drop("_run")
+    step = F.pmod(F.col("start"), F.col("extension").cast("long")).alias("_step")
+    runs = gap_regions(found.where("_run").select("*", step), ["image_id", "extension", "_step"], "start", "end", 0)
+    runs = runs.groupBy("image_id", "extension", "_step", "region").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    longest = dims.VIDEO_MAX // (188 * 192) * (188 * 192)
+    cuts = F.explode(F.sequence(F.col("start"), F.greatest(F.col("start"), F.col("end") - 1), F.lit(longest))).alias("start")
+    runs = runs.select("image_id", cuts, F.col("end").alias("stop")).select("image_id", "start", F.least("stop", F.col("start") + longest).alias("end")).where(F.col("end") - F.col("start") > max(s.video_min, dims.VIDEO_MIN))
+    absent = {"width": "int", "height": "int", "progressive": "boolean"}
+    streams = runs.withColumns({"format": F.lit("MPEG-TS"), "extension": F.lit("ts"), "media": F.lit("video"), "is_mjpeg": F.lit(False), "valid": F.lit(True)} | {c: F.lit(None).cast(t) for c, t in absent.items()})
+    return found.where("NOT _run").drop("_run").unionByName(streams)
+
+
+def with_hashes(files: DataFrame, path: str, s: Settings) -> DataFrame:
+    """files with prefix_md5, and sha256 if duplicates are told by it: only files that were chosen are read for it."""
+    whole = s.dedup != "fast"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with open(path, "rb") as f:
+            src = Source(file=f, size=input_size(path))
+            for rows in batches:
+                told = [file_hashes(src, int(a), int(z), whole) for a, z in zip(rows["start"], rows["end"], strict=True)]
+                yield rows.assign(prefix_md5=[x[0] for x in told], sha256=[x[1] for x in told])
 
-    return tiles.mapInPandas(scan, FOUND)
+    kinds = files.schema
+    return files.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), HASHES]))
 
 
 def route(files: DataFrame, s: Settings) -> DataFrame:
-    """Chosen files with seq, the nearest video before, whether a JPEG lies in a motion-JPEG film, and its bucket."""
+    """Chosen files (is_copy: duplicates that aren't kept) with seq, the nearest video before, whether a JPEG lies in a motion-JPEG film, and its bucket.
+
+    Copies of films count as films before a JPEG, and around it, like any other; copies of pictures don't make a burst.
+    """
     at = files.withColumn("seq", F.col("start"))
     video = F.when(F.col("media") == "video", F.col("start"))
     at = running_before(at, ["image_id"], ["seq"], {"video_at": (video, "last")})
@@ -141,7 +207,7 @@ def route(files: DataFrame, s: Settings) -> DataFrame:
         from ..operators.intervals import burst_members
 
         shape = F.concat_ws("x", "width", "height")
-        jpegs = burst_members(at.where("format = 'JPEG' AND width IS NOT NULL"), ["image_id"], ["seq"], "start", shape).select("image_id", "seq", "burst")
+        jpegs = burst_members(at.where("format = 'JPEG' AND width IS NOT NULL AND NOT is_copy"), ["image_id"], ["seq"], "start", shape).select("image_id", "seq", "burst")
         at = at.join(jpegs, ["image_id", "seq"], "left")
         force = force | (F.coalesce("burst", F.lit(False)) & (F.col("inside") | F.col("frame_size") | (close & ~F.col("still_size"))))
     bucket = F.when(F.col("media") == "video", "videos").when((F.col("format") == "JPEG") & force, "frames").otherwise("photos")
@@ -167,34 +233,57 @@ def manifest_rows(files: DataFrame, s: Settings) -> DataFrame:
     c = F.col
     bpp = T.bits_per_pixel(c("size_bytes"), c("width"), c("height"))
     jpeg = F.when(c("format") == "JPEG", F.struct(c("width"), c("height"), c("inside").alias("inside_mjpeg_avi"), c("frame_size").alias("matches_skip_frame_resolution"), c("near").alias("near_video_offset_bytes"), F.lit(s.window).cast("long").alias("video_proximity_window_bytes"), bpp.alias("bits_per_pixel"), c("progressive").alias("progressive_jpeg"), c("still_size").alias("matches_common_still_resolution")))
-    return files.select(F.lit(2).alias("v"), "image_id", "path", "bucket", "format", "extension", c("start").alias("source_offset"), c("end").alias("source_end"), "size_bytes", "sha256", jpeg.alias("jpeg"))
+    return files.select(F.lit(2).alias("v"), F.lit(None).cast("string").alias("status"), "image_id", "path", "bucket", "format", "extension", c("start").alias("source_offset"), c("end").alias("source_end"), "size_bytes", F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("skip_reason"), "sha256", jpeg.alias("jpeg"))
+
+
+def skipped_rows(found: DataFrame, chosen: DataFrame, like: DataFrame) -> DataFrame:
+    """The JPEGs that a scan meets and finds invalid, as manifest rows (columns of `like`) of status skipped: those that lie in no chosen file."""
+    bad = found.where("NOT valid")
+    outside = inside_spans(bad, chosen.select("image_id", "start", "end"), "start", "start", "end", ["image_id"], outside=True)
+    kind = like.schema["jpeg"].dataType
+    known = F.when(F.col("width").isNotNull(), F.struct(*[(F.col(f.name) if f.name in ("width", "height") else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind]))
+    told = {"v": F.lit(2), "status": F.lit("skipped"), "image_id": F.col("image_id"), "format": F.lit("JPEG"), "source_offset": F.col("start"), "source_end": F.col("end"), "size": F.col("end") - F.col("start"), "skip_reason": F.lit("validation failed after EOI retries"), "jpeg": known}
+    return outside.select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema])
 
 
-def carve(spark: SparkSession, path: str, settings: Settings | None = None, start: int = 0, end: int = 0, image_id: str | None = None, seen: DataFrame | None = None, chunk_bytes: int = 0) -> DataFrame:
+def choose(spark: SparkSession, path: str, s: Settings, start: int = 0, end: int = 0, image_id: str | None = None, chunk_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(candidates, chosen files with hashes): of overlapping valid candidates a scan from the start keeps the first."""
+    found = find_files(spark, path, s, start, end, image_id).withColumn("chunk", F.floor(F.col("start") / chunk_bytes) if chunk_bytes else F.lit(0).cast("long"))
+    return found, materialise(with_hashes(greedy_nonoverlap(found.where("valid"), ["image_id", "chunk"], "start", "end"), path, s))
+
+
+def carve(spark: SparkSession, path: str, settings: Settings | None = None, start: int = 0, end: int = 0, image_id: str | None = None, seen: DataFrame | None = None, chunk_bytes: int = 0, skipped: bool = False) -> DataFrame:
     """The manifest of an image. seen (sha256, of earlier runs; md5 in fast mode) are duplicates too.
 
     Of overlapping candidates a scan from the start keeps the first; duplicates keep their place (and, in strict mode, their id) but give no row.
-    chunk_bytes > 0 makes the choice anew in every chunk of the image, as a scan in chunks does.
+    chunk_bytes > 0 makes the choice anew in every chunk of the image, as a scan in chunks does. skipped adds the JPEGs that weren't valid.
     """
     s = settings or Settings()
-    found = find_files(spark, path, s, start, end, image_id).withColumn("chunk", F.floor(F.col("start") / chunk_bytes) if chunk_bytes else F.lit(0).cast("long"))
-    chosen = greedy_nonoverlap(found, ["image_id", "chunk"], "start", "end")
+    found, chosen = choose(spark, path, s, start, end, image_id, chunk_bytes)
+    rows = manifest_rows(keep_new(chosen, s, seen), s)
+    return rows.unionByName(skipped_rows(found, chosen, rows)) if skipped else rows
+
+
+def keep_new(chosen: DataFrame, s: Settings, seen: DataFrame | None = None) -> DataFrame:
+    """Chosen files, routed and named, without duplicates: in fast mode those take no id, in strict mode they do; either way films among them count for what follows."""
+    if s.dedup == "none":
+        return name_files(materialise(route(chosen.withColumn("is_copy", F.lit(False)), s)), s)
     key = F.col("prefix_md5" if s.dedup == "fast" else "sha256")
-    if s.dedup == "fast":  # before routing and ids
-        chosen = D.first_of(chosen, key, "start")
-    files = name_files(route(chosen, s), s)
-    if s.dedup == "strict":
-        files = D.first_of(files, key, "seq")
-    if seen is not None and s.dedup != "none":
-        files = D.not_seen(files, seen, key, seen.columns[0])
-    return manifest_rows(files, s)
-
-
-def scan_stats(found: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row: candidates, files kept, duplicates among candidates, bytes."""
-    a = found.agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct("sha256").alias("distinct_files"))
+    at = D.flag_first(chosen, key, "start").withColumn("is_copy", ~F.col("is_first")).drop("is_first")
+    if seen is not None:
+        old = seen.select(F.col(seen.columns[0]).alias("_old")).distinct().withColumn("_seen", F.lit(True))
+        at = at.join(old, key == F.col("_old"), "left").withColumn("is_copy", F.col("is_copy") | F.coalesce("_seen", F.lit(False))).drop("_old", "_seen")
+    if s.dedup == "fast":
+        return name_files(materialise(route(at, s).where("NOT is_copy")), s)
+    # a strict scan hashes a picture after it has joined a burst
+    return name_files(materialise(route(at.withColumn("_copy", F.col("is_copy")).withColumn("is_copy", F.lit(False)), s)), s).where("NOT _copy")
+
+
+def scan_stats(chosen: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: files chosen, photos and videos kept, duplicates of both, bytes kept."""
+    a = chosen.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("media") == "photo").alias("_p"), F.count_if(F.col("media") == "video").alias("_v"))
     b = kept.agg(F.count_if(F.col("bucket") != "videos").alias("photos"), F.count_if(F.col("bucket") == "videos").alias("videos"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
-    return a.join(b)  # one row each
+    return a.join(b).select("files", "photos", "videos", (F.col("_p") - F.col("photos")).alias("dup_photos"), (F.col("_v") - F.col("videos")).alias("dup_videos"), "bytes")  # one row each
 
 
 def extract(manifest: DataFrame, image: str, folder: str) -> DataFrame:

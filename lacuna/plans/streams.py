@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming as R
 from ..functions import bytes as B
+from ..sources.scratch import new_folder
 from . import crossverify
 from .tables import table
 
@@ -28,15 +27,6 @@ def query(oracle: str | None):
     return add
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='lacuna-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
@@ -44,7 +34,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def r1_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark)
+    folder = new_folder(spark, "streams")
     keyed = _stream(spark, sf_dir, "events").withColumn("key", F.concat_ws(":", "event_type", "user_id"))
     return R.run_available(R.first_seen(keyed, "key").select("event_type", "user_id"), f"{folder}/out", f"{folder}/check")
 
@@ -60,7 +50,7 @@ def w3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids, CAST(count(*) AS BIGINT) AS top FROM events GROUP BY event_type")
 def r1_stream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running ids are dense: as many as rows, the greatest being their number."""
-    folder = shared_folder(spark)
+    folder = new_folder(spark, "streams")
     rows = _stream(spark, sf_dir, "events").select("event_type", "event_id")
     out = R.run_available(R.with_running_ids(rows, "event_type", "event_id"), f"{folder}/out", f"{folder}/check")
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.max("id").alias("top"))

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import struct
 
 from pyspark.sql import functions as F
 
@@ -55,6 +56,46 @@ def test_frames_after_a_film(spark, tmp_path):
         assert got["JPEG"].jpeg.width == w and got["JPEG"].path.startswith(f"{bucket}/{'video_frame' if bucket == 'frames' else 'photo'}_00001_JPEG_{w}x{h}")
 
 
+def test_cut_off_files_end_with_the_image(spark, tmp_path):
+    film = b"RIFF" + (300_000).to_bytes(4, "little") + b"AVI " + noise(150_000)
+    bmp = b"BM" + struct.pack("<I4xII", 90_000, 54, 40) + struct.pack("<iiHHII", 100, 300, 1, 24, 0, 0) + noise(20_000)
+    raf = b"FUJIFILMCCD-RAW" + bytes(85) + struct.pack(">II", 200, 50_000) + noise(10_000)
+    for data, fmt in ((film, "AVI"), (bmp, "BMP"), (raf, "RAF")):
+        got = C.carve(spark, image(tmp_path, bytes(512), data)).collect()
+        assert [(r.format, r.source_offset, r.source_end) for r in got] == [(fmt, 512, 512 + len(data))]
+
+
+def test_thumbnails_and_truncated_jpegs(spark, tmp_path):
+    thumb = tiny_jpeg(16, 12, body=noise(5000))
+    whole = tiny_jpeg(640, 480, body=noise(9000, 5))
+    framed = whole[:2] + b"\xff\xe1" + (len(thumb) + 2).to_bytes(2, "big") + thumb + whole[2:]
+    path = image(tmp_path, bytes(100), framed, bytes(50), whole[:5000] + b"\x00\xff\xd9"[1:], bytes(3000))
+    got = C.carve(spark, path).collect()
+    assert [(r.source_offset, r.source_end) for r in got] == [(100, 100 + len(framed)), (150 + len(framed), 150 + len(framed) + 5002)]
+    cut = whole[:20] + b"\xff\xd9" + bytes(6000)  # an end marker where a segment should be
+    manifest = C.carve(spark, image(tmp_path, bytes(100), cut, whole), C.Settings(photo_min=10), skipped=True).collect()
+    assert {(r.status, r.source_offset, r.source_end) for r in manifest} == {("skipped", 100, 122), (None, 100 + len(cut), 100 + len(cut) + len(whole))}
+    assert len(C.carve(spark, image(tmp_path, bytes(100), cut, whole), C.Settings(photo_min=10, validate="none")).collect()) == 2
+    assert C.carve(spark, path, C.Settings(min_dimension=500)).count() == 0
+
+
+def test_copies_of_films_still_route_frames(spark, tmp_path):
+    avi = tiny_avi([noise(2000)], b"XVID", 60 << 10)
+    jpeg = tiny_jpeg(1280, 720, body=noise(6000, 3))
+    path = image(tmp_path, avi, bytes(3 << 20), avi, bytes(100), jpeg)
+    for mode in ("strict", "fast"):
+        got = {r.format: r for r in C.carve(spark, path, C.Settings(dedup=mode, skip_after_video=True, window=1 << 20)).collect()}
+        assert set(got) == {"AVI", "JPEG"} and got["JPEG"].bucket == "frames"
+
+
+def test_transport_streams_are_joined_over_tiles(spark, tmp_path):
+    packet = lambda i: b"\x47" + noise(187, i).replace(b"\x47", b"\x48")
+    stream = b"".join(packet(i) for i in range(2000))
+    path = image(tmp_path, bytes(777), stream, bytes(5000), stream[: 188 * 400], bytes(100))
+    found = C.find_files(spark, path, tile=64 << 10).orderBy("start").collect()
+    assert [(r.format, r.start, r.end) for r in found if r.format == "MPEG-TS"] == [("MPEG-TS", 777, 777 + len(stream)), ("MPEG-TS", 5777 + len(stream), 5777 + len(stream) + 188 * 400)]
+
+
 def test_extract_and_stats(spark, tmp_path):
     jpeg, png = tiny_jpeg(30, 20, body=noise(9000)), tiny_png(noise(7000, 2))
     path = image(tmp_path, b"\x00" * 100, jpeg, b"\x00" * 77, png, jpeg[:-2], b"\x00" * 10)
@@ -64,8 +105,8 @@ def test_extract_and_stats(spark, tmp_path):
     done = C.extract(manifest, path, str(out)).collect()
     assert {r.sha256 for r in done} == {hashlib.sha256(x).hexdigest() for x in (jpeg, png)}
     assert (out / "photos/PHO00008.JPG").read_bytes() == jpeg
-    stats = C.scan_stats(C.find_files(spark, path), manifest).first()
-    assert (stats.photos, stats.videos) == (2, 0) and stats.bytes == len(jpeg) + len(png)
+    stats = C.scan_stats(C.choose(spark, path, C.Settings())[1], manifest).first()
+    assert (stats.files, stats.photos, stats.videos, stats.dup_photos) == (2, 2, 0, 0) and stats.bytes == len(jpeg) + len(png)
     files = M.listing(spark, str(out), ("jpg",)).collect()
     assert [(r.name, r.size) for r in files] == [("PHO00008.JPG", len(jpeg))]
     assert {(r.extension, r.n) for r in M.inventory(M.listing(spark, str(out))).collect()} == {("JPG", 1), ("PNG", 1)}
