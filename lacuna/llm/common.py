@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_tables, materialise, shared_dir  # noqa: F401  (for the operators)
+
 #: Text bytes that one kernel call handles at a time (a longer text is handled alone).
 CHUNK_BYTES = 2 << 20
 
@@ -20,37 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session that is one process gets a folder of its own; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
-        found = f"file://{tempfile.mkdtemp(prefix='lacuna-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _tables_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. See drop_tables."""
-    spark = df.sparkSession
-    path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Delete all that materialise() wrote in this application. For use once results are written: DataFrames that rest on such tables can't be read any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
-    path.getFileSystem(conf).delete(path, True)
-
-
 #: Rows of ids and labels that are sent to every task at most (some tens of MB); more are joined by a shuffle.
 SENT_ROWS = 1_000_000
 
