@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import running_before
-from .common import small_slices, table
+from .common import small_batches, small_slices, table
 
 
 @dataclass(frozen=True)
@@ -89,6 +89,7 @@ def format_chat(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text
     is emitted all the same), may_end if it may end after this turn. Numbers and roles before are running aggregates over buckets of turns, so that a conversation of any
     length is many tasks' work, and each turn is formatted on its own.
     """
+    small_batches(df.sparkSession)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     src = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"))
     kind = src.schema["conv"].dataType.simpleString()

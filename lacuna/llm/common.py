@@ -55,6 +55,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that JVM and Python workers hold little at a time. Every operator asks for the same sizes; kernels slice what they get (small_slices), so results and their memory don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def small_slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most `rows` rows and about `size` bytes, so that what a kernel turns into Python objects stays small at any session setting."""
     for batch in batches:
@@ -77,6 +83,7 @@ def least_hash_rows(df: DataFrame, id_col: str, rows: int, seed: int, *ties: str
 
 def filter_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.RecordBatch, int], np.ndarray]]) -> DataFrame:
     """The rows of df, all columns as they are, for which a function of (batch, place of the text column) is true; `make` gives one to each task."""
+    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

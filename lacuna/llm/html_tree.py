@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_narrow, materialise, small_slices, table
+from .common import join_narrow, materialise, small_batches, small_slices, table
 from .reputation import domain_of, host_of
 
 #: Elements without content, those whose content is raw text, and those whose text is never the page's prose.
@@ -457,6 +457,7 @@ def extract_text(df: DataFrame, id_col: str, url_col: str, html_col: str, host_p
     a page only ever holds the weights of its own nodes. Blocks follow one another in page order with one space between; nothing is cut off.
     Repeated rows give repeated rows; null ids are ids like others.
     """
+    small_batches(df.sparkSession)
     pages = with_sites(df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")), host_pages)
     schema = f"id {pages.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
     weights = materialise(node_weights(pages))

@@ -26,14 +26,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_slices, table
+from .common import materialise, small_batches, small_slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a chunk; texts of over two chunks are encoded by many tasks.
 CHUNK = 16_384
 #: Remembered segments per task, and characters of a segment that is remembered.
-CACHE, CACHED_LENGTH = 400_000, 48
+CACHE, CACHED_LENGTH = 200_000, 48
 NONE = float("-inf")
 
 State = tuple[int, str]
@@ -505,6 +505,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str = MODEL, chunk:
     into its matrix and traces all of them back, instead of solving what lies between two borders segment by segment: the same ids, more slowly. path is a file that
     every worker can read. Repeated rows and null ids stay.
     """
+    small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     long = F.length("text") > 2 * chunk

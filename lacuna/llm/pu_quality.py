@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, byte_class, filter_texts, join_narrow, least_hash_rows, table, text_slices, word_spans
+from .common import NOT_SPACE, byte_class, filter_texts, join_narrow, least_hash_rows, small_batches, table, text_slices, word_spans
 from .toxicity import remainder
 from .winnowing import gram_hashes
 
@@ -102,6 +102,7 @@ def level(net: Network, positive: np.ndarray) -> float:
 
 def features(df: DataFrame) -> DataFrame:
     """(id, x) of df (id, text): the features of each row's whole text; of null and empty texts all 0."""
+    small_batches(df.sparkSession)
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +237,7 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, cut:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of documents; null and empty texts have features of 0, repeated rows stay, labels other than 1 teach nothing."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
     found = quality(table(spark, sf_dir, "documents"), labels, "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

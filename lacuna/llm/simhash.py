@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, free_name, join_hot, materialise, table, text_slices, word_spans
+from .common import LOWER, NOT_SPACE, free_name, join_hot, materialise, small_batches, table, text_slices, word_spans
 from .components import connected_components
 
 BITS = 64
@@ -59,6 +59,7 @@ def simhash(df: DataFrame, id_col: str, text_col: str, shingle: int = 4, seed: i
     repeats included, is joined by spaces and hashed by XXH64; a bit is set if over half the hashes
     set it. A shorter text is one shingle of all its words; null, empty and blank texts give 0.
     """
+    small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_texts, join_narrow, least_hash_rows, materialise, small_slices, table
+from .common import filter_texts, join_narrow, least_hash_rows, materialise, small_batches, small_slices, table
 
 #: Characters of an n-gram at most, and up to how many the counts are shared by both classes.
 ORDER, SHARED = 4, 2
@@ -365,6 +365,7 @@ def train_detector(df: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     For calibration, models of three quarters of the rows (by a hash of the id) judge the last quarter, calibration_rows rows of least
     hash at most, so that `cut` parts the classes best. The models that score are then those of all rows. A repeated id counts as often as it stands.
     """
+    small_batches(df.sparkSession)
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col("id"), folds) != held_out)).select("id", F.col("toxic").cast("int").alias("label"))
     quarter = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(4))

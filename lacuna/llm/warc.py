@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise, shared_dir, small_slices, table
+from .common import join_hot, materialise, shared_dir, small_batches, small_slices, table
 
 #: Magic of the skippable frame that holds a dictionary in .warc.zst files, and of a plain Zstandard frame.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
@@ -195,6 +195,7 @@ def write_archives(df: DataFrame, id_col: str, url_col: str, payload_col: str, f
     that the manifest (itself written durably) names count. Payloads meet their revisit row by id, not by digest, so thousands of
     copies don't meet in one task. Null urls have no target field. An empty df gives an empty manifest.
     """
+    small_batches(df.sparkSession)
     pages = df.select(F.col(id_col).alias("name"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
     again = revisits(pages, least_shared).select(F.col("name").alias("other"), F.col("digest").alias("same"), "refers_to", "refers_url")
     joined = pages.join(again, pages["name"].eqNullSafe(again["other"]) & (F.sha1(pages["payload"]) == again["same"]), "left")

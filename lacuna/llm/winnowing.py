@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, filter_texts, join_narrow, materialise, small_slices, table, text_slices, word_spans
+from .common import LOWER, byte_class, filter_texts, join_narrow, materialise, small_batches, small_slices, table, text_slices, word_spans
 
 #: Words are runs of digits, letters and non-ASCII characters (after A-Z are lower-cased).
 WORD_BYTES = byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -308,6 +308,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
     index_bytes (measured first) are indexed on the driver and sent to the tasks, so documents aren't
     shuffled; beyond that both sides' fingerprints are joined by a shuffle, with the same result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0
