@@ -58,21 +58,6 @@ SELECT count(*) AS n_blocks, count(*) FILTER (entropy < 1) AS n_empty, count(*)
   count(*) FILTER (entropy >= 7) AS n_high, count(*) FILTER (entropy >= 5 AND doc_id % 3 = 0) AS n_recovered, count(*) FILTER (entropy >= 5 AND doc_id % 3 <> 0) AS n_unrecovered FROM x"""
 
 
-def s4_strided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.pmod("doc_id", F.lit(64)) == 0).select("doc_id", B.prefix_md5(F.coalesce("text", F.lit("")).cast("binary"), dims.BLOCK).alias("block_md5"))
-
-
-ORACLES["s4_strided_sample"] = f"SELECT doc_id, md5(CAST(unhex(substr(hex(encode(coalesce(text, ''))), 1, {2 * dims.BLOCK})) AS BLOB)) AS block_md5 FROM documents WHERE doc_id % 64 = 0"
-
-
-def s3_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey").between(1000, 2000))
-    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi"))
-
-
-ORACLES["s3_range_scan"] = "SELECT l_returnflag, count(*) AS n, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem WHERE l_orderkey BETWEEN 1000 AND 2000 GROUP BY 1"
-
-
 def a3_high_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = timeline(spark, sf_dir).groupBy("user_id", F.col("us").alias("offset")).agg(F.max("value").alias("entropy"))
     found = high_regions(blocks, ["user_id"], gap=HOUR, least=60 * SECOND)
@@ -105,4 +90,4 @@ ORACLES["x6_size_labels"] = """WITH t AS (SELECT o_orderkey, CAST(trunc(o_totalp
 SELECT o_orderkey, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS readable,
   CASE WHEN n < 10485760 THEN (n // 1024) || 'KB' ELSE (n // 1048576) || 'MB' END AS label, round(n / 1048576.0, 3) AS mib FROM t"""
 
-QUERIES |= {f.__name__: f for f in (a1_entropy_per_doc, a2_entropy_bands, s4_strided_sample, s3_range_scan, a3_high_regions, j6_overlap_recovered, x6_size_labels)}
+QUERIES |= {f.__name__: f for f in (a1_entropy_per_doc, a2_entropy_bands, a3_high_regions, j6_overlap_recovered, x6_size_labels)}

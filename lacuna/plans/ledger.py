@@ -10,6 +10,8 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import dedup as D
 from ..operators.ordered import number_rows
+from ..sources.manifest import append_json
+from ..sources.scratch import new_folder
 from .tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -127,9 +129,9 @@ def a14_tracker_summary(spark, sf_dir):
     return summary(_filings(spark, sf_dir))
 
 
-@query(f"SELECT servicio, count(*) AS total, count(*) FILTER (estado = 'Finalizada') AS finalizadas FROM ({_ORDERS}) GROUP BY servicio")
+@query(f"SELECT servicio, count(*) AS total, count(*) FILTER (estado = 'Finalizada') AS finalizadas, round(100.0 * count(*) FILTER (estado = 'Finalizada') / count(*), 2) AS percent FROM ({_ORDERS}) GROUP BY servicio")
 def a16_per_service(spark, sf_dir):
-    return _filings(spark, sf_dir).groupBy("servicio").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("estado") == "Finalizada").alias("finalizadas"))
+    return workbook(_filings(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("num", "carpeta_tecnica", "fecha_presentacion")}))["resumen"]
 
 
 @query(f"SELECT o_orderkey AS row, CASE WHEN lower(estado) IN ('enviada', 'validada', 'finalizada') THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN lower(estado) IN ('enviada', 'validada', 'finalizada') THEN estado ELSE 'En curso' END AS new_estado, printf('%s %d-%02d', servicio, anio, mes) AS label FROM ({_ORDERS})")
@@ -190,9 +192,9 @@ def best_model(models: DataFrame, prefer_small: bool = False) -> DataFrame:
 
 
 def resolve_aliases(requests: DataFrame, known: DataFrame, explicit: dict[str, str], main: str | None, small: str | None, families: tuple[str, ...], small_families: tuple[str, ...] = (), tool_model: str | None = None) -> DataFrame:
-    """requests (model, has_tools) with resolved: the first of these that applies.
+    """requests (model, calls_functions) with resolved: the first of these that applies.
 
-    A known id; a known id without regard to case; for an alias in a request with tools, the tool model (else the small one); the explicit map by the
+    A known id; a known id without regard to case; for an alias in a request that lets the model call functions, the tool model (else the small one); the explicit map by the
     name, then in lower case; a small family's small model; an alias' main model; the name itself. An alias is 'default', 'best' or a name with one of families in it.
     """
     flat = explicit | {k.lower(): v for k, v in explicit.items()}
@@ -203,7 +205,7 @@ def resolve_aliases(requests: DataFrame, known: DataFrame, explicit: dict[str, s
     has = lambda names: F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(low, n)) if names else F.lit(False)
     alias = low.isin("default", "best") | has(families)
     table_ = F.create_map(*[F.lit(x) for kv in flat.items() for x in kv]) if flat else F.create_map().cast("map<string,string>")
-    chain = [F.col("_id"), F.col("_folded"), F.when(F.col("has_tools") & alias, F.lit(tool_model or small)), F.try_element_at(table_, F.col("model")), F.try_element_at(table_, low), F.when(has(small_families), F.coalesce(F.lit(small), F.lit(main), F.col("model"))), F.when(alias, F.coalesce(F.lit(main), F.col("model"))), F.col("model")]
+    chain = [F.col("_id"), F.col("_folded"), F.when(F.col("calls_functions") & alias, F.lit(tool_model or small)), F.try_element_at(table_, F.col("model")), F.try_element_at(table_, low), F.when(has(small_families), F.coalesce(F.lit(small), F.lit(main), F.col("model"))), F.when(alias, F.coalesce(F.lit(main), F.col("model"))), F.col("model")]
     return at.withColumn("resolved", F.coalesce(*chain)).drop("_id", "_folded", "_low")
 
 
@@ -252,7 +254,7 @@ def x12_param_parse(spark, sf_dir):
 
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' WHEN role = 'assistant' THEN CASE WHEN turn % 2 = 0 THEN 'tool-model' ELSE 'main-model' END ELSE 'mapped' END AS resolved FROM conversations")
 def j12_alias_resolve(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "USER").when(F.col("role") == "assistant", "my-assistant-1").otherwise(F.col("role")).alias("model"), (F.col("turn") % 2 == 0).alias("has_tools"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "USER").when(F.col("role") == "assistant", "my-assistant-1").otherwise(F.col("role")).alias("model"), (F.col("turn") % 2 == 0).alias("calls_functions"))
     known = spark.createDataFrame([(0, "user")], "pos int, value string")
     out = resolve_aliases(c, known, {"System": "mapped"}, "main-model", "small-model", ("assistant",), ("tiny",), "tool-model")
     return out.select("conv_id", "turn", "resolved")
@@ -263,8 +265,9 @@ def x8_prompt_preview(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.preview(F.col("text"), 80).alias("preview"), F.length("text").cast("long").alias("n_chars"))
 
 
-@query("SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys, CASE WHEN event_type = 'click' THEN '{\"event\":\"click\",\"id\":' || event_id || '}' ELSE '{\"event\":\"' || event_type || '\",\"id\":' || event_id || ',\"user\":' || user_id || '}' END AS line FROM events")
+@query("SELECT CASE WHEN event_type = 'click' THEN 'event,id' ELSE 'event,id,user' END AS keys, CASE WHEN event_type = 'click' THEN '{\"event\":\"click\",\"id\":' || event_id || '}' ELSE '{\"event\":\"' || event_type || '\",\"id\":' || event_id || ',\"user\":' || user_id || '}' END AS line FROM events")
 def k12_event_rows(spark, sf_dir):
-    """Log lines as compact JSON without null fields."""
-    line = F.to_json(F.struct(F.col("event_type").alias("event"), F.col("event_id").alias("id"), F.when(F.col("event_type") != "click", F.col("user_id")).alias("user")))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(T.sorted_keys(F.col("props")), ",").alias("keys"), line.alias("line"))
+    """Log lines as compact JSON without null fields, appended to a log and read again."""
+    log = new_folder(spark, "logs")
+    append_json(table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.col("event_id").alias("id"), F.when(F.col("event_type") != "click", F.col("user_id")).alias("user")), log)
+    return spark.read.text(log).select(F.array_join(T.sorted_keys(F.col("value")), ",").alias("keys"), F.col("value").alias("line"))

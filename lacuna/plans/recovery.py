@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import dims
 from ..functions import bytes as B
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import dedup as D
 from ..operators import intervals as I
+from ..sources import manifest as M
+from . import crossverify as X
 from .tables import HOUR, SECOND, TIMELINE, table, timeline
 
 QUERIES, ORACLES = {}, {}
@@ -37,9 +40,13 @@ def w7_strict_dedup(spark, sf_dir):
     return D.first_of(D.assign_ids(rows, ["lang"], "doc_id"), F.col("sha"), "doc_id").select("doc_id", "lang", "sha", "id")
 
 
-@query("SELECT doc_id, k FROM (SELECT doc_id, md5(substr(coalesce(text, ''), 1, 64)) AS k, row_number() OVER (PARTITION BY substr(coalesce(text, ''), 1, 64) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+_HEAD = f"md5(CAST(unhex(substr(hex(encode(coalesce(text, ''))), 1, {2 * dims.HASH_PREFIX})) AS BLOB))"
+
+
+@query(f"SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n FROM (SELECT doc_id, {_HEAD} AS k FROM documents)) WHERE n = 1")
 def w8_fast_dedup(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.md5(F.substring("text", 1, 64).cast("binary")).alias("k"))
+    """First text of each MD5 of the first 64 KiB."""
+    rows = _docs(spark, sf_dir).select("doc_id", B.prefix_md5(F.col("text").cast("binary")).alias("k"))
     return D.first_of(rows, F.col("k"), "doc_id")
 
 
@@ -55,13 +62,15 @@ def u1_not_seen(spark, sf_dir):
     return D.not_seen(rows.where("pmod(doc_id, 2) = 1"), rows.where("pmod(doc_id, 2) = 0"), F.col("sha"), "sha").select("doc_id")
 
 
-@query("""SELECT page_id, array_to_string(list_filter([CASE WHEN starts_with(h, '<!DOCTYPE') THEN 'doctype' END, CASE WHEN starts_with(h, '<!') THEN 'markup' END, CASE WHEN starts_with(h, '<html') THEN 'html' END], lambda x: x IS NOT NULL), ',') AS probes
-FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)""")
+_PROBED = [(k, m.hex(), ",".join(n for other, n in dims.REGION_PROBES if m.startswith(other))) for k, (m, _) in enumerate(dims.REGION_PROBES)]
+
+
+@query(f"SELECT doc_id, CASE doc_id % {len(_PROBED) + 1} {' '.join(f"WHEN {k} THEN '{n}'" for k, _, n in _PROBED)} ELSE '' END AS probes FROM documents")
 def e23_prefix_probe(spark, sf_dir):
-    """All prefixes that a page starts with, in fixed order."""
-    rules = (("<!DOCTYPE", "doctype"), ("<!", "markup"), ("<html", "html"))
-    hits = F.array_compact(F.array(*[F.when(F.coalesce("html", F.lit("")).startswith(p), F.lit(n)) for p, n in rules]))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(hits, ",").alias("probes"))
+    """All known prefixes that bytes start with: each document is led by one of them, or by none."""
+    at = F.pmod("doc_id", F.lit(len(_PROBED) + 1))
+    lead = F.coalesce(*[F.when(at == k, F.unhex(F.lit(h))) for k, h, _ in _PROBED], F.lit(b"\x01"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(B.matching_probes(F.concat(lead, F.lit(b"\x01"), F.col("text").cast("binary"))), ",").alias("probes"))
 
 
 @query("SELECT page_id, i AS n, m[i] AS piece FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>.*?</p>') AS m FROM pages))")
@@ -146,28 +155,28 @@ def j7_inside_earlier_spans(spark, sf_dir):
 _LINES = r"SELECT {0}, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM {1}"
 
 
-@query(f"""WITH d AS (SELECT doc_id, source, sha256(line) AS h FROM ({_LINES.format("doc_id, source", "documents")}) WHERE length(line) >= 20),
-b AS (SELECT h, max(item_id) AS item_id FROM (SELECT item_id, sha256(line) AS h FROM ({_LINES.format("item_id", "benchmark")}) WHERE length(line) >= 20) GROUP BY h)
-SELECT item_id, max(doc_id) AS doc_id, count(*) AS matched FROM d JOIN b USING (h) GROUP BY item_id""")
+@query(f"""WITH d AS (SELECT doc_id, sha256(line) AS h FROM ({_LINES.format("doc_id", "documents")})), b AS (SELECT h, max(item_id) AS fname FROM (SELECT item_id, sha256(line) AS h FROM ({_LINES.format("item_id", "benchmark")})) GROUP BY h)
+SELECT fname, max(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS matched FROM d JOIN b USING (h) GROUP BY fname""")
 def j2_hash_match(spark, sf_dir):
-    """Lines matched by hash; of equal build rows the last wins, as does the last match of a build row."""
-    lines = lambda df, *cols: df.select(*cols, F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).where(F.length("line") >= 20).withColumn("h", F.sha2("line", 256))
-    build = lines(table(spark, sf_dir, "benchmark"), "item_id").groupBy("h").agg(F.max("item_id").alias("item_id"))
-    return lines(table(spark, sf_dir, "documents"), "doc_id").join(build, "h").groupBy("item_id").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("matched"))
+    """Lines of documents matched by hash with those of items; of equal items' lines the last counts. Equal lines of documents are counted before they meet."""
+    lines = lambda df, *cols: df.select(*cols, F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).withColumn("sha256", F.sha2("line", 256))
+    carved = lines(table(spark, sf_dir, "benchmark"), "item_id").select("sha256", F.col("item_id").alias("fname"), F.lit("photos").alias("bucket"), F.col("item_id").alias("seq"))
+    frames = lines(table(spark, sf_dir, "documents"), "doc_id").groupBy("sha256").agg(F.count(F.lit(1)).alias("c"), F.max("doc_id").alias("doc_id"))
+    return X.match_frames(carved, frames).where("fname IS NOT NULL").groupBy("fname").agg(F.max("doc_id").alias("doc_id"), F.sum("c").alias("matched"))
 
 
-@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("SELECT CAST(doc_id AS VARCHAR) AS fname, source AS bucket FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def j4_orphans(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    name = F.col("doc_id").cast("string").alias("fname")
+    return X.orphans(table(spark, sf_dir, "documents").select(name, F.col("source").alias("bucket")), table(spark, sf_dir, "labels").select(name))
 
 
-@query("""WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id), x AS (SELECT source, count(*) AS total_frames, count(l.doc_id) AS jpeg_frames, count(*) FILTER (quality = 1) AS matched FROM documents LEFT JOIN l USING (doc_id) GROUP BY source)
-SELECT source, total_frames, jpeg_frames, matched, total_frames - matched AS unrecovered, coalesce(round(100.0 * matched / nullif(jpeg_frames, 0), 2), 0) AS match_rate FROM x""")
+@query("""WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT source AS video, count(*) AS total_frames, count(l.doc_id) AS jpeg_frames, count(*) FILTER (quality = 1) AS matched_carved, count(*) - count(*) FILTER (quality = 1) AS unrecovered FROM documents LEFT JOIN l USING (doc_id) GROUP BY source""")
 def a5_per_source(spark, sf_dir):
-    one = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    x = table(spark, sf_dir, "documents").join(one.withColumn("known", F.lit(1)), "doc_id", "left")
-    x = x.groupBy("source").agg(F.count(F.lit(1)).alias("total_frames"), F.count("known").alias("jpeg_frames"), F.count_if(F.col("quality") == 1).alias("matched"))
-    return x.withColumn("unrecovered", F.col("total_frames") - F.col("matched")).withColumn("match_rate", F.coalesce(F.round(F.try_divide(100.0 * F.col("matched"), F.col("jpeg_frames")), 2), F.lit(0.0)))
+    one = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.lit(True).alias("is_jpeg"))
+    frames = table(spark, sf_dir, "documents").join(one, "doc_id", "left").select(F.col("source").alias("video"), "is_jpeg", F.when(F.col("quality") == 1, F.col("doc_id").cast("string")).alias("fname"))
+    return X.per_video(frames.select("video"), frames)
 
 
 _FACTS = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'photos' WHEN 1 THEN 'frames' END AS bucket, quality = 0 AS inside, toxic = 1 AS frame_size, doc_id % 11 = 0 AS still_size, n_chars % 1000 AS near, 500 AS win,
@@ -195,10 +204,11 @@ def x22_rule_score(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", "still", "frame", F.array_join("reasons", ";").alias("reasons"), "suggested")
 
 
-@query(f"WITH {_SCORED} SELECT d.suggested, count(v.doc_id) AS n FROM (VALUES ('likely_still'), ('likely_frame'), ('uncertain')) d(suggested) LEFT JOIN v USING (suggested) GROUP BY 1")
+@query(f"WITH {_SCORED} SELECT count(*) AS jpeg_rows, count(*) FILTER (suggested = 'likely_still') AS likely_still, count(*) FILTER (suggested = 'likely_frame') AS likely_frame, count(*) FILTER (suggested = 'uncertain') AS uncertain FROM v")
 def a7_class_counts(spark, sf_dir):
-    domain = spark.createDataFrame([("likely_still",), ("likely_frame",), ("uncertain",)], "suggested string")
-    return domain.join(_scored(spark, sf_dir).groupBy("suggested").agg(F.count(F.lit(1)).alias("n")), "suggested", "left").select("suggested", F.coalesce("n", F.lit(0)).alias("n"))
+    from .classify import summary
+
+    return summary(_scored(spark, sf_dir))
 
 
 @query(f"""WITH {_SCORED}, p AS (SELECT doc_id, bucket || '/' || doc_id || '.jpg' AS path, CASE suggested WHEN 'likely_still' THEN 'photos' WHEN 'likely_frame' THEN 'frames' END AS want, bucket FROM v)
@@ -222,10 +232,10 @@ def p4_route_and_name(spark, sf_dir):
     return t.select("event_id", bucket.alias("bucket"), T.file_name(prefix, F.col("event_id"), F.upper("event_type"), side(640), side(480), F.col("event_id") * 997, F.substring("event_type", 1, 3)).alias("name"))
 
 
-@query(r"SELECT regexp_extract(url, '\.[a-z]+$') AS ext, count(*) AS n FROM (SELECT regexp_replace(url, '[?#].*$', '') AS url FROM pages) GROUP BY 1")
+@query(r"SELECT extension, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT ltrim(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\.[a-z]+$'), '.') AS extension, strlen(coalesce(html, '')) AS size FROM pages) GROUP BY 1")
 def a11_by_extension(spark, sf_dir):
-    ext = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"\.[a-z]+$", 0)
-    return table(spark, sf_dir, "pages").groupBy(ext.alias("ext")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ext")
+    ext = F.ltrim(F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"\.[a-z]+$", 0), F.lit("."))
+    return M.inventory(table(spark, sf_dir, "pages").select(ext.alias("extension"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size")))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN w > 0 AND h > 0 THEN round(8.0 * sz / (CAST(w AS DOUBLE) * h), 5) END AS bpp FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) - 5 AS w, l_linenumber AS h, l_partkey AS sz FROM lineitem)")
@@ -234,12 +244,11 @@ def x4_bits_per_pixel(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.bits_per_pixel(F.col("l_partkey"), w, h).alias("bpp"))
 
 
-@query("SELECT count(*) AS n_rows, count(*) FILTER (k IS NOT NULL) AS n_parsed, count(*) FILTER (k IS NULL) AS n_invalid, CAST(sum(k) AS BIGINT) AS total FROM (SELECT TRY_CAST(json_extract_string(p, '$.k') AS BIGINT) AS k FROM (SELECT CASE WHEN event_id % 10 = 0 THEN 'broken' ELSE props END AS p FROM events) WHERE json_valid(p) UNION ALL SELECT NULL FROM events WHERE event_id % 10 = 0 OR NOT json_valid(props))")
+@query("SELECT count(*) AS physical_lines, count(*) FILTER (event_id % 10 = 5) AS blank_lines, count(*) FILTER (event_id % 10 IN (0, 1)) AS invalid_lines, count(*) FILTER (event_id % 10 NOT IN (0, 1, 5)) AS parsed_rows FROM events")
 def a9_manifest_counts(spark, sf_dir):
-    line = F.when(F.col("event_id") % 10 == 0, "broken").otherwise(F.col("props"))
-    k = F.from_json(line, "k long, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = table(spark, sf_dir, "events").select(k["k"].alias("k"))
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count("k").alias("n_parsed"), F.count_if(F.col("k").isNull()).alias("n_invalid"), F.sum("k").alias("total"))
+    """Lines by kind: every tenth is broken, a list, or blank."""
+    at = F.col("event_id") % 10
+    return M.input_stats(table(spark, sf_dir, "events").select(F.when(at == 0, "{broken").when(at == 1, "[1]").when(at == 5, "  ").otherwise(F.col("props")).alias("line")))
 
 
 @query("SELECT CASE WHEN f IS NULL OR f = '' THEN 'missing_format' ELSE 'format_not_jpeg' END AS reason_code, count(*) AS n FROM (SELECT CASE event_type WHEN 'click' THEN 'JPEG' WHEN 'view' THEN '' ELSE event_type END AS f FROM events) WHERE f IS DISTINCT FROM 'JPEG' GROUP BY 1")
@@ -254,10 +263,10 @@ def a8_skip_reasons(spark, sf_dir):
 @query("SELECT p_partkey, CASE WHEN contains(t, 'steel') THEN 'metal' WHEN contains(t, 'copper') THEN 'metal' WHEN contains(t, 'small') THEN 'size' WHEN contains(t, 'e') THEN 'other' ELSE 'none' END AS kind FROM (SELECT p_partkey, lower(p_type) AS t FROM part)")
 def j11_ordered_contains(spark, sf_dir):
     """The first rule, in order of priority, whose text the lower-cased value contains."""
-    rules = spark.createDataFrame([(0, "Steel", "metal"), (1, "COPPER", "metal"), (2, "small", "size"), (3, "e", "other")], "priority int, needle string, kind string")
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_type").alias("t"))
-    hits = parts.join(F.broadcast(rules), F.contains(parts["t"], F.lower(rules["needle"])), "left")  # four fixed rows
-    return hits.groupBy("p_partkey").agg(F.coalesce(F.min_by("kind", "priority"), F.lit("none")).alias("kind"))
+    rules, kind = [("Steel", "metal"), ("COPPER", "metal"), ("small", "size"), ("e", "other")], F.lit("none")
+    for needle, name in reversed(rules):
+        kind = F.when(F.contains(F.lower("p_type"), F.lit(needle.lower())), name).otherwise(kind)
+    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
 
 
 @query("SELECT p_partkey, CASE b WHEN '1' THEN 'MP4' WHEN '2' THEN 'MOV' WHEN '3' THEN 'HEIC' ELSE CASE c WHEN '1' THEN 'MP4' WHEN '2' THEN 'MOV' WHEN '3' THEN 'HEIC' ELSE 'MP4' END END AS format FROM (SELECT p_partkey, substr(p_brand, 7, 1) AS b, substr(p_brand, 8, 1) AS c FROM part)")

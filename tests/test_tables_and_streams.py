@@ -59,7 +59,7 @@ def test_catalog(spark):
     assert rows[0].description == "not loaded · tool use" and rows[1].description == "131.1K ctx · loaded · vision"
     assert L.best_model(found).first().value == "a/b-chat_7b"
     assert L.models_of(spark.createDataFrame([("[{}]",), ("oops",), ('{"items": [{}, {}]}',)], "body string"), "body").count() == 3
-    asked = spark.createDataFrame([("z", False), ("A/B-CHAT_7B", True), ("best", True), ("Mapped", False), ("tiny-1", False), ("fam-2", False), ("other", True)], "model string, has_tools boolean")
+    asked = spark.createDataFrame([("z", False), ("A/B-CHAT_7B", True), ("best", True), ("Mapped", False), ("tiny-1", False), ("fam-2", False), ("other", True)], "model string, calls_functions boolean")
     out = {r.model: r.resolved for r in L.resolve_aliases(asked, found, {"mapped": "m"}, "main", "small", ("fam",), ("tiny",)).collect()}
     assert out == {"z": "z", "A/B-CHAT_7B": "a/b-chat_7b", "best": "small", "Mapped": "m", "tiny-1": "small", "fam-2": "main", "other": "other"}
 
