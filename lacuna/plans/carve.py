@@ -242,8 +242,8 @@ def skipped_rows(found: DataFrame, chosen: DataFrame, like: DataFrame) -> DataFr
     outside = inside_spans(bad, chosen.select("image_id", "start", "end"), "start", "start", "end", ["image_id"], outside=True)
     kind = like.schema["jpeg"].dataType
     known = F.when(F.col("width").isNotNull(), F.struct(*[(F.col(f.name) if f.name in ("width", "height") else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind]))
-    told = {"v": F.lit(2), "status": F.lit("skipped"), "image_id": F.col("image_id"), "format": F.lit("JPEG"), "source_offset": F.col("start"), "source_end": F.col("end"), "size": F.col("end") - F.col("start"), "skip_reason": F.lit("validation failed after EOI retries"), "jpeg": known}
-    return outside.select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema])
+    told = {"v": F.lit(2), "status": F.lit("skipped"), "image_id": F.col("image_id"), "format": F.lit("JPEG"), "source_offset": F.col("start"), "source_end": F.col("end"), "size": F.col("end") - F.col("start"), "skip_reason": F.lit("validation failed after EOI retries")}
+    return outside.select(*[(known if f.name == "jpeg" else told.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name) for f in like.schema])
 
 
 def choose(spark: SparkSession, path: str, s: Settings, start: int = 0, end: int = 0, image_id: str | None = None, chunk_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
