@@ -15,4 +15,4 @@ def test_registered():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in registry.QUERIES} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in registry.QUERIES} and "pipeline" in names
