@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,3 +99,50 @@ def entropy_by_histogram(df: DataFrame, id_col: str, data: Column) -> DataFrame:
     found = per.select("id", "n_bytes", (F.log2(F.col("n_bytes").cast("double")) - F.col("s") / F.col("n_bytes")).alias("entropy"))
     ids = df.select(F.col(id_col).alias("id")).distinct()
     return ids.join(found, "id", "left").select("id", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
+
+
+#: Keys that a task counts for at a time, before it hands their histograms on.
+HELD_KEYS = 4096
+
+
+def _histograms(n_keys: int):
+    """mapInArrow over (keys..., data): (keys..., bin, n) of the bytes of each key, summed within the task; a row with bin -1 tells that a key is there."""
+
+    def give(names: list[str], kinds: list[pa.DataType], held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        rows, bins = np.nonzero(np.stack(list(held.values())))
+        counts = np.stack(list(held.values()))[rows, bins]
+        keys = [pa.array([k[i] for k in held], kind) for i, kind in enumerate(kinds)]
+        at = pa.array(rows)
+        return pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), pa.array((bins - 1).astype(np.int32)), pa.array(counts)], [*names, "bin", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names, kinds = {}, [], []
+        for batch in batches:
+            names, kinds = batch.schema.names[:n_keys], batch.schema.types[:n_keys]
+            for *key, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = held.setdefault(tuple(key), np.zeros(257, np.int64))
+                found[0] = 1
+                found[1:] += np.bincount(np.frombuffer(data or b"", np.uint8), minlength=256)
+                if len(held) > HELD_KEYS:
+                    yield give(names, kinds, held)
+                    held = {}
+        if held:
+            yield give(names, kinds, held)
+
+    return run
+
+
+def byte_counts(df: DataFrame, keys: list[str], data: Column) -> DataFrame:
+    """(keys..., bin, n): how often each byte value occurs in all values of a key. Histograms are summed in every task first and then by key and bin, so a key may stand in any number of rows, of any sizes."""
+    at = df.select(*keys, data.cast("binary").alias("data"))
+    told = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.schema.fields[: len(keys)])
+    return at.mapInArrow(_histograms(len(keys)), f"{told}, bin int, n long").groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+
+
+def entropy_by(df: DataFrame, keys: list[str], data: Column) -> DataFrame:
+    """(keys..., n_bytes, entropy): bits per byte over all values of each key, from mergeable histograms; 0 for keys without bytes. Null keys are a key, null data no bytes."""
+    at = byte_counts(df, keys, data).withColumn("c", F.when(F.col("bin") >= 0, F.col("n")).otherwise(0))
+    spread = F.sum(F.when(F.col("c") > 0, F.col("c") * F.log2("c")).otherwise(0.0))
+    per = at.groupBy(*keys).agg(F.sum("c").alias("n_bytes"), spread.alias("_s"))
+    found = F.log2(F.col("n_bytes").cast("double")) - F.col("_s") / F.col("n_bytes")
+    return per.select(*keys, "n_bytes", F.when(F.col("n_bytes") > 0, F.abs(found)).otherwise(0.0).alias("entropy"))

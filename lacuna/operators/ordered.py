@@ -7,16 +7,35 @@ from pyspark.sql import functions as F
 
 #: Rows that a bucket of the ordering column should hold.
 BUCKET_ROWS = 200_000
+#: Buckets that the ordering column is cut into at most.
+MOST_BUCKETS = 4096
 
 
 def with_buckets(df: DataFrame, order: str, rows: int = BUCKET_ROWS) -> DataFrame:
-    """df with _bucket: the ordering column (whole numbers) cut into ranges of equal width, about one per `rows` rows of df.
+    """df with _bucket: the ordering column cut at quantiles into ranges of about `rows` rows (MOST_BUCKETS at most), ascending; null where it is null.
 
-    One small aggregate measures the range. A key of any size is thereby spread over many tasks.
+    The quantiles come from one mergeable sketch, so rows that crowd in a small part of the range are spread like any others; only rows of one and the same value stay together.
     """
-    at = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(order).alias("n")).first()
-    width = 1 if not at.n else max(1, (at.hi - at.lo) // max(1, at.n // rows) + 1)
-    return df.withColumn("_bucket", F.floor((F.col(order) - F.lit(at.lo or 0)) / F.lit(width)))
+    n = df.agg(F.count(order)).first()[0]
+    wanted = min(MOST_BUCKETS, n // rows + 1)
+    splits = [] if wanted == 1 else sorted(set(df.agg(F.percentile_approx(order, [i / wanted for i in range(1, wanted)], 20 * wanted)).first()[0]))
+    return df.withColumn("_bucket", F.when(F.col(order).isNotNull(), reached(splits, F.col(order))))
+
+
+def reached(splits: list, at: Column) -> Column:
+    """How many of the ascending splits are at most `at`, by halving."""
+    if not splits:
+        return F.lit(0)
+    all_ = F.array(*map(F.lit, splits))
+
+    def halve(range_: Column, _: Column) -> Column:
+        lo, hi = range_["lo"], range_["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        above = F.get(all_, mid) <= at
+        return F.struct(F.when((lo < hi) & above, mid + 1).otherwise(lo).alias("lo"), F.when((lo < hi) & ~above, mid).otherwise(hi).alias("hi"))
+
+    steps = F.array(*[F.lit(i) for i in range(len(splits).bit_length())])
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(splits)).alias("hi")), halve, lambda r: r["lo"])
 
 
 def running_before(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[Column, str]], rows: int = BUCKET_ROWS) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from .. import dims
 from ..functions import text as T
@@ -20,7 +21,7 @@ from ..operators.intervals import gap_regions, greedy_nonoverlap, inside_spans
 from ..operators.ordered import running_before
 from ..parsers import find_end, images, videos
 from ..parsers.source import Source
-from ..sources.rawimage import input_size, read_image
+from ..sources.rawimage import ImageFile, input_size, located, read_image
 from ..sources.scratch import materialise
 
 #: Bytes that a tile repeats of the next one: a sync pattern needs 8 * 192.
@@ -126,7 +127,7 @@ def find_files(spark: SparkSession, path: str, settings: Settings | None = None,
     tiles = read_image(spark, path, start=start, end=end, tile=tile, overlap=LOOK_AHEAD, image_id=name)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(path, "rb") as f:
+        with ImageFile(path) as f:
             src = Source(file=f, size=size)
             for tile_rows in batches:
                 for offset, own, data in zip(tile_rows["offset"], tile_rows["length"], tile_rows["data"], strict=True):
@@ -174,8 +175,8 @@ def with_hashes(files: DataFrame, path: str, s: Settings) -> DataFrame:
     whole = s.dedup != "fast"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(path, "rb") as f:
-            src = Source(file=f, size=input_size(path))
+        with ImageFile(path) as f:
+            src = Source(file=f, size=f.bytes)
             for rows in batches:
                 told = [file_hashes(src, int(a), int(z), whole) for a, z in zip(rows["start"], rows["end"], strict=True)]
                 yield rows.assign(prefix_md5=[x[0] for x in told], sha256=[x[1] for x in told])
@@ -289,29 +290,61 @@ def scan_stats(chosen: DataFrame, kept: DataFrame) -> DataFrame:
 def extract(manifest: DataFrame, image: str, folder: str) -> DataFrame:
     """Copy the files of a manifest out of the image, in pieces, under their paths; (path, bytes, sha256) of what was written.
 
-    A file is written under another name and renamed, so that a repeated task does no harm. folder must be one that all workers share.
+    A file is written under another name and renamed, so that a repeated task does no harm. folder is a path that all workers share, or a URI of any file system pyarrow knows.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(image, "rb") as f:
+        fs, root = located(folder)
+        with ImageFile(image) as f:
             for rows in batches:
                 out = []
                 for rel, a, z in zip(rows["path"], rows["source_offset"], rows["source_end"], strict=True):
                     if rel.startswith("/") or ".." in rel.split("/"):
                         raise ValueError(f"unsafe path: {rel}")
-                    target, whole = os.path.join(folder, rel), hashlib.sha256()
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    target, whole = f"{root}/{rel}", hashlib.sha256()
+                    fs.create_dir(os.path.dirname(target))
                     part = f"{target}.{uuid.uuid4().hex}.part"
-                    with open(part, "wb") as to:
+                    with fs.open_output_stream(part) as to:
                         f.seek(a)
                         left = z - a
                         while left > 0 and (piece := f.read(min(left, 4 * dims.MIB))):
                             to.write(piece)
                             whole.update(piece)
                             left -= len(piece)
-                    os.replace(part, target)
+                    fs.move(part, target)
                     out.append((rel, int(z - a - left), whole.hexdigest()))
                 yield pd.DataFrame(out, columns=["path", "bytes", "sha256"])
 
     return manifest.select("path", "source_offset", "source_end").mapInPandas(write, "path string, bytes bigint, sha256 string")
 
+
+def carve_bytes(data: bytes, settings: Settings | None = None) -> Iterator[tuple]:
+    """(start, end, format, extension, media, width, height) of the files in some bytes, as a scan from the start accepts them."""
+    s, src, until = settings or Settings(), Source(data), 0
+    for at in sorted(starts_in(data, len(data))):
+        if at < until:
+            continue
+        found, stride = recognise(src, at, len(data), s), videos.ts_stride(data, at) if data[at] == 0x47 else None
+        if found is None and stride:
+            stop = min(len(data), sync_run(data, at, stride))
+            found = (stop, "MPEG-TS", "ts", "video", stop - at > max(s.video_min, dims.VIDEO_MIN))
+        if found is None or not found[4]:
+            continue
+        until, fmt, ext, media, _ = found
+        w, h, _ = (images.jpeg_frame(src.at(at, min(until - at, dims.MIB))) or (None, None, None)) if fmt == "JPEG" else (None, None, None)
+        yield at, until, fmt, ext, media, w, h
+
+
+class CarveFunction:
+    """Table function: the files in a value's bytes; null bytes hold none. photo_min is the least size of pictures."""
+
+    def eval(self, content: bytes, photo_min: int):
+        if content is not None:
+            yield from carve_bytes(bytes(content), Settings(photo_min=photo_min))
+
+
+def carve_function(spark: SparkSession):
+    """Registers carve(content, photo_min) for SQL and returns it for lateral joins: one value at a time, of up to 2 GB; larger images go through carve()."""
+    f = udtf(CarveFunction, returnType="start bigint, end bigint, format string, extension string, media string, width int, height int")
+    spark.udtf.register("carve", f)
+    return f

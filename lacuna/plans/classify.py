@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..sources import manifest as M
 
 
 def skip_code(fmt: Column) -> Column:
@@ -88,6 +89,19 @@ def summary(items: DataFrame, moves: DataFrame | None = None) -> DataFrame:
     return out.join(moves.agg(*[F.count_if(F.col("status") == s).alias(f"moves_{s}") for s in ("planned", "moved", "skipped", "error")]))  # one row each
 
 
+def report(lines: DataFrame, items: DataFrame, moves: DataFrame, facts: dict) -> dict[str, DataFrame | dict]:
+    """The sections of a classification report (see sources.reports): facts, what was read, what wasn't, counts, rows that weren't scored, moves and items. lines are the manifest's (line, and line_no where it is known)."""
+    counted = lambda df: {k: int(v) for k, v in df.first().asDict().items()}  # noqa: E731  one row
+    parsed = M.parse_manifest(lines).where("kind = 'valid'")
+    counts = counted(summary(items, moves)) | {"skipped_non_jpeg": parsed.where(~F.col("format").eqNullSafe("JPEG")).count()}
+    return {"facts": facts, "manifest_input_stats": counted(M.input_stats(lines)), "summary": counts, "manifest_load_issues": M.issues(lines), "skipped_entries": skipped_rows(parsed), "bucket_moves": moves, "items": items}
+
+
+def write_csv(items: DataFrame, folder: str) -> None:
+    """csv_rows() with a header, as CSV files in a folder."""
+    csv_rows(items).write.mode("overwrite").option("header", True).csv(folder)
+
+
 def csv_rows(items: DataFrame) -> DataFrame:
     """The summary table as it goes into a CSV file: reasons joined by ';'."""
     return items.select("path", "bucket", "suggested", F.col("still").alias("score_still"), F.col("frame").alias("score_frame"), F.array_join("reasons", ";").alias("reasons"))

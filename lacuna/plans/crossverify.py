@@ -96,6 +96,12 @@ def summary(carved: DataFrame, videos_: DataFrame, matches: DataFrame) -> DataFr
     return at.withColumn("match_rate_percent", rate("matched_to_video", "carved_files")).withColumn("recovery_rate_percent", rate("matched_to_video", "avi_frames"))
 
 
+def report(carved: DataFrame, films: DataFrame, matched: DataFrame, regions: DataFrame, facts: dict) -> dict[str, DataFrame | dict]:
+    """The sections of a cross-verification report (see sources.reports): facts, totals, a row a film, the orphans and their regions."""
+    told, matches = per_video(films, matched), file_matches(matched)
+    return {"facts": facts, "summary": summary(carved, told, matches).first().asDict(), "videos": told, "orphans": orphans(carved, matches), "regions": regions}
+
+
 def offsets_of(manifest: DataFrame) -> DataFrame:
     """(fname, start, end): where each carved JPEG lies, by file name; of several rows of one name the last (line_no) counts. Rows without whole offsets are left out."""
     name = F.substring_index("path", "/", -1)

@@ -9,6 +9,8 @@ from .. import dims
 from ..functions import bytes as B
 from ..functions import text as T
 from ..operators.intervals import gap_regions, overlapping_spans
+from ..sources.rawimage import read_image
+from ..sources.scratch import materialise
 from .tables import HOUR, SECOND, TIMELINE, table, timeline
 
 QUERIES, ORACLES = {}, {}
@@ -35,6 +37,24 @@ def mark_recovered(blocks: DataFrame, spans: DataFrame, keys: list[str]) -> Data
     return blocks.join(hit, "block", "left").withColumn("recovered", F.coalesce("recovered", F.lit(False)))
 
 
+def scan(spark: SparkSession, path: str, spans: DataFrame | None = None, block: int = dims.BLOCK, stride: int = dims.STRIDE, gap: int = dims.MERGE_GAP, least: int = dims.LEAST_REGION, **options) -> dict[str, DataFrame]:
+    """A strided entropy scan of an image: blocks (offset, length, entropy, recovered), bands (one row), and regions of dense blocks (5 bits or more) that no span (start, end) of what was recovered
+    touches, each with the formats that the bytes at its start suggest.
+    """
+    tiles = read_image(spark, path, tile=block, stride=stride, **options)
+    at = tiles.select(F.col("offset").alias("block"), "offset", F.col("length").cast("long").alias("length"), F.round(B.byte_entropy("data"), 6).alias("entropy"))
+    none = spark.createDataFrame([], "start long, end long")
+    blocks = materialise(mark_recovered(materialise(at), none if spans is None else spans, []))
+    found = high_regions(blocks.where((F.col("entropy") >= dims.BANDS[1]) & ~F.col("recovered")), [], gap, least)
+    heads = tiles.select(F.col("offset").alias("start"), B.matching_probes(F.col("data")).alias("probes"))
+    return {"blocks": blocks.drop("block"), "bands": band_counts(blocks), "regions": found.join(heads, "start").drop("region")}
+
+
+def report(found: dict[str, DataFrame], facts: dict) -> dict[str, DataFrame | dict]:
+    """The sections of an entropy report (see sources.reports) of what scan() found."""
+    return {"facts": facts, "bands": found["bands"].first().asDict(), "regions": found["regions"]}
+
+
 def a1_entropy_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     return d.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), F.round(B.byte_entropy("data"), 6).alias("entropy"))
@@ -81,6 +101,17 @@ ORACLES["j6_overlap_recovered"] = f"""WITH {TIMELINE}, s AS (SELECT user_id, us
 SELECT event_id AS block, EXISTS (SELECT 1 FROM s WHERE s.user_id = tl.user_id AND s.z > s.a AND tl.us < s.z AND tl.us + {600 * SECOND} > s.a) AS recovered FROM tl WHERE event_type = 'view'"""
 
 
+def v5_region_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of the texts of each language and source, as regions of many tiles."""
+    found = B.entropy_by(table(spark, sf_dir, "documents"), ["lang", "source"], F.coalesce("text", F.lit("")))
+    return found.withColumn("entropy", F.round("entropy", 6))
+
+
+ORACLES["v5_region_entropy"] = """WITH b AS (SELECT lang, source, unnest(regexp_extract_all(hex(encode(coalesce(text, ''))), '..')) AS b FROM documents), h AS (SELECT lang, source, b, count(*) AS c FROM b GROUP BY ALL),
+e AS (SELECT lang, source, sum(c) AS n, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM h GROUP BY ALL)
+SELECT d.lang, d.source, CAST(coalesce(n, 0) AS BIGINT) AS n_bytes, round(abs(coalesce(e, 0)), 6) AS entropy FROM (SELECT DISTINCT lang, source FROM documents) d LEFT JOIN e ON d.lang IS NOT DISTINCT FROM e.lang AND d.source IS NOT DISTINCT FROM e.source"""
+
+
 def x6_size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("o_totalprice") * 100).cast("long") * F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), T.human_size(n).alias("readable"), T.size_label(n).alias("label"), T.mib(n, 3).alias("mib"))
@@ -90,4 +121,4 @@ ORACLES["x6_size_labels"] = """WITH t AS (SELECT o_orderkey, CAST(trunc(o_totalp
 SELECT o_orderkey, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0) ELSE printf('%.2f GB', n / 1073741824.0) END AS readable,
   CASE WHEN n < 10485760 THEN (n // 1024) || 'KB' ELSE (n // 1048576) || 'MB' END AS label, round(n / 1048576.0, 3) AS mib FROM t"""
 
-QUERIES |= {f.__name__: f for f in (a1_entropy_per_doc, a2_entropy_bands, a3_high_regions, j6_overlap_recovered, x6_size_labels)}
+QUERIES |= {f.__name__: f for f in (a1_entropy_per_doc, a2_entropy_bands, a3_high_regions, j6_overlap_recovered, x6_size_labels, v5_region_entropy)}

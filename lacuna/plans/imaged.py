@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import bytes as B
 from ..operators.ordered import running_before
-from ..sources.rawimage import read_image
+from ..sources.rawimage import read_image, write_parts
 from ..sources.scratch import materialise, new_folder
 from . import carve as C
 from . import classify, crossverify, entropy
@@ -42,25 +38,17 @@ def film_table(pictures: DataFrame) -> DataFrame:
 
 
 def lay_out(spark: SparkSession, sf_dir: str) -> str:
-    """The path of an image that holds each document's text as a picture, by doc_id, with gaps between. Places are a running sum; tasks write their own pieces into one file."""
-    pieces = materialise(picture_bytes(table(spark, sf_dir, "documents")).withColumn("data", F.concat("data", F.lit(bytes(32)))))
-    at = running_before(pieces.select("doc_id", F.octet_length("data").cast("long").alias("n")), [], ["doc_id"], {"place": (F.col("n"), "sum")})
-    folder = new_folder(spark, "images").removeprefix("file://")
-    os.makedirs(folder)
-    path = f"{folder}/documents.img"
-    with open(path, "wb") as f:
-        f.truncate(pieces.agg(F.sum(F.octet_length("data"))).first()[0] or 0)
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(path, "r+b") as f:
-            for rows in batches:
-                for place, piece in zip(rows["place"], rows["data"], strict=True):
-                    f.seek(int(place))
-                    f.write(piece)
-                yield pd.DataFrame({"n": [len(rows)]})
-
-    pieces.join(at, "doc_id").select("place", "data").mapInPandas(write, "n long").agg(F.sum("n")).collect()  # one row
-    return path
+    """The path of an image that holds each document's text as a picture, by doc_id, with gaps between."""
+    pieces = picture_bytes(table(spark, sf_dir, "documents")).select("doc_id", F.concat("data", F.lit(bytes(32))).alias("data"))
+    return lay_in_order(spark, pieces, "doc_id")
+
+
+def lay_in_order(spark: SparkSession, pieces: DataFrame, order: str) -> str:
+    """The path of an image in which pieces (order, data) follow one another. Places are a running sum of lengths, so only lengths are put in order."""
+    pieces = materialise(pieces)
+    at = materialise(running_before(pieces.select(order, F.octet_length("data").cast("long").alias("n")), [], [order], {"place": (F.col("n"), "sum")}))
+    size = at.agg(F.sum("n")).first()[0] or 0
+    return write_parts(pieces.join(at, order).select("place", "data"), size, new_folder(spark, "images"))
 
 
 _IMAGE = f"""p AS (SELECT doc_id, '{_HEAD}' || lpad(hex(coalesce(n_chars, 0) % 500 + 1), 4, '0') || lpad(hex(coalesce(n_chars, 0) % 700 + 1), 4, '0') || '{_SCAN}' || hex(encode(coalesce(text, ''))) || 'FFD9' AS h,
@@ -114,8 +102,7 @@ def f16_entropy_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of the image's strided blocks, and how many of the dense ones lie in what was carved."""
     path = lay_out(spark, sf_dir)
     found = materialise(C.carve(spark, path, C.Settings(photo_min=LEAST), image_id="documents"))
-    blocks = read_image(spark, path, tile=dims.BLOCK, stride=STRIDE).select(F.col("offset").alias("block"), "offset", F.col("length").cast("long").alias("length"), F.round(B.byte_entropy("data"), 6).alias("entropy"))
-    return entropy.band_counts(entropy.mark_recovered(materialise(blocks), found.select(F.col("source_offset").alias("start"), F.col("source_end").alias("end")), []))
+    return entropy.scan(spark, path, found.select(F.col("source_offset").alias("start"), F.col("source_end").alias("end")), stride=STRIDE)["bands"]
 
 
 _BYTES = f"{_IMAGE}, i AS (SELECT string_agg(h || '{'00' * 32}', '' ORDER BY doc_id) AS h FROM p)"

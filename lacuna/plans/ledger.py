@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import dedup as D
 from ..operators.ordered import number_rows
 from ..sources.manifest import append_json
-from ..sources.scratch import new_folder
+from ..sources.scratch import materialise, new_folder
 from .tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -62,6 +62,34 @@ def transition(estado: Column, dry_run: bool) -> dict[str, Column]:
     return {"status": F.when(estado.isNull(), "error").when(done, "skipped").otherwise("ok"), "new_estado": F.when(done, estado).when(estado.isNotNull(), "En curso" if dry_run else "Enviada")}
 
 
+def batch_plan(rows: DataFrame, failing: Column, limit: int = 0, dry_run: bool = True, by: list[str] | None = None) -> DataFrame:
+    """What submitting the pending rows one after the other comes to (the first `limit` of each batch; all if 0): rows with place (from 1), period, status and new_estado.
+
+    A batch, the rows of equal `by`, stops at its first row for which `failing` holds: that is an error and changes nothing, and later ones are 'not_attempted'. Places are numbers within
+    buckets and a batch's first error is an aggregate, so a batch of any size is many tasks' work.
+    """
+    by = by or []
+    at = number_rows(rows.where(F.lower("estado") == PENDING), by, ["row"], "place")
+    at = at.where(F.col("place") <= limit) if limit else at
+    at = materialise(at.withColumn("_fails", F.coalesce(failing, F.lit(False))))
+    stops = at.where("_fails").groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(F.min("place").alias("_stop"))
+    same = F.lit(True)
+    for c in by:
+        same = same & at[c].eqNullSafe(F.col(f"_k_{c}"))
+    at = at.join(stops, same, "left") if by else at.join(stops)  # one row
+    told = transition(F.col("estado"), dry_run)
+    status = F.when(F.col("place") > F.col("_stop"), "not_attempted").when(F.col("_fails"), "error").otherwise(told["status"])
+    period = T.period_label(F.col("servicio"), F.col("anio"), F.col("periodo_num"))
+    return at.select(*rows.columns, "place", period.alias("period"), status.alias("status")).withColumn("new_estado", F.when(F.col("status").isin("ok", "skipped"), told["new_estado"]).otherwise(F.col("estado")))
+
+
+def status_counts(rows: DataFrame) -> DataFrame:
+    """One row of the summary sheet: filings (rows with a number), how many of them are in each known state, the finished ones' share in percent."""
+    state = lambda *names: F.count_if(F.lower("estado").isin(*names))
+    at = rows.where(F.col("num").isNotNull()).agg(F.count("num").alias("total"), state("pendiente").alias("pendientes"), state("en curso").alias("en_curso"), state("enviada").alias("enviadas"), state("validada").alias("validadas"), state("finalizada").alias("finalizadas"))
+    return at.withColumn("percent", F.coalesce(F.round(F.try_divide(100.0 * F.col("finalizadas"), F.col("total")), 2), F.lit(0.0)))
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """Rows per status (null: all), with each one's share in percent."""
     per = rows.rollup("estado").agg(F.count(F.lit(1)).alias("n"), F.grouping("estado").alias("is_total"))
@@ -140,6 +168,21 @@ def m2_status_machine(spark, sf_dir):
     return f.withColumns(transition(F.col("estado"), True)).select("row", "status", "new_estado", T.period_label(F.col("servicio"), F.col("anio"), F.col("periodo_num")).alias("label"))
 
 
+_PLAN = f"""WITH t AS ({_ORDERS}), p AS (SELECT *, row_number() OVER (PARTITION BY servicio ORDER BY o_orderkey) AS place FROM t WHERE lower(estado) = 'pendiente'),
+q AS (SELECT *, o_orderkey % 97 = 0 AS fails, min(CASE WHEN o_orderkey % 97 = 0 THEN place END) OVER (PARTITION BY servicio) AS stop FROM p)"""
+
+
+@query(f"{_PLAN} SELECT o_orderkey AS row, servicio, place, printf('%s %d-%02d', servicio, anio, mes) AS period, CASE WHEN place > stop THEN 'not_attempted' WHEN fails THEN 'error' ELSE 'ok' END AS status, CASE WHEN place >= stop THEN estado ELSE 'En curso' END AS new_estado FROM q")
+def m3_batch_plan(spark, sf_dir):
+    """All pending filings as a batch for each service; every 97th order's submission fails."""
+    return batch_plan(_filings(spark, sf_dir), F.col("row") % 97 == 0, by=["servicio"]).select("row", "servicio", "place", "period", "status", "new_estado")
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (estado = 'Pendiente') AS pendientes, count(*) FILTER (estado = 'En curso') AS en_curso, 0::BIGINT AS enviadas, 0::BIGINT AS validadas, count(*) FILTER (estado = 'Finalizada') AS finalizadas, round(100.0 * count(*) FILTER (estado = 'Finalizada') / count(*), 2) AS percent FROM ({_ORDERS})")
+def a15_status_counts(spark, sf_dir):
+    return status_counts(_filings(spark, sf_dir).withColumn("num", F.col("row")))
+
+
 _SPECS = [("NORTE", "2022-11:2024-02"), ("SUR", "2023-01:2023-03"), ("NORTE", "2024-01:2024-03")]
 
 

@@ -1,6 +1,6 @@
 """The queries of the engine's own operators, by name, and their DuckDB oracles. Names start with the operator they show."""
 
-from .plans import entropy, imaged, ledger, recovery, streams
+from .plans import entropy, imaged, ledger, mixed, recovery, requests, streams
 
-QUERIES = {**entropy.QUERIES, **imaged.QUERIES, **recovery.QUERIES, **ledger.QUERIES, **streams.QUERIES}
-ORACLES = {**entropy.ORACLES, **imaged.ORACLES, **recovery.ORACLES, **ledger.ORACLES, **streams.ORACLES}
+QUERIES = {**entropy.QUERIES, **imaged.QUERIES, **mixed.QUERIES, **recovery.QUERIES, **ledger.QUERIES, **streams.QUERIES, **requests.QUERIES}
+ORACLES = {**entropy.ORACLES, **imaged.ORACLES, **mixed.ORACLES, **recovery.ORACLES, **ledger.ORACLES, **streams.ORACLES, **requests.ORACLES}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lines import SPLIT, numbered_lines
 
 JPEG = "struct<width:int,height:int,inside_mjpeg_avi:boolean,matches_skip_frame_resolution:boolean,near_video_offset_bytes:bigint,video_proximity_window_bytes:bigint,bits_per_pixel:double,progressive_jpeg:boolean,matches_common_still_resolution:boolean>"
 #: Columns of a manifest row; rows of older versions lack some.
@@ -38,11 +39,9 @@ def issues(rows: DataFrame) -> DataFrame:
     return bad.select(*[c for c in ("line_file", "line_no") if c in rows.columns], reason.alias("reason"), T.snippet(F.col("line")).alias("snippet"))
 
 
-def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(line_file, line_no from 1, line). A file is one row of binaryFile here, so this suits manifests, not logs of many GB; those have lines()."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("line_file"), F.decode("content", "UTF-8").alias("body"))
-    cut = whole.select("line_file", F.posexplode(F.split(F.regexp_replace("body", r"\r?\n\z", ""), r"\r?\n", -1)).alias("at", "line"))
-    return cut.select("line_file", (F.col("at") + 1).alias("line_no"), "line")
+def with_line_numbers(spark: SparkSession, path: str, split_bytes: int = SPLIT) -> DataFrame:
+    """(line_file, line_no from 1, line) of manifests or logs of any size; see numbered_lines()."""
+    return numbered_lines(spark, path, split_bytes)
 
 
 def input_stats(rows: DataFrame) -> DataFrame:

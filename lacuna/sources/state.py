@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 SEEN, COUNTERS = "hash string", "media string, last_id bigint"
 
 
-def _load(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table; an empty one where there is none yet."""
     try:
         return spark.read.schema(schema).parquet(path)
     except Exception as e:
@@ -19,12 +20,12 @@ def _load(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def load_seen(spark: SparkSession, folder: str, kind: str = "sha256") -> DataFrame:
     """Hashes of a kind; none before the first run."""
-    return _load(spark, f"{folder}/seen_{kind}", SEEN)
+    return read_if_there(spark, f"{folder}/seen_{kind}", SEEN)
 
 
 def load_counters(spark: SparkSession, folder: str) -> DataFrame:
     """The last id of each media type."""
-    return _load(spark, f"{folder}/counters", COUNTERS)
+    return read_if_there(spark, f"{folder}/counters", COUNTERS)
 
 
 def save(files: DataFrame, folder: str, hash_col: str = "sha256", kind: str = "sha256") -> None:
