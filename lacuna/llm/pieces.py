@@ -268,8 +268,11 @@ class Encoder(dict):
         self.model = model
 
     def __missing__(self, segment: str) -> bytes:
-        if len(segment) > 2 and segment[-1] in ".,!?;:" and segment[-2:] not in self.model.joined:
-            return self[segment[:-1]] + self[segment[-1]]
+        end = len(segment)
+        while end > 2 and segment[end - 1] in ".,!?;:" and segment[end - 2 : end] not in self.model.joined:
+            end -= 1  # no piece reaches over: marks at the end are pieces of their own
+        if end < len(segment):
+            return self[segment[:end]] + b"".join(map(self.__getitem__, segment[end:]))
         ids = [i for piece in self.model.solve(segment) for i in self.model.token(piece)]
         packed = array("i", ids).tobytes()
         if len(segment) <= CACHED_LENGTH:

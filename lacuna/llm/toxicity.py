@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_texts, join_narrow, least_hash_rows, materialise, small_batches, small_slices, table
+from .common import filter_texts, free_name, join_narrow, least_hash_rows, materialise, small_batches, small_slices, table
 
 #: Characters of an n-gram at most, and up to how many the counts are shared by both classes.
 ORDER, SHARED = 4, 2
@@ -395,9 +395,10 @@ def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, cut
     """The rows of df whose score is under cut, all columns as they are."""
     detector = train_detector(df, labels, id_col, text_col, cut, model_rows=model_rows)
     if isinstance(detector.model, TableModel):
-        rows = materialise(df.withColumn("_at", F.monotonically_increasing_id()))
-        kept = detector.scores(rows.select("_at", F.col(text_col).cast("string").alias("text"))).where(F.col("score") < cut)
-        return rows.join(kept.select("_at"), "_at").drop("_at")
+        at = free_name(df, "_at")
+        rows = materialise(df.withColumn(at, F.monotonically_increasing_id()))
+        kept = detector.scores(rows.select(F.col(at).alias("_at"), F.col(text_col).cast("string").alias("text"))).where(F.col("score") < cut)
+        return rows.join(kept.select(F.col("_at").alias(at)), at).drop(at)
 
     def make():
         cache: dict[str, float] = {}

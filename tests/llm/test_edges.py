@@ -74,6 +74,17 @@ def test_pieces(docs, none):
     assert pieces.encode(none, "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("text", ["!," * 5000, "a" + ":!" * 5000, "word " + ".;" * 10_000 + " end", ",." * 30_000, "?" * 10_000])
+def test_long_runs_of_marks(spark, text):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for walk_all in (False, True):
+        got = pieces.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", walk_all=walk_all)
+        assert got.first().ids == library.encode(text)
+    assert pieces.decode(got, "id", "ids").first().text == text
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "no scheme", ""), (3, "HTTP://Ex.Com/en/1?q#f", "<p>hi"), (3, "http://ex.com/en/1", "<p>hi"), (None, "a://b", "x" * 2000), (5, "http://ex.com", "x" * 2000), (4, "http://ex.com", "x" * 2000)], "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("payload", F.lit(2))
     text = {r.id: r.text for r in html_tree.extract_text(pages, "page_id", "url", "html").collect()}
