@@ -38,11 +38,18 @@ def join_narrow(texts: DataFrame, narrow: DataFrame, on: str, how: str = "inner"
 HOT_SHARE = 1000
 
 
-def join_hot(rows: DataFrame, total: int, keyed: DataFrame, on: str, n: str) -> DataFrame:
+#: Narrow rows that one task can take, whatever their keys.
+TASK_ROWS = 1_000_000
+
+
+def join_hot(rows: DataFrame, total: int, keyed: DataFrame, on: str, n: str, task_rows: int = 0) -> DataFrame:
     """rows (`total` of them) joined with keyed, which has one row a key and, in column n, how many of rows have it.
 
-    The rows of hot keys (at most HOT_SHARE keys) meet theirs in a broadcast, all others in a shuffle, so that no task gets a hot key whole. Null keys join nothing.
+    The rows of hot keys (at most HOT_SHARE keys) meet theirs in a broadcast, all others in a shuffle, so that no task gets a hot key whole. Null keys join nothing. Up to task_rows rows there is
+    no need for that: any key's rows are few enough for a task.
     """
+    if total <= task_rows:
+        return rows.join(keyed.drop(n), on)
     hot, rest = keyed.where(F.col(n) > F.lit(total // HOT_SHARE)), keyed.where(F.col(n) <= F.lit(total // HOT_SHARE))
     cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on)
     return rows.join(F.broadcast(hot), on).unionByName(cold).drop(n)

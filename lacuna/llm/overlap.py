@@ -11,16 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, join_hot, join_narrow, materialise, small_batches, small_slices, table, text_slices, word_spans
+from .common import LOWER, NOT_SPACE, TASK_ROWS, join_hot, join_narrow, materialise, small_batches, small_slices, table, text_slices, word_spans
 from .components import connected_components
 
 #: N-grams of a block of rows; larger blocks are dealt into cells, each pair of which is a task's work.
-BLOCK_NGRAMS = 1 << 20
+BLOCK_NGRAMS = 1 << 17
 #: Entries of the product that are accumulated at a time.
 ENTRIES = 1 << 22
 #: N-grams of a cell that is too small to tell much.
@@ -256,7 +255,7 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, size: int = 3,
     members = materialise(sets.join(blocks, "node").select("uid", "row", "digest", "n", "block"))
     weight = members.groupBy("block").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("members"))
     weight = materialise(weight.select("block", F.ceil(F.col("weight") / block_ngrams).alias("cells"), "members"))
-    wanted = join_hot(members, members.count(), weight, "block", "members").select("row", "uid", "block", "cells", "digest")
+    wanted = join_hot(members, members.count(), weight, "block", "members", TASK_ROWS).select("row", "uid", "block", "cells", "digest")
     found = join_narrow(src.select("row", "text"), materialise(wanted), "row").select("text", "uid", "block", "cells", "digest")
     found = found.mapInArrow(_sets(size), "uid long, block long, cells long, set binary")
     mine, other = F.pmod(F.xxhash64("uid"), "cells"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
@@ -265,10 +264,10 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, size: int = 3,
     edges = dealt.repartition("block", "cell").sortWithinPartitions("block", "cell").mapInArrow(_block_edges(percent), "u long, v long")
     linked = materialise(connected_components(edges).withColumnRenamed("node", "uid").join(sets.select("uid", "least"), "uid"))
     names = materialise(linked.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members")))
-    linked = join_hot(linked, linked.count(), names, "root", "members").select("uid", "component")
+    linked = join_hot(linked, linked.count(), names, "root", "members", TASK_ROWS).select("uid", "component")
     named = materialise(sets.join(linked, "uid", "left").select("digest", F.coalesce("component", "least").alias("component"), "copies"))
     rows = docs.select("id", "n", "digest")
-    out = join_hot(rows.where("n > 0"), named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0], named, "digest", "copies")
+    out = join_hot(rows.where("n > 0"), named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0], named, "digest", "copies", TASK_ROWS)
     return out.select("id", "n", "component").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
 
 
