@@ -39,6 +39,8 @@ ENDS = {**dict.fromkeys(CLOSES_P, ("p",)), "li": ("li", "p"), "td": ("td", "th",
 GAMMA, LEAST_IMPORTANCE = 0.9, 0.8
 #: Pages from which a host has a tree of its own; smaller ones share that of their registered domain.
 HOST_PAGES = 256
+#: Pages from which on a site's tree decides what its pages' text is.
+TREE_PAGES = 256
 #: Largest table of node weights (in rows) that is sent to every task; larger ones meet the nodes of pages in a join.
 SENT_ROWS = 400_000
 #: Counted features that a task holds before it passes them on.
@@ -280,7 +282,7 @@ def node_weights(pages: DataFrame) -> DataFrame:
     return nodes.select("key", "pages", "styles", presentation.alias("presentation"), content.alias("content"))
 
 
-Weights = dict[int, tuple[int, float, float | None]]  # key -> styles, presentation, content
+Weights = dict[int, tuple[int, float, float | None, int]]  # key -> styles, presentation, content, pages
 
 
 def noisy_nodes(page: Page, weights: Weights, gamma: float = GAMMA, least: float = LEAST_IMPORTANCE) -> list[bool]:
@@ -301,7 +303,7 @@ def noisy_nodes(page: Page, weights: Weights, gamma: float = GAMMA, least: float
             own = 1.0 if told is None or told[2] is None else told[2]
             total[i], parts[i], quiet[i] = total[i] + own, parts[i] + 1, quiet[i] and own < least
         if parts[i]:
-            styles, presentation, _ = told or (1, 1.0, None)
+            styles, presentation = told[:2] if told else (1, 1.0)
             share = gamma**styles
             value = (1 - share) * presentation + share * total[i] / parts[i] if told else 1.0
             quiet[i] = quiet[i] and value < least
@@ -357,18 +359,25 @@ def major_branches(page: Page, lengths: list[int], within: list[bool], agreed: l
 def main_text(page: str | None, weights: Weights | None = None, priors: bool = True, site: str = "") -> str:
     """The article's text, '' if there is none.
 
-    What goes: branches that the site's tree finds noisy, and, as priors that need no other page, those whose markup names something else (NEVER, hidden,
-    ASIDE, a header outside the article) and all outside of article or main elements where the page has any. Inside an article the tree drops only
-    branches of a class or id of their own, and never nodes of a key that holds half of the text or more: pages that are copies of one another repeat their article
-    as well. A name of ASIDE doesn't drop html, body or a branch that holds most of the text (major_branches). priors=False leaves all to the tree.
+    A site of TREE_PAGES pages or more has its tree decide: what goes are the branches that it finds noisy, wherever they stand. Of nodes that no other page of the site has, only those in
+    an article or main element stay, where the page has any; nodes of a key that holds half of the text or more, as pages that are copies of one another repeat
+    their article as well, go if they neither hold such an element nor stand in one. What is unlike on every page and still no article only markup can tell (reader
+    comments, hidden branches, forms: NEVER, ASIDE); it goes, too.
+
+    On smaller sites markup is the prior: all outside of article or main elements goes, and inside the tree drops only branches of a class or id of their own, and never nodes of a key that
+    holds half of the text. A name of ASIDE doesn't drop html, body or a branch that holds most of the text (major_branches). priors=False leaves all to the tree.
     """
     at = parse(page or "", site)
     quiet = noisy_nodes(at, weights) if weights else [False] * len(at.tags)
+    if priors and weights and (weights.get(at.keys[0]) or (0,))[-1] >= TREE_PAGES and (text := _main_text(at, quiet, quiet, priors, [k in weights for k in at.keys])):
+        return text
     return _main_text(at, quiet, quiet, priors) or (_main_text(at, [False] * len(at.tags), quiet, priors) if weights else "")
 
 
-def _main_text(page: Page, quiet: list[bool], agreed: list[bool], priors: bool) -> str:
+def _main_text(page: Page, quiet: list[bool], agreed: list[bool], priors: bool, seen: list[bool] | None = None) -> str:
+    """seen: whether the site's tree knows a node, where that tree decides."""
     n, marks, parents = len(page.tags), page.marks, page.parents
+    around = [False] * n  # in an article, or around one
     lengths = _lengths(page)
     if not priors:
         keep, whole = [True] * n, True
@@ -384,6 +393,11 @@ def _main_text(page: Page, quiet: list[bool], agreed: list[bool], priors: bool)
         if whole:
             inside = [True] * n
         saved |= major_branches(page, lengths, inside, agreed)
+        if seen is not None:
+            around = [x and not whole for x in inside]
+            for i in range(n - 1, 0, -1):
+                around[parents[i]] = around[parents[i]] or around[i]
+            inside, whole = [a or b for a, b in zip(inside, seen, strict=True)], True
         keep = [False] * n
         for i in range(n):
             up = parents[i]
@@ -400,7 +414,7 @@ def _main_text(page: Page, quiet: list[bool], agreed: list[bool], priors: bool)
             if cut_by[i] >= 0:
                 held[page.keys[cut_by[i]]] += lengths[i]
         total = sum(x for x, k in zip(lengths, keep, strict=True) if k)
-        cut = [c >= 0 and 2 * held[page.keys[c]] < total for c in cut_by]
+        cut = [c >= 0 and (2 * held[page.keys[c]] < total or (seen is not None and any(around) and not around[c])) for c in cut_by]
         keep = [k and not c for k, c in zip(keep, cut, strict=True)]
     return page.text(keep)
 
@@ -463,15 +477,15 @@ def extract_text(df: DataFrame, id_col: str, url_col: str, html_col: str, host_p
     weights = materialise(node_weights(pages))
     if weights.count() <= sent_rows:
         sent: Weights = {}
-        for part in weights.select("key", "styles", "presentation", "content").toArrow().to_batches():
+        for part in weights.select("key", "styles", "presentation", "content", "pages").toArrow().to_batches():
             sent.update((key, tuple(w)) for key, *w in zip(*(c.to_pylist() for c in part.columns), strict=True))
         return pages.select("id", "url", "site", "html").mapInArrow(_extract(lambda batch, i: sent, priors), schema)
     rows = materialise(pages.withColumn("row", F.monotonically_increasing_id()))
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")
     nodes = rows.select("row", "site", "html").mapInArrow(_nodes_of, "row long, key long").select("*", salt)
     dealt = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = nodes.join(dealt, ["key", "salt"]).groupBy("row").agg(F.collect_list(F.struct("key", "styles", "presentation", "content")).alias("weights"))
-    own = lambda batch, i: {x["key"]: (x["styles"], x["presentation"], x["content"]) for x in batch.column(4)[i].as_py() or ()}
+    met = nodes.join(dealt, ["key", "salt"]).groupBy("row").agg(F.collect_list(F.struct("key", "styles", "presentation", "content", "pages")).alias("weights"))
+    own = lambda batch, i: {x["key"]: (x["styles"], x["presentation"], x["content"], x["pages"]) for x in batch.column(4)[i].as_py() or ()}
     return rows.join(met, "row", "left").select("id", "url", "site", "html", "weights").mapInArrow(_extract(own, priors), schema)
 
 

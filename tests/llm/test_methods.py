@@ -455,6 +455,20 @@ def test_the_tree_alone_finds_the_articles_of_large_sites(spark):
     assert changed == len(rows) and same >= 0.99 * len(rows)
 
 
+def test_the_tree_decides_on_large_sites(spark):
+    """Repeated branches go wherever they stand, with neutral names, on sites of TREE_PAGES pages; the same pages in a small site are left to markup. On the given pages all sites are large, and the texts are the articles'."""
+    story = lambda i: f"Story {i} tells of {hashlib.sha256(str(i).encode()).hexdigest()} and {hashlib.md5(str(i).encode()).hexdigest()}."
+    page = lambda i: f"<html><body><div class='k1'><p class='a'>Our paper, every day</p></div><main><p class='s'>{story(i)}</p><div class='k2'>More from this desk</div></main><div class='k3'>Only on page {i}: <i>{story(-i)}</i></div></body></html>"
+    plain = lambda i: f"<html><body><div class='k1'><p class='a'>Our paper, every day</p></div><div class='t'><p class='s'>{story(i)}</p><div class='k2'>More from this desk</div></div></body></html>"
+    rows = [(i, f"http://big.org/{i}", page(i)) for i in range(300)] + [(i + 1000, f"http://plain.net/{i}", plain(i)) for i in range(300)] + [(i + 2000, f"http://small.com/{i}", plain(i)) for i in range(40)]
+    got = {r.id: r.text for r in html_tree.extract_text(spark.createDataFrame(rows, "id long, url string, html string").repartition(4), "id", "url", "html").collect()}
+    assert all(got[i] == f"{story(i)} Only on page {i}: {story(-i)}" and got[i + 1000] == story(i) for i in range(300))
+    assert sum(got[i + 2000] != story(i) for i in range(40)) < 40
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    sites = html_tree.with_sites(pages.select("url", "html"))
+    assert sites.groupBy("site").count().agg(F.min("count")).first()[0] >= html_tree.TREE_PAGES
+
+
 def test_warc_frames(spark, tmp_path):
     import struct
 
