@@ -21,6 +21,7 @@ class Signature(NamedTuple):
     max_size: int
 
 
+# Greatest and least sizes of pictures and films.
 PHOTO_MAX, VIDEO_MAX = 80 * MIB, 8 * GIB
 PHOTO_MIN, VIDEO_MIN = 4 * KIB, 50 * KIB
 
@@ -38,7 +39,7 @@ SIGNATURES = (
     Signature("TIFF-BE", "photo", "tif", b"MM\x00\x2a", 0, b"", 0, "tiff_ifd", PHOTO_MAX),
     Signature("Matroska", "video", "mkv", b"\x1a\x45\xdf\xa3", 0, b"", 0, "ebml_walk", VIDEO_MAX),
     Signature("FLV", "video", "flv", b"FLV\x01", 0, b"", 0, "flv_tags", VIDEO_MAX),
-    Signature("ASF/WMV", "video", "wmv", bytes.fromhex("3026b2758e66cf11a6d900aa0062ce6c"), 0, b"", 0, "asf_header", VIDEO_MAX),
+    Signature("ASF/WMV", "video", "wmv", b"\x30\x26\xb2\x75\x8e\x66\xcf\x11\xa6\xd9\x00\xaa\x00\x62\xce\x6c", 0, b"", 0, "asf_header", VIDEO_MAX),
     Signature("MPEG-PS", "video", "mpg", b"\x00\x00\x01\xba", 0, b"", 0, "mpeg_ps_scan", VIDEO_MAX),
     Signature("MP4/MOV", "video", "mp4", b"ftyp", 4, b"", 0, "isobmff_walk", VIDEO_MAX),
 )
@@ -53,6 +54,7 @@ BRANDS = {
     "heic": ("HEIC", "heic", "photo"), "heix": ("HEIC", "heic", "photo"), "mif1": ("HEIF", "heif", "photo"), "msf1": ("HEIF", "heif", "photo"),
     "avif": ("AVIF", "avif", "photo"), "avis": ("AVIF", "avif", "photo"), "crx ": ("CR3", "cr3", "photo"),
 }
+# Fixed value: what an unknown brand is taken for.
 DEFAULT_BRAND = ("MP4", "mp4", "video")
 # Text in a TIFF's Make tag, in order of priority -> (format, extension).
 MAKES = (
@@ -61,8 +63,13 @@ MAKES = (
 )
 # Handlers (lower case) of motion JPEG in an AVI's stream header.
 MJPEG_HANDLERS = (b"mjpg", b"jpeg", b"ijpg", b"avi1", b"dmb1", b"jfif", b"acdv", b"qpeg", b"slmj")
-# Usual sizes of stills, each also on its side.
-STILL_SIZES = tuple(s for w, h in ((4032, 3024), (4032, 2880), (4000, 3000), (4608, 3456), (3264, 2448), (3456, 2304), (2592, 1944), (2560, 1920), (2048, 1536), (1280, 960), (1024, 768)) for s in ((w, h), (h, w)))
+# Usual sizes of stills.
+STILL_SIZES = (
+    (4032, 3024), (3024, 4032), (4032, 2880), (2880, 4032), (4000, 3000), (3000, 4000), (4608, 3456), (3456, 4608),
+    (3264, 2448), (2448, 3264), (3456, 2304), (2304, 3456), (2592, 1944), (1944, 2592), (2560, 1920), (1920, 2560),
+    (2048, 1536), (1536, 2048), (1280, 960), (960, 1280), (1024, 768), (768, 1024),
+)
+# Usual sizes of film frames.
 FRAME_SIZES = ((1280, 720), (1920, 1080))
 # Prefixes that are probed at a region's start (bytes, name); several may fit.
 REGION_PROBES = (

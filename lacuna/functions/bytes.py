@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dims
-from ..parsers import images
+from ..parsers import images, videos
+from ..parsers.source import Source
 
 
 def unpack_be(data: Column, offset: int, width: int) -> Column:
@@ -88,6 +89,37 @@ def trim_after_last(data: pd.Series, marker: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+_KIND = T.StructType([T.StructField(n, T.StringType()) for n in ("format", "extension", "media")])
+
+
+@F.pandas_udf(_KIND)
+def brand_format(data: pd.Series) -> pd.DataFrame:
+    """What the type box at the start of each value tells: by the major brand, else the first known compatible one."""
+    return pd.DataFrame([(None,) * 3 if x is None else videos.ftyp_format(Source(bytes(x)), 0) for x in data], columns=["format", "extension", "media"], dtype=object)
+
+
+@F.pandas_udf(_KIND)
+def tiff_kind(data: pd.Series) -> pd.DataFrame:
+    """What the make in the first directory of each TIFF tells."""
+    return pd.DataFrame([(None,) * 3 if x is None else (*images.tiff_format(Source(bytes(x)), 0), "photo") for x in data], columns=["format", "extension", "media"], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
+def marked_pieces(data: pd.Series, head: pd.Series, foot: pd.Series) -> pd.Series:
+    """Places of the pieces from each head to behind the next foot after it, one after the other; a head without a foot begins none."""
+
+    def pieces(x: bytes, head: bytes, foot: bytes) -> Iterator[dict]:
+        at = x.find(head)
+        while at >= 0:
+            stop = x.find(foot, at + len(head))
+            if stop < 0:
+                return
+            yield {"start": at, "end": stop + len(foot)}
+            at = x.find(head, stop + len(foot))
+
+    return pd.Series([None if x is None else list(pieces(bytes(x), bytes(h), bytes(f))) for x, h, f in zip(data, head, foot, strict=True)], dtype=object)
+
+
 def entropy_by_histogram(df: DataFrame, id_col: str, data: Column) -> DataFrame:
     """(id, n_bytes, entropy) by a grouped byte histogram, all in SQL functions: one row per byte, combined before the shuffle.
 

@@ -83,6 +83,11 @@ def first_number(*values: Column) -> Column:
     return F.coalesce(*[F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v) for v in values])
 
 
+# Amounts of parameters, as they are stated and as they stand in ids.
+STATED_AMOUNT = r"(?i)(\d+(?:\.\d+)?)\s*([bm])"
+AMOUNT_IN_ID = r"(?i)(?:^|[^\d])(\d+(?:\.\d+)?)\s*([bm])(?:$|[^\w])"
+
+
 def _amount(text: Column, pattern: str) -> Column:
     value = F.regexp_extract(text, pattern, 1).try_cast("double")
     return value * F.when(F.lower(F.regexp_extract(text, pattern, 2)) == "b", 1e9).otherwise(1e6)
@@ -90,12 +95,12 @@ def _amount(text: Column, pattern: str) -> Column:
 
 def parse_params(text: Column) -> Column:
     """'7B', '350 m' -> 7e9, 3.5e8; null if there is no such amount."""
-    return _amount(F.trim(text), r"(?i)(\d+(?:\.\d+)?)\s*([bm])")
+    return _amount(F.trim(text), STATED_AMOUNT)
 
 
 def infer_params(text: Column) -> Column:
     """As parse_params inside an id, where neither a digit stands before nor a word character after the amount."""
-    return _amount(text, r"(?i)(?:^|[^\d])(\d+(?:\.\d+)?)\s*([bm])(?:$|[^\w])")
+    return _amount(text, AMOUNT_IN_ID)
 
 
 def pretty_id(name: Column) -> Column:

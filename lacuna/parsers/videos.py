@@ -11,11 +11,14 @@ from .images import EOI
 from .source import Source
 
 # Box types that show a file's structure.
-BOXES = frozenset(
-    b"ftyp moov mdat free skip wide uuid meta trak mdia minf stbl mvhd tkhd mdhd hdlr stsd stts stsc stsz stco co64 udta edts dinf vmhd smhd nmhd elst cmov cmvd dcom jp2h pnot pict".split()
-)
+BOXES = frozenset({
+    b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"uuid", b"meta", b"trak", b"mdia", b"minf", b"stbl", b"mvhd", b"tkhd", b"mdhd", b"hdlr", b"stsd",
+    b"stts", b"stsc", b"stsz", b"stco", b"co64", b"udta", b"edts", b"dinf", b"vmhd", b"smhd", b"nmhd", b"elst", b"cmov", b"cmvd", b"dcom", b"jp2h", b"pnot", b"pict",
+})
+# Identifiers of EBML's header and segment, of ASF's header and data objects.
 SEGMENT, EBML = b"\x18\x53\x80\x67", b"\x1a\x45\xdf\xa3"
-ASF_HEADER, ASF_DATA = bytes.fromhex("3026b2758e66cf11a6d900aa0062ce6c"), bytes.fromhex("3626b2758e66cf11a6d900aa0062ce6c")
+ASF_HEADER = b"\x30\x26\xb2\x75\x8e\x66\xcf\x11\xa6\xd9\x00\xaa\x00\x62\xce\x6c"
+ASF_DATA = b"\x36\x26\xb2\x75\x8e\x66\xcf\x11\xa6\xd9\x00\xaa\x00\x62\xce\x6c"
 EBML_SEARCH, PS_READ, AVI_HEAD, FRAME_MAX = 8 * dims.MIB, 500 * dims.MIB, 256 * dims.KIB, 80 * dims.MIB
 
 

@@ -183,14 +183,14 @@ def a15_status_counts(spark, sf_dir):
     return status_counts(_filings(spark, sf_dir).withColumn("num", F.col("row")))
 
 
-_SPECS = [("NORTE", "2022-11:2024-02"), ("SUR", "2023-01:2023-03"), ("NORTE", "2024-01:2024-03")]
-
-
-@query(f"""WITH s(servicio, a, b) AS (VALUES ('NORTE', DATE '2022-11-01', DATE '2024-02-01'), ('SUR', DATE '2023-01-01', DATE '2023-03-01'), ('NORTE', DATE '2024-01-01', DATE '2024-03-01')),
-m AS (SELECT servicio, unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS d FROM s)
+@query(f"""WITH s AS (SELECT 'C' || o_custkey AS servicio, date_trunc('month', min(o_orderdate)) AS a, date_trunc('month', max(o_orderdate)) AS b FROM orders GROUP BY o_custkey),
+m AS (SELECT servicio, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 MONTH)) AS d FROM s)
 SELECT row_number() OVER (ORDER BY year(d), month(d), servicio) AS num, servicio, CAST(year(d) AS INTEGER) AS anio, CAST(month(d) AS INTEGER) AS mes, ({list(dims.MONTHS)})[month(d)] AS nombre FROM m""")
 def x20_month_expand(spark, sf_dir):
-    return expand_periods(spark.createDataFrame(_SPECS, "servicio string, spec string"))
+    """The months from each customer's first order to the last."""
+    month = lambda d: F.date_format(d, "yyyy-MM")
+    specs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.concat(month(F.min("o_orderdate")), F.lit(":"), month(F.max("o_orderdate"))).alias("spec"))
+    return expand_periods(specs.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("servicio"), "spec"))
 
 
 # Catalog of models

@@ -50,10 +50,22 @@ def w8_fast_dedup(spark, sf_dir):
     return D.first_of(rows, F.col("k"), "doc_id")
 
 
-@query("SELECT lang, count(*) AS n, count(DISTINCT coalesce(text, '')) AS n_new, count(*) - count(DISTINCT coalesce(text, '')) AS n_duplicate FROM documents GROUP BY lang")
+def _as_files(spark, sf_dir):
+    """Documents as chosen files of one image: pictures and films, a file every million bytes."""
+    at, media = F.col("doc_id") * 1_000_000, F.when(F.pmod("doc_id", F.lit(3)) == 0, "video").otherwise("photo")
+    data = F.col("text").cast("binary")
+    known = {"image_id": F.lit("docs"), "start": at, "end": at + F.octet_length("text"), "format": F.when(media == "video", "AVI").otherwise("PNG"), "extension": F.when(media == "video", "avi").otherwise("png"), "media": media, "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int"), "progressive": F.lit(None).cast("boolean"), "is_mjpeg": F.lit(False), "valid": F.lit(True), "prefix_md5": B.prefix_md5(data), "sha256": B.sha256(data)}
+    return _docs(spark, sf_dir).select(*[c.alias(n) for n, c in known.items()])
+
+
+@query("""WITH f AS (SELECT doc_id % 3 = 0 AS film, strlen(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS k FROM documents)
+SELECT count(*) AS files, count(*) FILTER (k = 1 AND NOT film) AS photos, count(*) FILTER (k = 1 AND film) AS videos, count(*) FILTER (k > 1 AND NOT film) AS dup_photos, count(*) FILTER (k > 1 AND film) AS dup_videos, CAST(sum(n) FILTER (k = 1) AS BIGINT) AS bytes FROM f""")
 def a13_dup_counts(spark, sf_dir):
-    per = _docs(spark, sf_dir).select("lang", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).groupBy("lang", "sha").agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy("lang").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_new"), (F.sum("c") - F.count(F.lit(1))).alias("n_duplicate"))
+    """What a scan chose, kept and found twice."""
+    from . import carve
+
+    chosen = _as_files(spark, sf_dir)
+    return carve.scan_stats(chosen, carve.keep_new(chosen, carve.Settings()))
 
 
 @query("SELECT doc_id FROM documents b WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents a WHERE a.doc_id % 2 = 0 AND coalesce(a.text, '') = coalesce(b.text, ''))")
@@ -76,8 +88,10 @@ def e23_prefix_probe(spark, sf_dir):
 @query("SELECT page_id, i AS n, m[i] AS piece FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p>.*?</p>') AS m FROM pages))")
 def f1_marker_carve(spark, sf_dir):
     """Every piece between a header and the next footer marker, in order."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.expr("regexp_extract_all(html, '(?s)<p>.*?</p>', 0)")).alias("n", "piece"))
-    return p.select("page_id", (F.col("n") + 1).cast("long").alias("n"), "piece")
+    data = F.col("html").cast("binary")
+    p = table(spark, sf_dir, "pages").select("page_id", data.alias("data"), F.posexplode(B.marked_pieces(data, F.lit(b"<p>"), F.lit(b"</p>"))).alias("n", "at"))
+    piece = F.decode(F.expr("substring(data, CAST(at.start + 1 AS INT), CAST(at.end - at.start AS INT))"), "UTF-8")
+    return p.select("page_id", (F.col("n") + 1).cast("long").alias("n"), piece.alias("piece"))
 
 
 @query("SELECT doc_id, CASE WHEN strpos(t, '.') = 0 THEN t ELSE left(t, length(t) - strpos(reverse(t), '.') + 1) END AS trimmed FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
@@ -221,15 +235,22 @@ def f17_move_plan(spark, sf_dir):
     return plan_moves(items).select("doc_id", "reason", "status", "path_after")
 
 
-@query(f"""WITH {TIMELINE} SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'videos' WHEN event_type = 'click' AND value < 20 THEN 'frames' ELSE 'photos' END AS bucket,
-  CASE WHEN event_type = 'purchase' THEN 'video' WHEN event_type = 'click' AND value < 20 THEN 'video_frame' ELSE 'photo' END || '_' || lpad(CAST(event_id AS VARCHAR), CAST(greatest(5, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') || '_' || upper(event_type) || CASE WHEN event_id % 2 = 0 THEN '_640x480' ELSE '' END || '_' || (event_id * 997 // 1024) || 'KB.' || left(event_type, 3) AS name FROM tl""")
+@query("""WITH f AS (SELECT event_id, user_id, event_id * 1000 AS a, event_type = 'purchase' AS film, event_type = 'purchase' AND value > 50 AS mjpeg, event_type = 'click' AS jpeg, event_id % 2 = 0 AS framed, event_id % 90000 + 1000 AS n FROM events),
+g AS (SELECT *, max(CASE WHEN film THEN a END) OVER w AS last, max(CASE WHEN mjpeg THEN a END) OVER v AS inner_film, row_number() OVER (PARTITION BY user_id, film ORDER BY a) AS id FROM f WINDOW w AS (PARTITION BY user_id ORDER BY a ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY user_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, CASE WHEN film THEN 'videos' WHEN jpeg AND (coalesce(a - inner_film < 3000000, false) OR (framed AND last IS NOT NULL)) THEN 'frames' ELSE 'photos' END AS bucket FROM g)
+SELECT event_id, bucket, bucket || '/' || CASE bucket WHEN 'videos' THEN 'video' WHEN 'frames' THEN 'video_frame' ELSE 'photo' END || '_' || lpad(CAST(id AS VARCHAR), CAST(greatest(5, length(CAST(id AS VARCHAR))) AS INTEGER), '0') || CASE WHEN film THEN '_AVI' WHEN jpeg THEN CASE WHEN framed THEN '_JPEG_1280x720' ELSE '_JPEG_640x480' END ELSE '_PNG' END
+  || '_' || CASE WHEN film THEN 2929 ELSE n // 1024 END || 'KB.' || CASE WHEN film THEN 'avi' WHEN jpeg THEN 'jpg' ELSE 'png' END AS path FROM h""")
 def p4_route_and_name(spark, sf_dir):
-    t = timeline(spark, sf_dir)
-    frame = (F.col("event_type") == "click") & (F.col("value") < 20)
-    bucket = F.when(F.col("event_type") == "purchase", "videos").when(frame, "frames").otherwise("photos")
-    prefix = F.when(F.col("event_type") == "purchase", "video").when(frame, "video_frame").otherwise("photo")
-    side = lambda n: F.when(F.col("event_id") % 2 == 0, n)
-    return t.select("event_id", bucket.alias("bucket"), T.file_name(prefix, F.col("event_id"), F.upper("event_type"), side(640), side(480), F.col("event_id") * 997, F.substring("event_type", 1, 3)).alias("name"))
+    """Events as files, an image a user: films of 3,000,000 bytes, pictures in them and behind them, routed and named."""
+    from . import carve
+
+    e = table(spark, sf_dir, "events")
+    kind = lambda film, jpeg, other: F.when(F.col("event_type") == "purchase", film).when(F.col("event_type") == "click", jpeg).otherwise(other)
+    side = lambda wide, narrow: F.when(F.col("event_type") == "click", F.when(F.col("event_id") % 2 == 0, wide).otherwise(narrow)).cast("int")
+    at = F.col("event_id") * 1000
+    files = e.select("event_id", F.col("user_id").cast("string").alias("image_id"), at.alias("start"), (at + F.when(F.col("event_type") == "purchase", 3_000_000).otherwise(F.col("event_id") % 90_000 + 1000)).alias("end"), kind("AVI", "JPEG", "PNG").alias("format"), kind("avi", "jpg", "png").alias("extension"), kind("video", "photo", "photo").alias("media"), side(1280, 640).alias("width"), side(720, 480).alias("height"), F.lit(False).alias("progressive"), ((F.col("event_type") == "purchase") & (F.col("value") > 50)).alias("is_mjpeg"), F.lit(False).alias("is_copy"))
+    s = carve.Settings()
+    return carve.name_files(carve.route(files, s), s).select("event_id", "bucket", "path")
 
 
 @query(r"SELECT extension, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT ltrim(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\.[a-z]+$'), '.') AS extension, strlen(coalesce(html, '')) AS size FROM pages) GROUP BY 1")
@@ -260,18 +281,23 @@ def a8_skip_reasons(spark, sf_dir):
     return rows.groupBy(skip_code(F.col("format")).alias("reason_code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(t, 'steel') THEN 'metal' WHEN contains(t, 'copper') THEN 'metal' WHEN contains(t, 'small') THEN 'size' WHEN contains(t, 'e') THEN 'other' ELSE 'none' END AS kind FROM (SELECT p_partkey, lower(p_type) AS t FROM part)")
+#: Makes as cameras write them; some fit several known ones, or none.
+_MAKES = ("NIKON CORPORATION", "Sony", "canon", "OLYMPUS for Canon", "ACME", "Adobe DNG", "Leica Camera", "PENTAX RICOH", "Hasselblad", "")
+_MADE = f"({list(_MAKES)})[p_partkey % {len(_MAKES)} + 1]"
+
+
+@query(f"SELECT p_partkey, CASE {' '.join(f"WHEN contains(lower({_MADE}), '{key.lower()}') THEN '{fmt}'" for key, fmt, _ in dims.MAKES)} ELSE 'TIFF' END AS format FROM part")
 def j11_ordered_contains(spark, sf_dir):
-    """The first rule, in order of priority, whose text the lower-cased value contains."""
-    rules, kind = [("Steel", "metal"), ("COPPER", "metal"), ("small", "size"), ("e", "other")], F.lit("none")
-    for needle, name in reversed(rules):
-        kind = F.when(F.contains(F.lower("p_type"), F.lit(needle.lower())), name).otherwise(kind)
-    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
+    """The format of TIFFs by the first known make, in order of priority, that their Make tag holds."""
+    make = F.element_at(F.array(*map(F.lit, _MAKES)), (F.col("p_partkey") % len(_MAKES) + 1).cast("int"))
+    head = b"II*\x00\x08\x00\x00\x00\x01\x00\x0f\x01\x02\x00\x20\x00\x00\x00\x1a\x00\x00\x00\x00\x00\x00\x00"
+    data = F.concat(F.lit(head), F.rpad(make, 32, " ").cast("binary"))
+    return table(spark, sf_dir, "part").select("p_partkey", B.tiff_kind(data)["format"].alias("format"))
 
 
 @query("SELECT p_partkey, CASE b WHEN '1' THEN 'MP4' WHEN '2' THEN 'MOV' WHEN '3' THEN 'HEIC' ELSE CASE c WHEN '1' THEN 'MP4' WHEN '2' THEN 'MOV' WHEN '3' THEN 'HEIC' ELSE 'MP4' END END AS format FROM (SELECT p_partkey, substr(p_brand, 7, 1) AS b, substr(p_brand, 8, 1) AS c FROM part)")
 def j10_brand_lookup(spark, sf_dir):
-    """Major value, else the first known of the compatible ones, else the default."""
-    known = F.create_map(*[F.lit(x) for kv in (("1", "MP4"), ("2", "MOV"), ("3", "HEIC")) for x in kv])
-    major, others = F.substring("p_brand", 7, 1), F.array(F.substring("p_brand", 8, 1))
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.try_element_at(known, major), F.get(F.filter(F.transform(others, lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()), 0), F.lit("MP4")).alias("format"))
+    """The format of type boxes by their major brand, else the first known of the compatible ones, else the default."""
+    brand = lambda at: F.coalesce(*[F.when(F.substring("p_brand", at, 1) == d, F.lit(b)) for d, b in (("1", b"isom"), ("2", b"qt  "), ("3", b"heic"))], F.lit(b"none"))
+    box = F.concat(F.lit(b"\x00\x00\x00\x1cftyp"), brand(7), F.lit(b"\x00\x00\x00\x00none"), brand(8), F.lit(b"avif"))
+    return table(spark, sf_dir, "part").select("p_partkey", B.brand_format(box)["format"].alias("format"))

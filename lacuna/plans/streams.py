@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import streaming as R
 from ..functions import bytes as B
+from ..sources.lines import numbered_lines
 from ..sources.scratch import new_folder
 from . import crossverify
 from .tables import table
@@ -43,8 +44,8 @@ def r1_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS r FROM f) SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us FROM g GROUP BY user_id, r""")
 def w3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    found = e.groupBy(F.session_window("ts", "1 hour"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
-    return found.select("user_id", "n", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("last").alias("last_us"))
+    found = R.sessions(e, "ts", "user_id", "1 hour", "1 hour")
+    return found.select("user_id", "n", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"))
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids, CAST(count(*) AS BIGINT) AS top FROM events GROUP BY event_type")
@@ -79,6 +80,16 @@ def tiny_avi(frames: list[bytes], handler: bytes = b"MJPG", pad_to: int = 0) ->
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+@query("SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_no, '{\"event_id\":' || event_id || ',\"user_id\":' || user_id || '}' AS line FROM events")
+def s5_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a log of each event type, numbered over splits of 10,000 bytes."""
+    folder = new_folder(spark, "logs")
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", F.to_json(F.struct("event_id", "user_id")).alias("value"))
+    rows.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(folder)
+    kind = F.regexp_extract("line_file", "event_type=([^/]+)", 1)
+    return numbered_lines(spark, f"{folder}/event_type=*", 10_000).select(kind.alias("event_type"), "line_no", "line")
+
+
 @query(None)
 def e21_avi_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of films made from the documents' texts, by the table function."""
