@@ -87,6 +87,20 @@ def block_masks(n: int, distance: int) -> list[int]:
     return [sum(x) for x in combinations(blocks, m - distance)]
 
 
+def inner_masks(mask: int, distance: int, blocks: int) -> list[int]:
+    """Masks of the bits that `mask` leaves out, such that two fingerprints which agree under mask and lie within distance agree under one of them at least: those bits are cut into
+    `blocks` blocks, of which blocks - distance are chosen.
+    """
+    bits = [i for i in range(BITS) if not mask >> i & 1]
+    edges = [len(bits) * i // blocks for i in range(blocks + 1)]
+    cut = [sum(1 << i for i in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(x) for x in combinations(cut, blocks - distance)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Numbers of differing bits (bitwise_count takes the absolute value of signed numbers, hence the view)."""
     return np.bitwise_count((a ^ b).view(np.uint64))
@@ -146,26 +160,31 @@ def near_duplicate_components(fingerprints: DataFrame, distance: int = 4, bucket
     """(id, fp, component): component is the smallest id reachable over links of at most `distance` bits.
 
     fingerprints has columns id and fp. Equal fingerprints are one node, whatever their number. Distinct ones
-    meet in pigeonhole buckets (block_masks). A bucket of over bucket_rows fingerprints is dealt into
-    cells, and each pair of cells is one group, so no task gathers it whole and no link is lost; a group
+    meet in pigeonhole buckets (block_masks). In a bucket of over bucket_rows fingerprints the bits that aren't its own are cut into blocks once more (inner_masks), so that it falls into many smaller
+    ones. Where those are still as large, which takes fingerprints that are alike in nearly all bits, they are dealt into
+    cells, and each pair of cells is one group. So no task gathers a bucket whole and no link is lost; a group
     returns a star per local component, never all pairs. Null ids belong to their fingerprint's
     component and never name it; a component of null ids alone has a null name.
     """
     nodes = materialise(fingerprints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     size = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     masks = block_masks(size.nodes, distance)
-    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    key = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)]))
-    keyed = nodes.select("fp", key.alias("b")).select(F.xxhash64("b.i", "b.k").alias("bucket"), "fp")
-    large = materialise(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows))
+    key = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)]))
+    keyed = nodes.select("fp", key.alias("b")).select(F.xxhash64("b.i", "b.k").alias("bucket"), F.col("b.i").alias("i"), "fp")
+    larger = lambda df: materialise(df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows))
+    large = larger(keyed)
     if large.isEmpty():
         dealt = keyed.select("bucket", F.lit(0).cast("long").alias("cell"), "fp")
     else:
+        inner = F.array(*[F.array(*[F.lit(_signed(x)) for x in inner_masks(m, distance, distance + 2)]) for m in masks])
+        mask = F.posexplode(F.when(F.col("n").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.get(inner, F.col("i")))).alias("j", "mask")
+        split = keyed.join(large, "bucket", "left").select("bucket", "fp", "n", mask)
+        split = split.select(F.when(F.col("n").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", "j", F.col("fp").bitwiseAND(F.col("mask")))).alias("bucket"), F.col("n").isNotNull().alias("dense"), "fp")
         cells = F.ceil(F.col("n") / bucket_rows)
         mine = F.pmod(F.xxhash64("fp", F.lit(7)), "cells")
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
         pair = F.least("mine", "other") * F.col("cells") + F.greatest("mine", "other")
-        dealt = keyed.join(large, "bucket", "left").withColumn("cells", F.coalesce(cells, F.lit(1)).cast("long"))
+        dealt = split.drop("dense").join(larger(split.where("dense")), "bucket", "left").withColumn("cells", F.coalesce(cells, F.lit(1)).cast("long"))
         dealt = dealt.withColumn("mine", mine).withColumn("other", other).select("bucket", pair.alias("cell"), "fp")
     dealt = dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
     edges = dealt.mapInArrow(_bucket_edges(distance), "u long, v long")

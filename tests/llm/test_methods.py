@@ -69,8 +69,23 @@ def test_dense_buckets_lose_no_link(spark, bucket_rows):
     assert got == brute_components(fps)
 
 
+def test_buckets_of_unlike_fingerprints_are_blocked_again(spark):
+    """Many fingerprints agree in 30 bits, so that first buckets are large, and few of them are close."""
+    r = random.Random(6)
+    fps = [(0x2F1E3D4C << 34) | r.getrandbits(34) for _ in range(700)]
+    fps += [x ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))) for x in fps[:150]]
+    df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)], "id long, fp long")
+    got = {x.id: x.component for x in simhash.near_duplicate_components(df, 4, 40).collect()}
+    assert got == brute_components(dict(enumerate(fps)))
+
+
 def test_masks_cover_every_close_pair():
     r = random.Random(1)
+    for mask in simhash.block_masks(10**8, 4)[:10]:
+        inner = simhash.inner_masks(mask, 4, 6)
+        for _ in range(50):
+            d = sum(1 << b for b in r.sample([b for b in range(64) if not mask >> b & 1], 4))
+            assert any(d & m == 0 and m & mask == 0 for m in inner)
     for n in (2, 10**6, 10**10):
         masks = simhash.block_masks(n, 4)
         for _ in range(200):
