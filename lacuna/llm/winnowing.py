@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, filter_texts, join_narrow, materialise, small_batches, small_slices, table, text_slices, word_spans
+from .common import LOWER, byte_class, filter_texts, free_name, join_narrow, materialise, small_batches, small_slices, table, text_slices, word_spans
 
 #: Words are runs of digits, letters and non-ASCII characters (after A-Z are lower-cased).
 WORD_BYTES = byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -282,7 +282,7 @@ def _by_join(docs: DataFrame, items: DataFrame, span: int, gram: int) -> DataFra
     lengths = [r.n_words for r in lengths.where((F.col("n_words") > 0) & (F.col("n_words") < span)).select("n_words").distinct().collect()]  # span - 1 values at most
     prints = lambda df, key: df.select(key, "text").mapInArrow(_fingerprints(span, gram, lengths), "row long, n int, fp long")
     theirs = materialise(prints(passages, "key").select(F.struct("n", "fp").alias("print")).distinct())
-    mine = join_narrow(materialise(prints(numbered, "row").select("row", F.struct("n", "fp").alias("print"))), theirs, "print")
+    mine = join_narrow(prints(numbered, "row").select("row", F.struct("n", "fp").alias("print")), theirs, "print")
     found = materialise(mine.groupBy("row").agg(F.collect_set("print").alias("known")))  # of a row no more than its own
     windows = lambda df: df.mapInArrow(_windows(span, gram), "row long, n int, at long, a long, b long").select("row", "n", "at", F.struct("n", "a", "b").alias("window"))
     theirs = materialise(windows(passages.select("key", "text", F.lit(None).cast("array<struct<n:int,fp:bigint>>"))).select(F.col("row").alias("key"), "window").distinct())
@@ -324,12 +324,14 @@ def is_contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
 
 
 def drop_contaminated(df: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, span: int = SPAN, gram: int = GRAM, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """The rows of df that aren't contaminated (is_contaminated), all columns as they are."""
+    """The rows of df that aren't contaminated (is_contaminated), all columns as they are. Items beyond index_bytes: rows are numbered, and those found are taken out by number."""
     known = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     if (known.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 16)).first()[0] or 0) > index_bytes:
-        found = contamination(df.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).distinct(), items, "h", "t", item_col, item_text_col, span, gram, index_bytes)
-        bad = found.where(is_contaminated()).select(F.col("id").alias("_contaminated"))
-        return df.join(bad, F.xxhash64(df[text_col]) == bad["_contaminated"], "left_anti")
+        at = free_name(df, "_at")
+        rows = materialise(df.withColumn(at, F.monotonically_increasing_id()))
+        found = contamination(rows.select(F.col(at).alias("at"), F.col(text_col).alias("t")), items, "at", "t", item_col, item_text_col, span, gram, index_bytes)
+        bad = materialise(found.where(is_contaminated()).select(F.col("id").alias(at)))
+        return join_narrow(rows, bad, at, "left_anti").select(*df.columns)
     index = Index([tuple(r) for r in known.collect()], span, gram)
 
     def keep(batch: pa.RecordBatch, at: int) -> np.ndarray:

@@ -46,6 +46,9 @@ def test_winnowing(spark, docs, none):
         assert winnowing.contamination(none, items, "doc_id", "text", "item_id", "text", index_bytes=size).count() == 0
         assert winnowing.contamination(docs, items.limit(0), "doc_id", "text", "item_id", "text", index_bytes=size).where("n_hit > 0").count() == 0
         assert winnowing.drop_contaminated(docs, items, "text", "item_id", "text", index_bytes=size).count() == 8
+        clashing = docs.withColumn("_at", F.lit("kept")).withColumn("item", F.lit(1))
+        clean = winnowing.drop_contaminated(clashing, items.withColumn("id", F.lit(0)), "text", "item_id", "text", index_bytes=size)
+        assert clean.columns == clashing.columns and clean.where("_at = 'kept'").count() == 8
 
 
 def test_rules(docs, none, labels):
@@ -63,6 +66,10 @@ def test_classifiers(docs, none, labels):
         assert f(none, labels, "doc_id", "text").count() == 0
         assert f(docs, labels.limit(0), "doc_id", "text").count() == 10
     assert toxicity.drop_toxic(docs, labels.limit(0), "doc_id", "text").count() == 10
+    clashing = docs.withColumn("_at", F.lit("kept"))
+    for rows in (toxicity.MODEL_ROWS, 1):
+        kept = toxicity.drop_toxic(clashing, labels, "doc_id", "text", model_rows=rows)
+        assert kept.columns == clashing.columns and kept.where("_at <> 'kept'").count() == 0
     assert pu_quality.keep_good(docs, labels.limit(0), "doc_id", "text").columns == docs.columns
 
 
