@@ -7,6 +7,7 @@ is accumulated row by row, rare n-grams first, one block of columns after the ot
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,23 +35,59 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+#: Bytes of words that are hashed at a time, and of a word that is hashed on its own.
+HASHED, LONG_WORD = 1 << 20, 512
+_BASE = 0x9E3779B97F4A7C15
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+    n = HASHED + LONG_WORD
+    return tuple(np.concatenate((np.ones(1, _U), np.cumprod(np.full(n, x % (1 << 64), _U)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def word_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[places[i]:places[i + 1]]: a polynomial of the bytes, from sums over all of them at once, and the length, mixed. Words beyond LONG_WORD bytes, of which there are few, are
+    hashed by XXH3, as polynomials modulo a power of two have known collisions among long texts.
+    """
+    up, down = _powers()
+    length = np.diff(places)
+    out = np.empty(len(length), _U)
+    lo = 0
+    while lo < len(length):
+        hi = max(lo + 1, int(np.searchsorted(places, places[lo] + HASHED, "right")) - 1)
+        a, b = int(places[lo]), int(places[hi])
+        if b - a <= HASHED:
+            sums = np.concatenate((np.zeros(1, _U), np.cumsum((data[a:b].astype(_U) + _U(1)) * up[: b - a])))
+            at = places[lo : hi + 1] - a
+            out[lo:hi] = (sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]]
+        lo = hi
+    out = mixed(out + mixed(length.astype(_U)))
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[places[i] : places[i + 1]].tobytes())
+    return out
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the distinct shingles of all texts, text after text, ascending in each; where each text's begin, and the end)."""
     starts, ends, first = word_spans(data, offsets, NOT_SPACE)
     n_words = np.diff(first)
-    joined, places = LOWER[data[NOT_SPACE[data]]], np.concatenate(([0], np.cumsum(ends - starts, dtype=np.int64)))
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(joined)]).dictionary_encode()
-    each = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], _U)
-    hashed = each[words.indices.to_numpy(zero_copy_only=False)]
-    last = np.repeat(first[1:], n_words)
-    at = np.arange(len(hashed))
-    out = np.full(len(hashed), size, _U)  # of shingles with fewer words: what ends them is told from any word
-    for k in range(size):
-        there = at + k < last
-        out = mixed(out + np.where(there, hashed[np.minimum(at + k, len(hashed) - 1)] if len(hashed) else hashed, _U(0)) + np.where(there, _U(0x9E3779B97F4A7C15), _U(0)))
+    hashed = word_hashes(LOWER[data[NOT_SPACE[data]]], np.concatenate(([0], np.cumsum(ends - starts, dtype=np.int64))))
+    out, last = np.full(len(hashed), size, _U), np.repeat(first[1:], n_words)
+    for k in range(size):  # a shingle that its text ends takes nothing in for the words that aren't there
+        word = np.append(hashed[k:], np.zeros(min(k, len(hashed)), _U)) + _U(_BASE)
+        word[np.arange(len(hashed)) + k >= last] = 0
+        out = mixed(out + word)
     n = np.where(n_words >= size, n_words - size + 1, np.minimum(n_words, 1))
-    sets = [np.unique(out[a : a + k]) for a, k in zip(first[:-1].tolist(), n.tolist(), strict=True)]
-    return np.concatenate([np.zeros(0, _U), *sets]), np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64)))
+    keep = np.arange(len(hashed)) < np.repeat(first[:-1] + n, n_words)
+    out, cuts = out[keep], np.concatenate(([0], np.cumsum(n)))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[cuts[:-1][n > 0]] = True
+    return out[new], np.concatenate(([0], np.cumsum(new)))[cuts]
 
 
 def band_starts(percent: int, most: int = 1 << 40) -> np.ndarray:
