@@ -69,6 +69,12 @@ def orphans(carved: DataFrame, matches: DataFrame) -> DataFrame:
     return carved.join(matches.select("fname"), "fname", "left_anti").select("fname", "bucket").distinct().orderBy("fname")
 
 
+def orphan_names(left: DataFrame, n: int = 10) -> DataFrame:
+    """The first n orphans by name, with what is said of the rest: (fname, bucket, more), more being how many there are beyond."""
+    total = left.agg(F.count(F.lit(1)).alias("_all"))
+    return left.orderBy("fname").limit(n).join(total).select("fname", "bucket", F.greatest(F.lit(0), F.col("_all") - n).cast("long").alias("more"))  # one row
+
+
 def per_video(films: DataFrame, matched: DataFrame) -> DataFrame:
     """Every film (video), even without frames: total, jpeg, matched and unrecovered frames."""
     counts = matched.groupBy("video").agg(F.count(F.lit(1)).alias("total_frames"), F.count_if("is_jpeg").alias("jpeg_frames"), F.count("fname").alias("matched_carved"))

@@ -301,3 +301,28 @@ def j10_brand_lookup(spark, sf_dir):
     brand = lambda at: F.coalesce(*[F.when(F.substring("p_brand", at, 1) == d, F.lit(b)) for d, b in (("1", b"isom"), ("2", b"qt  "), ("3", b"heic"))], F.lit(b"none"))
     box = F.concat(F.lit(b"\x00\x00\x00\x1cftyp"), brand(7), F.lit(b"\x00\x00\x00\x00none"), brand(8), F.lit(b"avif"))
     return table(spark, sf_dir, "part").select("p_partkey", B.brand_format(box)["format"].alias("format"))
+
+
+@query("SELECT doc_id || '.jpg' AS fname, lang AS bucket, greatest(0, count(*) OVER () - 10) AS more FROM documents WHERE doc_id % 3 <> 0 ORDER BY fname LIMIT 10")
+def t5_first_orphans(spark, sf_dir):
+    """The first ten documents, by name, that no frame matches, and how many more there are."""
+    carved = _docs(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("fname"), F.col("lang").alias("bucket"), "doc_id")
+    return X.orphan_names(X.orphans(carved, carved.where("pmod(doc_id, 3) = 0")))
+
+
+@query("""WITH u AS (SELECT lang AS extension, strlen(coalesce(text, '')) AS size FROM documents UNION ALL SELECT lang, strlen(coalesce(text, '')) FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'html', strlen(coalesce(html, '')) FROM pages)
+SELECT extension, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM u GROUP BY extension""")
+def u2_listings(spark, sf_dir):
+    """The inventory of three listings together; documents of even id stand in two of them."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.col("lang").alias("extension"), F.octet_length("text").cast("long").alias("size"))
+    pages = table(spark, sf_dir, "pages").select(F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"), F.lit("html").alias("extension"))
+    return M.inventory(M.listings(docs, docs.where("pmod(doc_id, 2) = 0"), pages))
+
+
+@query("""SELECT doc_id, '{"doc_id":' || doc_id || ',"jpeg":{"width":' || doc_id % 500 || ',"inner":{"b":' || doc_id % 7 || '}}}' AS line FROM documents""")
+def p10_dropped_fields(spark, sf_dir):
+    """Rows without a column, a field and a field of a field, as JSON."""
+    inner = F.struct(F.lit("x").alias("a"), (F.col("doc_id") % 7).alias("b"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.struct((F.col("doc_id") % 500).alias("width"), F.lit(1).alias("pillow"), inner.alias("inner")).alias("jpeg"), F.lit(2).alias("frames"))
+    left = M.without_fields(rows, "frames", "jpeg.pillow", "jpeg.inner.a", "jpeg.none", "none.x", "none")
+    return left.select("doc_id", F.to_json(F.struct(*left.columns)).alias("line"))

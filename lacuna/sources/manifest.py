@@ -88,6 +88,29 @@ def listing(spark: SparkSession, path: str, extensions: tuple[str, ...] = ()) ->
     return found.where(F.lower("extension").isin(*[e.lower() for e in extensions])) if extensions else found
 
 
+def listings(*parts: DataFrame) -> DataFrame:
+    """All rows of several listings, by column name; a file that stands in two of them stands there twice, columns that one lacks are null."""
+    out, *rest = parts
+    for part in rest:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def without_fields(rows: DataFrame, *names: str) -> DataFrame:
+    """rows without the named columns or, as 'column.field', fields of structs (at any depth); names that aren't there change nothing. A struct loses no more than its last field but one."""
+    for name in names:
+        column, _, field = name.partition(".")
+        if not field:
+            rows = rows.drop(column)
+            continue
+        kind, parts = rows.schema[column].dataType if column in rows.columns else None, field.split(".")
+        for part in parts:
+            kind = kind[part].dataType if hasattr(kind, "fieldNames") and part in kind.fieldNames() else None
+        if kind is not None:
+            rows = rows.withColumn(column, F.col(column).dropFields(field))
+    return rows
+
+
 def inventory(files: DataFrame) -> DataFrame:
     """Files and bytes per extension (case counts), most files first."""
     return files.groupBy("extension").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).orderBy(F.desc("n"), "extension")
