@@ -104,6 +104,21 @@ def tiff_kind(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None,) * 3 if x is None else (*images.tiff_format(Source(bytes(x)), 0), "photo") for x in data], columns=["format", "extension", "media"], dtype=object)
 
 
+_EXIF = T.StructType([T.StructField(n, T.StringType()) for n in ("camera_make", "camera_model", "datetime_original", "datetime")] + [T.StructField(n, T.BooleanType()) for n in ("exif_readable", "has_camera_identity", "has_timestamp")])
+
+
+@F.pandas_udf(_EXIF)
+def exif_facts(data: pd.Series) -> pd.DataFrame:
+    """Make, model and times of each JPEG, and what they say; what can't be read is null or false."""
+    return pd.DataFrame([images.exif_facts(b"" if x is None else x) for x in data], columns=_EXIF.names, dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def is_valid_jpeg(data: pd.Series, least: pd.Series) -> pd.Series:
+    """Whether segments and scans of each value end where it does, and both sides have `least` or more; null isn't valid."""
+    return pd.Series([x is not None and images.is_valid_jpeg(bytes(x), n) for x, n in zip(data, least, strict=True)], dtype=bool)
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 def marked_pieces(data: pd.Series, head: pd.Series, foot: pd.Series) -> pd.Series:
     """Places of the pieces from each head to behind the next foot after it, one after the other; a head without a foot begins none."""

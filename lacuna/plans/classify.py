@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
 from ..sources import manifest as M
+from ..sources.rawimage import located
 
 
 def skip_code(fmt: Column) -> Column:
@@ -108,24 +114,22 @@ def csv_rows(items: DataFrame) -> DataFrame:
 
 
 def apply_moves(moves: DataFrame, root: str) -> DataFrame:
-    """Rename the planned files below a folder that all workers share; moves with status moved, skipped (file_not_found_at_rename) or error.
+    """Rename the planned files below a folder (a path that all workers share, or a URI of any file system pyarrow knows); moves with status moved, skipped (file_not_found_at_rename) or error.
 
     A file that is already at its new place and no longer at the old one counts as moved, so a repeated task does no harm.
     """
-    import os
-    from collections.abc import Iterator
-
-    import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, top = located(root)
+        there = lambda path: fs.get_file_info(path).type == pyarrow.fs.FileType.File
         for rows in batches:
             for i, r in rows[rows["status"] == "planned"].iterrows():
-                old, new = os.path.join(root, r["path"]), os.path.join(root, r["path_after"])
+                old, new = f"{top}/{r['path']}", f"{top}/{r['path_after']}"
                 try:
-                    if os.path.isfile(old):
-                        os.makedirs(os.path.dirname(new), exist_ok=True)
-                        os.rename(old, new)
-                    elif not os.path.isfile(new):
+                    if there(old):
+                        fs.create_dir(os.path.dirname(new))
+                        fs.move(old, new)
+                    elif not there(new):
                         rows.loc[i, ["status", "reason"]] = ["skipped", "file_not_found_at_rename"]
                         continue
                     rows.loc[i, "status"] = "moved"

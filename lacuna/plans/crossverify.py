@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +14,7 @@ from ..functions import text as T
 from ..operators.intervals import gap_regions, inside_spans
 from ..parsers import videos
 from ..parsers.source import Source
+from ..sources.rawimage import located
 
 FRAMES = "index int, offset_in_avi bigint, chunk_size bigint, jpeg_size bigint, sha256 string, is_jpeg boolean"
 
@@ -40,9 +40,9 @@ def frames_of_files(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for path, name in zip(rows["path"], rows["name"], strict=True):
-                local = path.removeprefix("file:")
-                with open(local, "rb") as f:
-                    found = [(name, *x) for x in videos.avi_frames(Source(file=f, size=os.path.getsize(local)))]
+                fs, at = located(path.removeprefix("file:") if "://" not in path else path)
+                with fs.open_input_file(at) as f:
+                    found = [(name, *x) for x in videos.avi_frames(Source(file=f, size=f.size()))]
                 if found:
                     yield pd.DataFrame(found, columns=["video", *[c.split()[0] for c in FRAMES.split(", ")]])
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..operators.ordered import running_before
 from ..sources import manifest as M
 from ..sources.reports import read_report, with_presence, write_report
 from ..sources.scratch import materialise, new_folder
@@ -202,10 +203,23 @@ def _twice() -> Column:
     return F.pmod("doc_id", F.lit(7)) == 0
 
 
-def lay_out_mixed(spark: SparkSession, sf_dir: str) -> str:
+def lay_out_mixed(spark: SparkSession, sf_dir: str, times: int = 1) -> str:
+    """The path of the mixed image; all of it `times` over."""
     copies = F.explode(F.when(_twice(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     pieces = file_bytes(table(spark, sf_dir, "documents")).select("doc_id", "data", copies.alias("copy"))
-    return lay_in_order(spark, pieces.select((2 * F.col("doc_id") + F.col("copy")).alias("nr"), "data"), "nr")
+    nr = 2 * F.col("doc_id") + F.col("copy")
+    if times > 1:
+        last = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0
+        pieces = pieces.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+        nr = nr + F.col("round") * (2 * last + 2)
+    return lay_in_order(spark, pieces.select(nr.alias("nr"), "data"), "nr")
+
+
+def file_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, place) of the files of the mixed image."""
+    copies = F.explode(F.when(_twice(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    sizes = file_bytes(table(spark, sf_dir, "documents")).select("doc_id", F.octet_length("data").cast("long").alias("n"), copies.alias("copy"))
+    return materialise(running_before(sizes.withColumn("nr", 2 * F.col("doc_id") + F.col("copy")), [], ["nr"], {"place": (F.col("n"), "sum")}).select("doc_id", "place"))
 
 
 def e17_mixed_image(spark: SparkSession, sf_dir: str) -> DataFrame:

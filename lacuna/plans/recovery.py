@@ -50,7 +50,7 @@ def w8_fast_dedup(spark, sf_dir):
     return D.first_of(rows, F.col("k"), "doc_id")
 
 
-def _as_files(spark, sf_dir):
+def as_files(spark, sf_dir):
     """Documents as chosen files of one image: pictures and films, a file every million bytes."""
     at, media = F.col("doc_id") * 1_000_000, F.when(F.pmod("doc_id", F.lit(3)) == 0, "video").otherwise("photo")
     data = F.col("text").cast("binary")
@@ -64,7 +64,7 @@ def a13_dup_counts(spark, sf_dir):
     """What a scan chose, kept and found twice."""
     from . import carve
 
-    chosen = _as_files(spark, sf_dir)
+    chosen = as_files(spark, sf_dir)
     return carve.scan_stats(chosen, carve.keep_new(chosen, carve.Settings()))
 
 
@@ -197,10 +197,10 @@ _FACTS = """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'photos' WHEN 1 THEN 'fra
   round(8.0 * n_chars / (100.0 * (doc_id % 7) * 100.0 + 1), 5) AS bpp, doc_id % 5 = 0 AS progressive, doc_id % 13 = 0 AS camera, doc_id % 17 = 0 AS timed FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)"""
 _RULES = [("bucket = 'frames'", 0, 2, "carver_bucket_frames"), ("bucket = 'photos'", 1, 0, "carver_bucket_photos"), ("inside", 0, 4, "jpeg_inside_mjpeg_avi"), ("frame_size", 0, 4, "matches_skip_frame_resolution"), ("near BETWEEN 0 AND win", 0, 1, "within_video_proximity_window"), ("still_size", 2, 0, "common_still_photo_resolution"), ("bpp > 0 AND bpp < 0.22", 0, 2, "low_bits_per_pixel_heavy_compression"), ("bpp > 0.72 AND NOT coalesce(frame_size, false)", 1, 0, "higher_bits_per_pixel_milder_compression"), ("progressive", 1, 0, "progressive_jpeg"), ("camera", 3, 0, "exif_camera_make_or_model"), ("timed", 1, 0, "exif_timestamp")]
 _SUM = lambda i: " + ".join(f"CASE WHEN {r[0]} THEN {r[i]} ELSE 0 END" for r in _RULES)
-_SCORED = f"f AS ({_FACTS}), s AS (SELECT doc_id, bucket, {_SUM(1)} AS still, {_SUM(2)} AS frame, array_to_string(list_filter([{', '.join(f'CASE WHEN {r[0]} THEN {chr(39)}{r[3]}{chr(39)} END' for r in _RULES)}], lambda x: x IS NOT NULL), ';') AS reasons FROM f), v AS (SELECT *, CASE WHEN still >= frame + 2 THEN 'likely_still' WHEN frame >= still + 2 THEN 'likely_frame' ELSE 'uncertain' END AS suggested FROM s)"
+SCORED = f"f AS ({_FACTS}), s AS (SELECT doc_id, bucket, {_SUM(1)} AS still, {_SUM(2)} AS frame, array_to_string(list_filter([{', '.join(f'CASE WHEN {r[0]} THEN {chr(39)}{r[3]}{chr(39)} END' for r in _RULES)}], lambda x: x IS NOT NULL), ';') AS reasons FROM f), v AS (SELECT *, CASE WHEN still >= frame + 2 THEN 'likely_still' WHEN frame >= still + 2 THEN 'likely_frame' ELSE 'uncertain' END AS suggested FROM s)"
 
 
-def _scored(spark, sf_dir):
+def scored(spark, sf_dir):
     one = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     d = table(spark, sf_dir, "documents").join(one, "doc_id", "left")
     every = lambda n: F.pmod("doc_id", F.lit(n))
@@ -213,25 +213,25 @@ def _scored(spark, sf_dir):
     return facts.withColumns(scored)
 
 
-@query(f"WITH {_SCORED} SELECT doc_id, still, frame, reasons, suggested FROM v")
+@query(f"WITH {SCORED} SELECT doc_id, still, frame, reasons, suggested FROM v")
 def x22_rule_score(spark, sf_dir):
-    return _scored(spark, sf_dir).select("doc_id", "still", "frame", F.array_join("reasons", ";").alias("reasons"), "suggested")
+    return scored(spark, sf_dir).select("doc_id", "still", "frame", F.array_join("reasons", ";").alias("reasons"), "suggested")
 
 
-@query(f"WITH {_SCORED} SELECT count(*) AS jpeg_rows, count(*) FILTER (suggested = 'likely_still') AS likely_still, count(*) FILTER (suggested = 'likely_frame') AS likely_frame, count(*) FILTER (suggested = 'uncertain') AS uncertain FROM v")
+@query(f"WITH {SCORED} SELECT count(*) AS jpeg_rows, count(*) FILTER (suggested = 'likely_still') AS likely_still, count(*) FILTER (suggested = 'likely_frame') AS likely_frame, count(*) FILTER (suggested = 'uncertain') AS uncertain FROM v")
 def a7_class_counts(spark, sf_dir):
     from .classify import summary
 
-    return summary(_scored(spark, sf_dir))
+    return summary(scored(spark, sf_dir))
 
 
-@query(f"""WITH {_SCORED}, p AS (SELECT doc_id, bucket || '/' || doc_id || '.jpg' AS path, CASE suggested WHEN 'likely_still' THEN 'photos' WHEN 'likely_frame' THEN 'frames' END AS want, bucket FROM v)
+@query(f"""WITH {SCORED}, p AS (SELECT doc_id, bucket || '/' || doc_id || '.jpg' AS path, CASE suggested WHEN 'likely_still' THEN 'photos' WHEN 'likely_frame' THEN 'frames' END AS want, bucket FROM v)
 SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'file_not_found' WHEN want IS NULL THEN 'uncertain_or_neutral_suggestion' WHEN bucket IS NULL THEN 'not_under_photos_or_frames' WHEN bucket = want THEN 'already_in_target_bucket' END AS reason,
   CASE WHEN doc_id % 10 <> 9 AND want IS NOT NULL AND bucket IS NOT NULL AND bucket <> want THEN 'planned' ELSE 'skipped' END AS status, CASE WHEN doc_id % 10 <> 9 AND want IS NOT NULL AND bucket IS NOT NULL AND bucket <> want THEN want || '/' || doc_id || '.jpg' END AS path_after FROM p""")
 def f17_move_plan(spark, sf_dir):
     from .classify import plan_moves
 
-    items = _scored(spark, sf_dir).select("doc_id", F.concat("bucket", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), "suggested", (F.pmod("doc_id", F.lit(10)) != 9).alias("present"))
+    items = scored(spark, sf_dir).select("doc_id", F.concat("bucket", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), "suggested", (F.pmod("doc_id", F.lit(10)) != 9).alias("present"))
     return plan_moves(items).select("doc_id", "reason", "status", "path_after")
 
 
@@ -295,11 +295,11 @@ def j11_ordered_contains(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", B.tiff_kind(data)["format"].alias("format"))
 
 
-@query("SELECT p_partkey, CASE b WHEN '1' THEN 'MP4' WHEN '2' THEN 'MOV' WHEN '3' THEN 'HEIC' ELSE CASE c WHEN '1' THEN 'MP4' WHEN '2' THEN 'MOV' WHEN '3' THEN 'HEIC' ELSE 'MP4' END END AS format FROM (SELECT p_partkey, substr(p_brand, 7, 1) AS b, substr(p_brand, 8, 1) AS c FROM part)")
+@query("SELECT p_partkey, CASE b WHEN '1' THEN 'MP4' WHEN '2' THEN 'MOV' WHEN '3' THEN 'HEIC' ELSE CASE c WHEN '1' THEN 'MP4' WHEN '2' THEN 'MOV' WHEN '3' THEN 'HEIC' ELSE 'MP4' END END AS format FROM (SELECT p_partkey, substr(p_brand, 7, 1) AS b, CAST(p_size % 5 AS VARCHAR) AS c FROM part)")
 def j10_brand_lookup(spark, sf_dir):
     """The format of type boxes by their major brand, else the first known of the compatible ones, else the default."""
-    brand = lambda at: F.coalesce(*[F.when(F.substring("p_brand", at, 1) == d, F.lit(b)) for d, b in (("1", b"isom"), ("2", b"qt  "), ("3", b"heic"))], F.lit(b"none"))
-    box = F.concat(F.lit(b"\x00\x00\x00\x1cftyp"), brand(7), F.lit(b"\x00\x00\x00\x00none"), brand(8), F.lit(b"avif"))
+    brand = lambda x: F.coalesce(*[F.when(x == d, F.lit(b)) for d, b in (("1", b"isom"), ("2", b"qt  "), ("3", b"heic"))], F.lit(b"none"))
+    box = F.concat(F.lit(b"\x00\x00\x00\x1cftyp"), brand(F.substring("p_brand", 7, 1)), F.lit(b"\x00\x00\x00\x00none"), brand((F.col("p_size") % 5).cast("string")), F.lit(b"avif"))
     return table(spark, sf_dir, "part").select("p_partkey", B.brand_format(box)["format"].alias("format"))
 
 
