@@ -24,4 +24,5 @@ ORACLES = {
     "op9_reputation": reputation.ORACLE_SQL,
     "op11_elkan": elkan.ORACLE_SQL,
     "op12_ranked": ranked.ORACLE_SQL,
+    "op13_overlap": overlap.ORACLE_SQL,
 }
