@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ from ..sources.scratch import materialise
 
 #: Bytes that a tile repeats of the next one: a sync pattern needs 8 * 192.
 LOOK_AHEAD = 8 * 192
-_STARTS = re.compile(b"|".join(sorted({re.escape(s.magic) for s in dims.SIGNATURES if s.magic != b"ftyp"}, key=len, reverse=True)) + b"|(?<=....)ftyp|\x47", re.S)
+#: What may begin a file -> how far behind the file's first byte it stands.
+_STARTS = {s.magic: s.offset for s in dims.SIGNATURES}
 FOUND = "image_id string, start bigint, end bigint, format string, extension string, media string, width int, height int, progressive boolean, is_mjpeg boolean, valid boolean"
 HASHES = "prefix_md5 string, sha256 string"
 #: Format of a row that is a part of a transport stream, as far as one tile shows it.
@@ -108,13 +110,21 @@ def sync_run(data: bytes, at: int, stride: int) -> int:
 
 
 def starts_in(data: bytes, own: int) -> Iterator[int]:
-    """Places within the first `own` bytes of a tile where a file may begin. A type box begins four bytes before its name."""
-    for m in _STARTS.finditer(data):
-        at = m.start() - 4 if m[0] == b"ftyp" else m.start()
-        if m[0] == b"\x47" and videos.ts_stride(data, at) is None:
-            continue
-        if 0 <= at < own:
-            yield at
+    """Places within the first `own` bytes of a tile where a file may begin, ascending: at any signature (a type box begins four bytes before its name) or eight sync bytes."""
+    places = set()
+    for magic, offset in _STARTS.items():
+        found = data.find(magic)
+        while found >= 0:
+            places.add(found - offset)
+            found = data.find(magic, found + 1)
+    is_sync = np.frombuffer(data, np.uint8) == 0x47
+    syncs = np.flatnonzero(is_sync[: max(0, len(data) - LOOK_AHEAD + 1)])
+    for stride in (188, 192):
+        at = syncs
+        for i in range(1, 8):
+            at = at[is_sync[at + i * stride]]
+        places.update(at.tolist())
+    yield from sorted(at for at in places if 0 <= at < own)
 
 
 def find_files(spark: SparkSession, path: str, settings: Settings | None = None, start: int = 0, end: int = 0, image_id: str | None = None, tile: int = 4 * dims.MIB) -> DataFrame:
@@ -321,7 +331,7 @@ def extract(manifest: DataFrame, image: str, folder: str) -> DataFrame:
 def carve_bytes(data: bytes, settings: Settings | None = None) -> Iterator[tuple]:
     """(start, end, format, extension, media, width, height) of the files in some bytes, as a scan from the start accepts them."""
     s, src, until = settings or Settings(), Source(data), 0
-    for at in sorted(starts_in(data, len(data))):
+    for at in starts_in(data, len(data)):
         if at < until:
             continue
         found, stride = recognise(src, at, len(data), s), videos.ts_stride(data, at) if data[at] == 0x47 else None

@@ -142,3 +142,37 @@ def test_cut_short_input_never_fails(strategy):
         for n in (0, 1, 5, 12, 40, 200):
             end = find_end(strategy, (head + r.randbytes(n))[: len(head) + n], 0, 4096)
             assert end is None or end > 0
+
+
+class Counted(Source):
+    """Counts the bytes that are asked for."""
+
+    asked = 0
+
+    def at(self, place, n):
+        self.asked += n
+        return super().at(place, n)
+
+
+def test_walks_read_what_they_cover():
+    """A GIF or program stream of a few KB in front of 40 MB costs a few blocks, sound or not; walks go on over block borders."""
+    blocks = b"\xff" + b"x" * 255
+    gif = b"GIF89a\x01\x00\x01\x00\x00\x00\x00\x2c" + bytes(9) + b"\x02" + blocks * 200 + b"\x00\x3b"
+    ps = b"\x00\x00\x01\xba\x44\x00\x04\x00\x04\x01\x00\x00\x03\xf8" + (b"\x00\x00\x01\xe0" + struct.pack(">H", 9000) + b"y" * 9000) * 8
+    for strategy, data, ends in (("gif_trailer", gif, len(gif)), ("gif_trailer", gif[:13] + b"\x99", None), ("mpeg_ps_scan", ps + b"\x00\x00\x01\xb9", len(ps) + 4), ("mpeg_ps_scan", ps, len(ps)), ("mpeg_ps_scan", ps[:14], None)):
+        src = Counted(data + bytes(40 << 20))
+        assert find_end(strategy, src, 0, BIG) == ends
+        assert src.asked <= 3 * len(data) + (64 << 10)
+    cut = ps[:-10]  # the last packet claims more than there is
+    assert find_end("mpeg_ps_scan", cut, 0, BIG) == len(ps) - 9006
+    assert find_end("gif_trailer", gif[:-1], 0, BIG) is None and find_end("gif_trailer", gif, 0, len(gif) - 1) is None
+
+
+def test_starts_are_found_where_they_overlap():
+    from lacuna.plans.carve import LOOK_AHEAD, starts_in
+
+    sync = (b"\x47" + bytes(187)) * 9
+    data = b"..\xff\xd8\xff\xd8\xff\xe0" + b"\x00\x00\x00\x18ftypisom" + b"BM" + sync + b"ftyp" + bytes(LOOK_AHEAD)
+    typed, bm = data.find(b"ftyp") - 4, data.find(b"BM")
+    assert list(starts_in(data, len(data) - LOOK_AHEAD)) == [2, 4, typed, bm, bm + 2, bm + 190, len(data) - LOOK_AHEAD - 8]
+    assert list(starts_in(data, typed)) == [2, 4] and list(starts_in(b"", 5)) == [] and list(starts_in(b"BM", 2)) == [0] and list(starts_in(b"ftyp", 4)) == []
