@@ -32,8 +32,8 @@ def _match(rows: DataFrame, spans: DataFrame, keys: list[str], at: str, width: i
     return same
 
 
-def inside_spans(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, keys: list[str] | None = None, outside: bool = False, extra=None) -> DataFrame:
-    """Points with start <= at < end of some span (of equal keys), or with outside=True those without.
+def inside_spans(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, keys: list[str] | None = None, outside: bool = False, extra=None, pairs: bool = False) -> DataFrame:
+    """Points with start <= at < end of some span (of equal keys), or with outside=True those without; with pairs=True a row for each such span, whose columns follow.
 
     Spans are dealt into buckets of the axis, so the range test becomes an equality join with a residual, which Spark can hash, sort, split
     and broadcast, instead of a nested loop. extra(rows, spans) may add a condition; span columns carry the prefix _s_. Empty spans (end <= start)
@@ -46,7 +46,7 @@ def inside_spans(points: DataFrame, spans: DataFrame, at: str, start: str, end:
     same = _match(points, dealt, keys, at, width) & (points[at] >= dealt[f"_s_{start}"]) & (points[at] < dealt[f"_s_{end}"])
     if extra is not None:
         same = same & extra(points, dealt)
-    return points.join(dealt, same, "left_anti" if outside else "left_semi")
+    return points.join(dealt, same, "inner" if pairs else "left_anti" if outside else "left_semi")
 
 
 def overlapping_spans(blocks: DataFrame, spans: DataFrame, at: str, length: str, start: str, end: str, keys: list[str] | None = None, outside: bool = False) -> DataFrame:

@@ -165,13 +165,21 @@ def find_files(spark: SparkSession, path: str, settings: Settings | None = None,
 
 
 def join_runs(found: DataFrame, s: Settings) -> DataFrame:
-    """found, with sync runs of one stride and step that meet joined to transport streams; streams of too few bytes go, longer ones than a video may be are cut there."""
+    """found, with sync runs of one stride and step that meet joined to transport streams; streams of too few bytes go, longer ones than a video may be are cut there.
+
+    Where another candidate ends within a run, a scan that accepted it goes on there, so the rest of the run from its next packet on is a candidate too: a byte before a stream may look like one more sync.
+    """
     found = found.withColumn("_run", F.col("format") == RUN)
     if found.where("_run").isEmpty():
         return found.drop("_run")
     step = F.pmod(F.col("start"), F.col("extension").cast("long")).alias("_step")
     runs = gap_regions(found.where("_run").select("*", step), ["image_id", "extension", "_step"], "start", "end", 0)
     runs = runs.groupBy("image_id", "extension", "_step", "region").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    runs = materialise(runs.select("image_id", F.col("extension").cast("long").alias("_stride"), "start", "end"))
+    ends = found.where("NOT _run AND valid").select("image_id", "end").unionByName(runs.select("image_id", "end"))
+    cut = inside_spans(ends.withColumnRenamed("end", "stop").distinct(), runs, "stop", "start", "end", ["image_id"], pairs=True)
+    rest = cut.select("image_id", (F.col("_s_start") + F.ceil((F.col("stop") - F.col("_s_start")) / F.col("_s__stride")) * F.col("_s__stride")).alias("start"), F.col("_s_end").alias("end"))
+    runs = runs.select("image_id", "start", "end").unionByName(rest).distinct().where(F.col("end") - F.col("start") > max(s.video_min, dims.VIDEO_MIN))
     longest = dims.VIDEO_MAX // (188 * 192) * (188 * 192)
     cuts = F.explode(F.sequence(F.col("start"), F.greatest(F.col("start"), F.col("end") - 1), F.lit(longest))).alias("start")
     runs = runs.select("image_id", cuts, F.col("end").alias("stop")).select("image_id", "start", F.least("stop", F.col("start") + longest).alias("end")).where(F.col("end") - F.col("start") > max(s.video_min, dims.VIDEO_MIN))

@@ -96,6 +96,18 @@ def test_transport_streams_are_joined_over_tiles(spark, tmp_path):
     assert [(r.format, r.start, r.end) for r in found if r.format == "MPEG-TS"] == [("MPEG-TS", 777, 777 + len(stream)), ("MPEG-TS", 5777 + len(stream), 5777 + len(stream) + 188 * 400)]
 
 
+def test_a_stream_outlives_a_sync_byte_before_it(spark, tmp_path):
+    """A picture's byte that stands one packet before a stream looks like its first sync; a scan takes the picture, then the stream."""
+    stream = b"".join(b"\x47" + noise(187, i).replace(b"\x47", b"\x48") for i in range(500))
+    body = bytearray(noise(9000).replace(b"\x47", b"\x48").replace(b"\xff", b"\xfe"))
+    body[-(188 - 2 - 32)] = 0x47  # the end marker and a gap lie between
+    picture = tiny_jpeg(30, 20, body=bytes(body))
+    path = image(tmp_path, bytes(50), picture, bytes(32), stream, bytes(4000))
+    found = C.carve(spark, path, C.Settings(photo_min=1000)).orderBy("source_offset").collect()
+    at = 50 + len(picture) + 32
+    assert [(r.format, r.source_offset, r.source_end) for r in found] == [("JPEG", 50, at - 32), ("MPEG-TS", at, at + len(stream))]
+
+
 def test_extract_and_stats(spark, tmp_path):
     jpeg, png = tiny_jpeg(30, 20, body=noise(9000)), tiny_png(noise(7000, 2))
     path = image(tmp_path, b"\x00" * 100, jpeg, b"\x00" * 77, png, jpeg[:-2], b"\x00" * 10)
