@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -13,14 +14,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .rawimage import located
 
 SPLIT, READ = 64 << 20, 4 << 20
+#: Bytes that a task reads of splits smaller than that, and how many splits at most; bytes beyond a small split that are read at once for its last line.
+TASK_BYTES, TASK_SPLITS, LINE = 16 << 20, 10_000, 4096
 #: Splits whose counts are sent to every task at most.
 SENT_SPLITS = 1_000_000
 LINES, COUNTS = "line_file string, split bigint, at bigint, line string", "line_file string, split bigint, n bigint"
 
 
 class Piece(InputPartition):
-    def __init__(self, path: str, split: int, start: int, end: int):
-        self.path, self.split, self.start, self.end = path, split, start, end
+    """Splits (path, number, start, end) that one task reads."""
+
+    def __init__(self, splits: list[tuple[str, int, int, int]]):
+        self.splits = splits
 
 
 def count_starts(f, start: int, end: int) -> int:
@@ -32,11 +37,11 @@ def count_starts(f, start: int, end: int) -> int:
     return n
 
 
-def line_lists(f, start: int, end: int) -> Iterator[list[bytes]]:
+def line_lists(f, start: int, end: int, read_bytes: int = READ) -> Iterator[list[bytes]]:
     """The lines, without their ends (a line feed, or that and a carriage return before it), that begin in start..end; the last one may reach beyond."""
     at = start
     while start and at < end:  # to behind the first line feed from start - 1 on
-        block = f.read_at(READ, at - 1)
+        block = f.read_at(read_bytes, at - 1)
         found = block.find(b"\n")
         if found >= 0:
             at += found
@@ -44,7 +49,7 @@ def line_lists(f, start: int, end: int) -> Iterator[list[bytes]]:
         at = at + len(block) if block else end
     held, read = [], at
     while at < end:
-        block = f.read_at(READ, read)
+        block = f.read_at(read_bytes, read)
         read += len(block)
         cut = block.rfind(b"\n")
         if block and cut < 0:
@@ -70,22 +75,34 @@ class LinesReader(DataSourceReader):
         self.files, self.size, self.counts = json.loads(options["files"]), int(options["split_bytes"]), options.get("counts") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [Piece(path, i, a, min(a + self.size, n)) for path, n in self.files for i, a in enumerate(range(0, n, self.size))] or [Piece("", 0, 0, 0)]
+        """Splits in a row, so many that a task has TASK_BYTES or a split: small splits don't make small tasks. An empty file has none."""
+        pieces, held, left = [], [], 0
+        for path, n in self.files:
+            for i, a in enumerate(range(0, n, self.size)):
+                z = min(a + self.size, n)
+                if z - a > left or len(held) >= TASK_SPLITS:
+                    held, left = [], max(TASK_BYTES, z - a)
+                    pieces.append(Piece(held))
+                held.append((path, i, a, z))
+                left -= z - a
+        return pieces or [Piece([])]
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
-        if not piece.path:
-            return
-        fs, path = located(piece.path.removeprefix("file:") if piece.path.startswith("file:/") and not piece.path.startswith("file://") else piece.path)
-        with fs.open_input_file(path) as f:
-            if self.counts:
-                yield pa.RecordBatch.from_pydict({"line_file": [piece.path], "split": [piece.split], "n": [count_starts(f, piece.start, piece.end)]})
-                return
-            at = 0
-            for lines in line_lists(f, piece.start, piece.end):
-                for lo in range(0, len(lines), 10_000):
-                    part = [x.decode("utf-8", "replace") for x in lines[lo : lo + 10_000]]
-                    yield pa.RecordBatch.from_pydict({"line_file": [piece.path] * len(part), "split": [piece.split] * len(part), "at": list(range(at, at + len(part))), "line": part})
-                    at += len(part)
+        for path, splits in itertools.groupby(piece.splits, key=lambda x: x[0]):
+            fs, place = located(path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+            with fs.open_input_file(place) as f:
+                yield from self.counted(f, path, list(splits)) if self.counts else itertools.chain.from_iterable(self.lines(f, *split) for split in splits)
+
+    def counted(self, f, path: str, splits: list[tuple]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"line_file": [path] * len(splits), "split": [x[1] for x in splits], "n": [count_starts(f, x[2], x[3]) for x in splits]})
+
+    def lines(self, f, path: str, split: int, start: int, end: int) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for lines in line_lists(f, start, end, min(READ, self.size + LINE)):
+            for lo in range(0, len(lines), 10_000):
+                part = [x.decode("utf-8", "replace") for x in lines[lo : lo + 10_000]]
+                yield pa.RecordBatch.from_pydict({"line_file": [path] * len(part), "split": [split] * len(part), "at": list(range(at, at + len(part))), "line": part})
+                at += len(part)
 
 
 class LinesSource(DataSource):

@@ -107,3 +107,17 @@ def test_histograms_merge(spark, monkeypatch):
     joined = {k: b"".join(d or b"" for q, d in rows if q == k) for k, _ in rows}
     assert got == {k: (len(d), round(B.entropy_of(d), 9)) for k, d in joined.items()}
     assert B.entropy_by(spark.createDataFrame([], "k string, data binary"), ["k"], F.col("data")).count() == 0
+
+
+def test_small_splits_make_no_small_tasks(spark, tmp_path):
+    """10,000 splits of 1000 bytes, in two files, are one task's work; splits of more than a task's bytes are a task each."""
+    import json
+
+    reader = lambda size: L.LinesReader({"files": json.dumps([["a", 9_000_000], ["b", 0], ["c", 999_999]]), "split_bytes": str(size)})
+    pieces = reader(1000).partitions()
+    assert len(pieces) == 1 and pieces[0].splits[0] == ("a", 0, 0, 1000) and pieces[0].splits[-1] == ("c", 999, 999_000, 999_999) and len(pieces[0].splits) == 10_000
+    assert [len(p.splits) for p in reader(100).partitions()] == [10_000] * 10
+    assert [len(p.splits) for p in L.LinesReader({"files": json.dumps([["a", 100 << 20]]), "split_bytes": str(40 << 20)}).partitions()] == [1, 1, 1]
+    (tmp_path / "log").write_bytes(b"".join(b"%d\n" % i for i in range(20_000)))
+    found = L.numbered_lines(spark, str(tmp_path / "log"), 100)
+    assert found.rdd.getNumPartitions() <= 8 and found.where("line_no <> cast(line AS bigint) + 1").count() == 0 and found.count() == 20_000
