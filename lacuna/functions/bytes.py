@@ -79,14 +79,11 @@ def jpeg_frame(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([f or (None, None, None) for f in found], columns=["width", "height", "progressive"]).astype({"width": "Int32", "height": "Int32", "progressive": "boolean"})
 
 
-@F.pandas_udf(T.BinaryType())
-def trim_after_last(data: pd.Series, marker: pd.Series) -> pd.Series:
-    """The bytes up to and with the last marker; all of them if it doesn't occur."""
-    out = []
-    for x, m in zip(data, marker, strict=True):
-        at = -1 if x is None else bytes(x).rfind(bytes(m))
-        out.append(x if at < 0 else bytes(x)[: at + len(m)])
-    return pd.Series(out, dtype=object)
+def trim_after_last(data: Column, marker: Column) -> Column:
+    """The bytes up to and with the last marker; all of them if it doesn't occur. Bytes are searched as characters of ISO 8859-1, one each."""
+    text, mark = F.decode(data, "ISO-8859-1"), F.decode(marker, "ISO-8859-1")
+    behind = F.length(F.call_function("substring_index", text, mark, F.lit(-1)))
+    return F.when(F.call_function("instr", text, mark) > 0, F.substring(data, F.lit(1), F.octet_length(data) - behind)).otherwise(data)
 
 
 _KIND = T.StructType([T.StructField(n, T.StringType()) for n in ("format", "extension", "media")])

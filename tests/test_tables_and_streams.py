@@ -1,6 +1,7 @@
 """Tracker, catalog, scalar functions and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,16 @@ def test_windows_drop_nothing_in_time(spark, tmp_path):
     assert sorted((r.n, r.mean) for r in bands)[:2] == [(1, 5.0), (2, 2.0)]
     runs = R.run_available(R.sessions(stream, "t", "k", "2 minutes", "1 minute"), str(tmp_path / "s"), str(tmp_path / "sc")).collect()
     assert (2, "u") in {(r.n, r.k) for r in runs}
+
+
+def test_trimming_needs_no_python(spark, sf):
+    from lacuna.functions import bytes as B
+    from lacuna.registry import QUERIES
+
+    r = random.Random(4)
+    rows = [(bytes(r.choices(b"a.\xe9\x00\xff", k=n)), bytes(r.choices(b"a.\xe9\xff", k=r.randint(0, 2)))) for n in list(range(12)) * 20]
+    df = spark.createDataFrame([*rows, (None, b".")], "data binary, marker binary")
+    want = [(x if x.rfind(m) < 0 else x[: x.rfind(m) + len(m)]) for x, m in rows] + [None]
+    got = [r.t if r.t is None else bytes(r.t) for r in df.select(B.trim_after_last(F.col("data"), F.col("marker")).alias("t")).collect()]
+    assert got == want
+    assert "Python" not in QUERIES["x3_trim_last_marker"](spark, sf)._jdf.queryExecution().executedPlan().toString()
