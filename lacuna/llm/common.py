@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop_tables, materialise, shared_dir  # noqa: F401  (for the operators)
+from ..sources.scratch import drop_tables, materialise, shared_dir, small_batches  # noqa: F401  (for the operators)
 
 #: Text bytes that one kernel call handles at a time (a longer text is handled alone).
 CHUNK_BYTES = 2 << 20
@@ -62,12 +62,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that JVM and Python workers hold little at a time. Every operator asks for the same sizes; kernels slice what they get (small_slices), so results and their memory don't depend on it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 def small_slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most `rows` rows and about `size` bytes, so that what a kernel turns into Python objects stays small at any session setting."""
     for batch in batches:

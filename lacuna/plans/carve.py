@@ -22,11 +22,13 @@ from ..operators.intervals import gap_regions, greedy_nonoverlap, inside_spans
 from ..operators.ordered import running_before
 from ..parsers import find_end, images, videos
 from ..parsers.source import Source
-from ..sources.rawimage import ImageFile, input_size, located, read_image
+from ..sources.rawimage import ImageFile, clamp, input_size, located
 from ..sources.scratch import materialise
 
 #: Bytes that a tile repeats of the next one: a sync pattern needs 8 * 192.
 LOOK_AHEAD = 8 * 192
+#: Bytes of the image that a task scans.
+TASK_BYTES = 32 * dims.MIB
 #: What may begin a file -> how far behind the file's first byte it stands.
 _STARTS = {s.magic: s.offset for s in dims.SIGNATURES}
 FOUND = "image_id string, start bigint, end bigint, format string, extension string, media string, width int, height int, progressive boolean, is_mjpeg boolean, valid boolean"
@@ -128,20 +130,23 @@ def starts_in(data: bytes, own: int) -> Iterator[int]:
 
 
 def find_files(spark: SparkSession, path: str, settings: Settings | None = None, start: int = 0, end: int = 0, image_id: str | None = None, tile: int = 4 * dims.MIB) -> DataFrame:
-    """All candidate files of an image (FOUND), overlapping ones and invalid JPEGs too: tiles are scanned in parallel, extents read the image itself by seeks.
+    """All candidate files of an image (FOUND), overlapping ones and invalid JPEGs too: tiles are scanned in parallel, one in a task's memory at a time, extents read the image itself by seeks.
 
     A transport stream has no length of its own, so tiles only tell how far its sync bytes go in them; runs that meet in step are joined afterwards (join_runs), so the
     image is read about once whatever it holds.
     """
     s, size, name = settings or Settings(), input_size(path), image_id or path
-    tiles = read_image(spark, path, start=start, end=end, tile=tile, overlap=LOOK_AHEAD, image_id=name)
+    start, end = clamp(start, end, size)
+    tiles = spark.range(start, end, tile, max(1, -(-(end - start) // max(tile, TASK_BYTES)))).withColumnRenamed("id", "offset")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ImageFile(path) as f:
             src = Source(file=f, size=size)
             for tile_rows in batches:
-                for offset, own, data in zip(tile_rows["offset"], tile_rows["length"], tile_rows["data"], strict=True):
-                    rows, data, until = [], bytes(data), {}  # until: of each stride and step, the end of the run at hand
+                for offset in tile_rows["offset"]:
+                    own = min(tile, end - int(offset))
+                    f.seek(int(offset))
+                    rows, data, until = [], f.read(own + LOOK_AHEAD), {}  # until: of each stride and step, the end of the run at hand
                     for at in starts_in(data, own):
                         place = int(offset) + at
                         stride = videos.ts_stride(data, at) if data[at] == 0x47 else None

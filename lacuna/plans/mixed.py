@@ -218,7 +218,7 @@ def lay_out_mixed(spark: SparkSession, sf_dir: str, times: int = 1) -> str:
 def file_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, place) of the files of the mixed image."""
     copies = F.explode(F.when(_twice(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    sizes = file_bytes(table(spark, sf_dir, "documents")).select("doc_id", F.octet_length("data").cast("long").alias("n"), copies.alias("copy"))
+    sizes = materialise(file_bytes(table(spark, sf_dir, "documents")).select("doc_id", F.octet_length("data").cast("long").alias("n"))).withColumn("copy", copies)
     return materialise(running_before(sizes.withColumn("nr", 2 * F.col("doc_id") + F.col("copy")), [], ["nr"], {"place": (F.col("n"), "sum")}).select("doc_id", "place"))
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .scratch import small_batches
+
 SCHEMA = "image_id string, offset bigint, length int, data binary"
 TILE, PARTITION = 4 << 20, 64 << 20
 #: Bytes of a part of a split image; the note that tells a split image's sizes.
@@ -94,6 +96,7 @@ def write_parts(pieces: DataFrame, size: int, folder: str, part: int = PART) ->
     """
     fs, root = located(folder)
     fs.create_dir(root)
+    small_batches(pieces.sparkSession)
     length = F.octet_length("data")
     at = pieces.where(length > 0).select("place", "data", F.explode(F.sequence(F.floor(F.col("place") / part), F.floor((F.col("place") + length - 1) / part))).alias("part"))
     cut = at.select("part", F.greatest(F.lit(0), F.col("place") - F.col("part") * part).alias("inner"), F.expr(f"substring(data, CAST(greatest(0, part * {part} - place) + 1 AS INT), CAST({part} - greatest(0, place - part * {part}) AS INT))").alias("data"))

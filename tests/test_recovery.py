@@ -13,7 +13,7 @@ from lacuna.plans import crossverify as X
 from lacuna.plans import entropy as E
 from lacuna.plans.streams import tiny_avi, tiny_jpeg, tiny_png
 from lacuna.sources import manifest as M
-from lacuna.sources.rawimage import clamp, input_size, read_image
+from lacuna.sources.rawimage import clamp, input_size, read_image, write_parts
 
 
 def image(tmp_path, *parts, name="disk.img"):
@@ -96,6 +96,20 @@ def test_transport_streams_are_joined_over_tiles(spark, tmp_path):
     assert [(r.format, r.start, r.end) for r in found if r.format == "MPEG-TS"] == [("MPEG-TS", 777, 777 + len(stream)), ("MPEG-TS", 5777 + len(stream), 5777 + len(stream) + 188 * 400)]
 
 
+def test_tiles_stay_in_the_tasks(spark, tmp_path, monkeypatch):
+    """A scan is given places alone and reads a tile at a time: no batch of tiles passes through the JVM; layouts ask for small batches."""
+    plans, real = [], C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    jpeg = tiny_jpeg(30, 20, body=noise(9000))
+    path = image(tmp_path, bytes(100), jpeg, bytes(70_000), jpeg)
+    found = C.find_files(spark, path, tile=8 << 10).orderBy("start").collect()
+    assert [(r.start, r.end) for r in found] == [(100, 100 + len(jpeg)), (70_100 + len(jpeg), 70_100 + 2 * len(jpeg))]
+    assert "Range" in plans[0] and "data" not in plans[0]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    write_parts(spark.createDataFrame([(0, b"x")], "place long, data binary"), 1, str(tmp_path / "parts"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+
+
 def test_a_stream_outlives_a_sync_byte_before_it(spark, tmp_path):
     """A picture's byte that stands one packet before a stream looks like its first sync; a scan takes the picture, then the stream."""
     stream = b"".join(b"\x47" + noise(187, i).replace(b"\x47", b"\x48") for i in range(500))
