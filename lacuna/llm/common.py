@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of ids and labels that are sent to every task at most (some tens of MB); more are joined by a shuffle.
-SENT_ROWS = 1_000_000
+#: Rows of ids and labels that are sent to every task at most (some MB, which the driver holds for each join); more are joined by a shuffle.
+SENT_ROWS = 200_000
 
 
 def join_narrow(texts: DataFrame, narrow: DataFrame, on: str, how: str = "inner", sent_rows: int = SENT_ROWS, salts: int = 16) -> DataFrame:
@@ -70,15 +70,19 @@ def small_slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int =
             yield batch.slice(lo, step)
 
 
+def least_hash_part(df: DataFrame, id_col: str, rows: int, seed: int) -> DataFrame:
+    """About `rows` rows of df, all those below some hash of the id; all of df if it has no more than twice as many."""
+    total = df.count()
+    return df if total <= 2 * rows else df.where(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)) < int(-(2**63) + 2**64 * (rows / total)))
+
+
 def least_hash_rows(df: DataFrame, id_col: str, rows: int, seed: int, *ties: str, then: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[Row]:
     """At most `rows` rows of df, those of least hash of the id (then by `ties`): the same at every partitioning.
 
     df is counted first, so that tasks pass on about twice the rows asked for, however many tasks there are.
     `then` (which keeps the id) turns the rows that may be chosen into those returned.
     """
-    total, order = df.count(), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    if total > 4 * rows:
-        df = df.where(order < int(-(2**63) + 2**64 * (2 * rows / total)))
+    df, order = least_hash_part(df, id_col, 2 * rows, seed), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
     return then(df).withColumn("_order", order).orderBy("_order", *ties).drop("_order").limit(rows).collect()
 
 

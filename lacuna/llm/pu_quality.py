@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, byte_class, filter_texts, join_narrow, least_hash_rows, small_batches, table, text_slices, word_spans
+from .common import NOT_SPACE, byte_class, filter_texts, join_narrow, least_hash_part, least_hash_rows, small_batches, table, text_slices, word_spans
 from .toxicity import remainder
 from .winnowing import gram_hashes
 
@@ -206,8 +206,13 @@ def train_judge(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, fo
     """
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     trusted = labels.where((F.col("quality") == 1) & (remainder(F.col("id"), folds) != held_out)).select("id").distinct()
+    # trusted ids of least hash are enough where texts have sample_rows of them: then what is sent doesn't grow with the labels
+    near = least_hash_part(trusted, "id", 4 * sample_rows, 5)
+    known = join_narrow(src, near, "id", "left_semi")
+    if near is not trusted and known.limit(sample_rows).count() < sample_rows:
+        known = join_narrow(src, trusted, "id", "left_semi")
     draw = lambda t: np.array([r.x for r in least_hash_rows(t, "id", sample_rows, 5, "x", then=features)], np.float64).reshape(-1, len(NAMES))
-    positive, unlabelled = draw(join_narrow(src, trusted, "id", "left_semi")), draw(src)
+    positive, unlabelled = draw(known), draw(src)
     if min(len(positive), len(unlabelled)) < 4:
         return Judge(None)
     net = fit_pu(positive, unlabelled, estimate_prior(positive, unlabelled))

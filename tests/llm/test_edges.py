@@ -124,3 +124,19 @@ def test_pipeline_stages(spark, docs, sf):
             at = corpus_pipeline.materialise(stage(spark, at, sf))
             assert at.columns == columns and at.count() <= n
         assert corpus_pipeline.STAGES[-1][1](spark, at, sf).count() == at.count()
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_quality_sends_few_trusted_ids(spark, monkeypatch, missing):
+    """Of 3,000 trusted ids about four times the sample are sent, with the same classifier as from all; where texts have too few of them, all are asked for."""
+    from lacuna.llm import pu_quality as P
+
+    docs = spark.range(3000).select("id", F.concat_ws(" ", F.lit("some words of text"), F.col("id") % 97, F.repeat(F.lit("#"), (F.col("id") % 5).cast("int"))).alias("text"))
+    docs = docs.where("id < 60") if missing else docs
+    labels, sent, join = spark.range(3000).select("id", F.lit(1).alias("quality")), [], P.join_narrow
+    monkeypatch.setattr(P, "join_narrow", lambda texts, narrow, *a: sent.append(narrow.count()) or join(texts, narrow, *a))
+    net = P.train_judge(docs, labels, "id", "text", sample_rows=40).net
+    assert 80 <= sent[0] <= 320 and len(sent) == (2 if missing else 1)
+    monkeypatch.setattr(P, "least_hash_part", lambda df, *a: df)
+    want = P.train_judge(docs, labels, "id", "text", sample_rows=40).net
+    assert sent[-1] > 2000 and all((a == b).all() for a, b in zip(net.params, want.params, strict=True))
