@@ -27,8 +27,10 @@ from ..sources.scratch import materialise
 
 #: Bytes that a tile repeats of the next one: a sync pattern needs 8 * 192.
 LOOK_AHEAD = 8 * 192
-#: Bytes of the image that a task scans.
+#: Bytes of the image that a task scans, hashes or copies.
 TASK_BYTES = 32 * dims.MIB
+#: Tasks that chosen files are dealt to at most.
+MOST_TASKS = 4096
 #: What may begin a file -> how far behind the file's first byte it stands.
 _STARTS = {s.magic: s.offset for s in dims.SIGNATURES}
 FOUND = "image_id string, start bigint, end bigint, format string, extension string, media string, width int, height int, progressive boolean, is_mjpeg boolean, valid boolean"
@@ -193,6 +195,12 @@ def join_runs(found: DataFrame, s: Settings) -> DataFrame:
     return found.where("NOT _run").drop("_run").unionByName(streams)
 
 
+def dealt_by_place(rows: DataFrame, at: str, size: int) -> DataFrame:
+    """Rows of an image of `size` bytes, dealt to tasks that read about TASK_BYTES of it each, in order of their place `at`. Rows are narrow, so left alone they would share few tasks, however much these have to read."""
+    tasks = min(MOST_TASKS, max(1, -(-size // TASK_BYTES)))
+    return rows.repartition(tasks, F.floor(F.col(at) / TASK_BYTES)).sortWithinPartitions(at)
+
+
 def with_hashes(files: DataFrame, path: str, s: Settings) -> DataFrame:
     """files with prefix_md5, and sha256 if duplicates are told by it: only files that were chosen are read for it."""
     whole = s.dedup != "fast"
@@ -205,7 +213,7 @@ def with_hashes(files: DataFrame, path: str, s: Settings) -> DataFrame:
                 yield rows.assign(prefix_md5=[x[0] for x in told], sha256=[x[1] for x in told])
 
     kinds = files.schema
-    return files.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), HASHES]))
+    return dealt_by_place(files, "start", input_size(path)).mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), HASHES]))
 
 
 def route(files: DataFrame, s: Settings) -> DataFrame:
@@ -338,7 +346,9 @@ def extract(manifest: DataFrame, image: str, folder: str) -> DataFrame:
                     out.append((rel, int(z - a - left), whole.hexdigest()))
                 yield pd.DataFrame(out, columns=["path", "bytes", "sha256"])
 
-    return manifest.select("path", "source_offset", "source_end").mapInPandas(write, "path string, bytes bigint, sha256 string")
+    fs, root = located(folder)
+    fs.create_dir(root)
+    return dealt_by_place(manifest.select("path", "source_offset", "source_end"), "source_offset", input_size(image)).mapInPandas(write, "path string, bytes bigint, sha256 string")
 
 
 def carve_bytes(data: bytes, settings: Settings | None = None) -> Iterator[tuple]:

@@ -19,6 +19,8 @@ QUERIES, ORACLES = {}, {}
 _HEAD, _SCAN = "FFD8FFE000104A46494600010100000100010000FFC0000B08", "01011100FFDA0008010100003F00"
 #: Least bytes of a picture, and the stride of the entropy scan.
 LEAST, STRIDE = 1000, 8192
+#: Places (two numbers each) that are sent to all tasks at most.
+SENT_ROWS = 200_000
 
 
 def picture_bytes(docs: DataFrame) -> DataFrame:
@@ -45,10 +47,11 @@ def lay_out(spark: SparkSession, sf_dir: str) -> str:
 
 def lay_in_order(spark: SparkSession, pieces: DataFrame, order: str) -> str:
     """The path of an image in which pieces (order, data) follow one another. Places are a running sum of lengths, so only lengths are put in order."""
-    pieces = materialise(pieces)
-    at = materialise(running_before(pieces.select(order, F.octet_length("data").cast("long").alias("n")), [], [order], {"place": (F.col("n"), "sum")}))
-    size = at.agg(F.sum("n")).first()[0] or 0
-    return write_parts(pieces.join(at, order).select("place", "data"), size, new_folder(spark, "images"))
+    pieces = materialise(pieces.withColumn("n", F.octet_length("data").cast("long")))  # so that lengths are read without the data
+    at = materialise(running_before(pieces.select(order, "n"), [], [order], {"place": (F.col("n"), "sum")}))
+    rows, size = at.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    places = at.select(order, "place")
+    return write_parts(pieces.join(F.broadcast(places) if rows <= SENT_ROWS else places, order).select("place", "data"), size, new_folder(spark, "images"))
 
 
 _IMAGE = f"""p AS (SELECT doc_id, '{_HEAD}' || lpad(hex(coalesce(n_chars, 0) % 500 + 1), 4, '0') || lpad(hex(coalesce(n_chars, 0) % 700 + 1), 4, '0') || '{_SCAN}' || hex(encode(coalesce(text, ''))) || 'FFD9' AS h,

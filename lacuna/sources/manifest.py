@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .lines import SPLIT, numbered_lines
+from .rawimage import located
+from .scratch import materialise
 
 JPEG = "struct<width:int,height:int,inside_mjpeg_avi:boolean,matches_skip_frame_resolution:boolean,near_video_offset_bytes:bigint,video_proximity_window_bytes:bigint,bits_per_pixel:double,progressive_jpeg:boolean,matches_common_still_resolution:boolean>"
 #: Columns of a manifest row; rows of older versions lack some.
 SCHEMA = f"v int, status string, path string, bucket string, format string, extension string, source_offset bigint, source_end bigint, size_bytes bigint, size bigint, skip_reason string, sha256 string, jpeg {JPEG}"
 
+#: Tasks that list the folders of one level at most.
+LISTING_TASKS = 1000
+
 
 def lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """(line_file, line) of text files, a JSON object a line."""
@@ -81,13 +93,50 @@ def write_if_changed(df: DataFrame, path: str) -> bool:
 
 
 def listing(spark: SparkSession, path: str, extensions: tuple[str, ...] = ()) -> DataFrame:
-    """(path, name, extension, size) of files below a folder; the contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
+    """(path, name, extension, size) of files below a folder, as it is now; the contents aren't read. Hidden names (those that Spark's readers pass over) are left out.
+
+    Folders are listed by tasks, level by level, so the driver holds no names and a task isn't made for every few files. Patterns, and file systems that pyarrow doesn't know, are left to Spark's reader, which passes over empty files.
+    """
+    try:
+        fs, root = (None, "") if set("*?[{") & set(path) else located(path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+    except pa.ArrowInvalid:
+        fs, root = None, ""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size")) if fs is None else _walked(spark, path, fs, root)
     parts = T.path_parts(F.col("path"))
     found = found.select("path", parts["name"].alias("name"), F.ltrim(parts["suffix"], F.lit(".")).alias("extension"), "size")
     return found.where(F.lower("extension").isin(*[e.lower() for e in extensions])) if extensions else found
 
 
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata")))
+
+
+def _walked(spark: SparkSession, path: str, fs: pyarrow.fs.FileSystem, root: str) -> DataFrame:
+    """(path, size) of the files below a folder, or of a file."""
+    local = isinstance(fs, pyarrow.fs.LocalFileSystem)
+    root = os.path.abspath(root) if local else root.rstrip("/")
+    if fs.get_file_info(root).type == pyarrow.fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    lead, uri = "file:" if local else path[: path.index(root, path.index("://") + 3)], root if local else path
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        on, _ = located(uri)
+        for folder in (f for rows in batches for f in rows["at"]):
+            one = on.get_file_info(folder)
+            found = [one] if one.type == pyarrow.fs.FileType.File else on.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True))
+            for i in range(0, len(found), 10_000):
+                told = [(x.path, x.size, x.type == pyarrow.fs.FileType.Directory) for x in found[i : i + 10_000] if x is one or not _hidden(x.base_name)]
+                yield pd.DataFrame(told, columns=["at", "size", "folder"]).astype({"at": "object", "size": "Int64", "folder": "bool"})
+
+    files, level, n = [], spark.range(1).select(F.lit(root).alias("at")), 1
+    while n:
+        found = materialise(level.repartition(min(n, LISTING_TASKS), "at").mapInPandas(look, "at string, size long, folder boolean"))
+        files.append(found.where("NOT folder").select(F.concat(F.lit(lead), "at").alias("path"), "size"))
+        level = found.where("folder").select("at")
+        n = level.count()
+    return functools.reduce(DataFrame.unionByName, files)
+
+
 def listings(*parts: DataFrame) -> DataFrame:
     """All rows of several listings, by column name; a file that stands in two of them stands there twice, columns that one lacks are null."""
     out, *rest = parts

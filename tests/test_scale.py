@@ -1,5 +1,6 @@
 """Operators at sizes and skews that one task couldn't hold, by small bounds: quantile buckets, chains of overlaps, bursts, numbered lines, split images, histograms."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 from lacuna.functions import bytes as B
 from lacuna.operators import intervals as I
 from lacuna.operators.ordered import number_rows, reached, with_buckets
+from lacuna.plans import carve as C
+from lacuna.plans import imaged
 from lacuna.sources import lines as L
+from lacuna.sources import manifest as M
 from lacuna.sources.rawimage import ImageFile, input_size, read_image, write_parts
 
 
@@ -121,3 +125,45 @@ def test_small_splits_make_no_small_tasks(spark, tmp_path):
     (tmp_path / "log").write_bytes(b"".join(b"%d\n" % i for i in range(20_000)))
     found = L.numbered_lines(spark, str(tmp_path / "log"), 100)
     assert found.rdd.getNumPartitions() <= 8 and found.where("line_no <> cast(line AS bigint) + 1").count() == 0 and found.count() == 20_000
+
+
+def test_listing_is_made_by_tasks_per_folder(spark, tmp_path):
+    """400 small files in three folders: hidden names aside, each stands there once, in a few tasks and not one for every four files."""
+    files = {f"{folder}/f{i:03d}.{ext}": bytes(i % 7) for folder, ext in (("a", "jpg"), ("a/b c", "JPG"), ("d", "avi")) for i in range(134)}
+    for name, data in (files | {"top.jpg": b"xy", ".hidden": b"x", "_temporary/0/x.jpg": b"x", "_p=1/y.jpg": b"abc", "d/x._COPYING_": b"x"}).items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    want = {f"file:{tmp_path}/{name}": len(data) for name, data in (files | {"top.jpg": b"xy", "_p=1/y.jpg": b"abc"}).items()}
+    for path in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        found = M.listing(spark, path)
+        assert {r.path: r.size for r in found.collect()} == want and found.count() == len(want) and found.rdd.getNumPartitions() <= 12
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "length")
+    assert {tuple(r) for r in plain.collect()} == {x for x in want.items() if x[1]}  # which passes over empty files
+    assert M.listing(spark, str(tmp_path), ("jpg",)).count() == 134 * 2 + 2 and M.listing(spark, f"{tmp_path}/d/*").count() == sum(i % 7 > 0 for i in range(134))
+    assert [(r.name, r.size) for r in M.listing(spark, f"{tmp_path}/top.jpg").collect()] == [("top.jpg", 2)]
+    (tmp_path / "none").mkdir()
+    assert M.listing(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(FileNotFoundError):
+        M.listing(spark, f"{tmp_path}/nowhere")
+
+
+def test_hashing_and_copying_are_dealt_by_bytes(spark, tmp_path, monkeypatch):
+    """40 narrow rows that have 40 kB to read go to several tasks, whatever the rows themselves weigh."""
+    data = random.Random(4).randbytes(40_000)
+    (tmp_path / "image").write_bytes(data)
+    monkeypatch.setattr(C, "TASK_BYTES", 4000)
+    rows = spark.range(40).select(F.concat(F.lit("p/"), F.col("id").cast("string")).alias("path"), (F.col("id") * 1000).alias("start"), (F.col("id") * 1000 + 999).alias("end"))
+    hashed = C.with_hashes(rows.repartition("path"), f"{tmp_path}/image", C.Settings()).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in hashed}) >= 4 and {(r.path, r.sha256) for r in hashed} == {(f"p/{i}", hashlib.sha256(data[1000 * i : 1000 * i + 999]).hexdigest()) for i in range(40)}
+    told = rows.select("path", F.col("start").alias("source_offset"), F.col("end").alias("source_end")).repartition("path")
+    done = C.extract(told, f"{tmp_path}/image", f"{tmp_path}/out").withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in done}) >= 4 and all((tmp_path / "out" / r.path).read_bytes() == data[1000 * int(r.path[2:]) :][:999] for r in done)
+
+
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_pieces_are_laid_in_order_by_either_join(spark, monkeypatch, sent):
+    monkeypatch.setattr(imaged, "SENT_ROWS", sent)
+    pieces = [(i, bytes([i]) * (i % 5)) for i in range(1, 60)]
+    path = imaged.lay_in_order(spark, spark.createDataFrame(pieces[::-1], "nr long, data binary"), "nr")
+    with ImageFile(path) as f:
+        assert f.read(1000) == b"".join(x for _, x in pieces)
