@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..sources.scratch import materialise
-from .ordered import BUCKET_ROWS, number_rows, running_before
+from .ordered import BUCKET_ROWS, cuts, number_rows, running_before
 
 
 def _width(spans: DataFrame, start: str, end: str) -> int:
@@ -77,10 +77,10 @@ def gap_regions(df: DataFrame, keys: list[str], start: str, end: str | None, gap
     Without `end`, each row's start is its end too (the previous row counts, as starts are in order).
     """
     order = [start, *(ties or [])]
-    reach = F.col(end or start)
-    before = running_before(df, keys, order, {"_reach": (reach, "max")}, rows)
+    reach, known = F.col(end or start), (cuts(df, start, rows),)  # the same rows are put in order twice
+    before = running_before(df, keys, order, {"_reach": (reach, "max")}, rows, known)
     fresh = F.when(F.col("_reach").isNull() | (F.col(start) - F.col("_reach") > gap), 1).otherwise(0).cast("long")
-    out = running_before(before.withColumn("_fresh", fresh), keys, order, {name: (F.col("_fresh"), "sum")}, rows)
+    out = running_before(before.withColumn("_fresh", fresh), keys, order, {name: (F.col("_fresh"), "sum")}, rows, known)
     return out.withColumn(name, F.col(name) + F.col("_fresh")).drop("_reach", "_fresh")
 
 

@@ -16,9 +16,19 @@ def with_buckets(df: DataFrame, order: str, rows: int = BUCKET_ROWS) -> DataFram
 
     The quantiles come from one mergeable sketch, so rows that crowd in a small part of the range are spread like any others; only rows of one and the same value stay together.
     """
-    n = df.agg(F.count(order)).first()[0]
+    return _bucketed(df, order, cuts(df, order, rows) or [])
+
+
+def cuts(df: DataFrame, order: str, rows: int = BUCKET_ROWS) -> list | None:
+    """The places at which with_buckets() cuts the ordering column; None where all rows are one bucket."""
+    n, every = df.agg(F.count(order), F.count(F.lit(1))).first()
     wanted = min(MOST_BUCKETS, n // rows + 1)
-    splits = [] if wanted == 1 else sorted(set(df.agg(F.percentile_approx(order, [i / wanted for i in range(1, wanted)], 20 * wanted)).first()[0]))
+    if wanted == 1:
+        return None if n == every else []
+    return sorted(set(df.agg(F.percentile_approx(order, [i / wanted for i in range(1, wanted)], 20 * wanted)).first()[0]))
+
+
+def _bucketed(df: DataFrame, order: str, splits: list) -> DataFrame:
     return df.withColumn("_bucket", F.when(F.col(order).isNotNull(), reached(splits, F.col(order))))
 
 
@@ -38,14 +48,19 @@ def reached(splits: list, at: Column) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(splits)).alias("hi")), halve, lambda r: r["lo"])
 
 
-def running_before(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[Column, str]], rows: int = BUCKET_ROWS) -> DataFrame:
+def running_before(df: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[Column, str]], rows: int = BUCKET_ROWS, known: tuple[list | None] | None = None) -> DataFrame:
     """df with a column per value: its aggregate over the rows of the same keys that stand before, in `order`.
 
     A value is (column, kind): 'max', 'sum' (0 at the start) or 'last' (the latest not null). Aggregates run within
     buckets of the first ordering column; bucket totals, one small row each, carry over. Rows equal in all of `order` count in some order: give a
-    unique one. Null orders come first, in a bucket of their own.
+    unique one. Null orders come first, in a bucket of their own. Where all rows are one bucket, nothing has to be carried over. known: a tuple of cuts(), where they are known already.
     """
-    at = with_buckets(df, order[0], rows)
+    (splits,) = known or (cuts(df, order[0], rows),)
+    if splits is None:
+        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        plain = {"max": lambda c: F.max(c).over(window), "sum": lambda c: F.coalesce(F.sum(c).over(window), F.lit(0)), "last": lambda c: F.last(c, ignorenulls=True).over(window)}
+        return df.select(*df.columns, *[plain[kind](c).alias(n) for n, (c, kind) in values.items()])
+    at = _bucketed(df, order[0], splits)
     inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     seq = F.struct(*order)

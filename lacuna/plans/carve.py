@@ -221,11 +221,11 @@ def route(files: DataFrame, s: Settings) -> DataFrame:
 
     Copies of films count as films before a JPEG, and around it, like any other; copies of pictures don't make a burst.
     """
-    at = files.withColumn("seq", F.col("start"))
+    files = files.withColumn("seq", F.col("start"))
     video = F.when(F.col("media") == "video", F.col("start"))
-    at = running_before(at, ["image_id"], ["seq"], {"video_at": (video, "last")})
-    films = at.where("is_mjpeg").select("image_id", "start", "end")
-    inside = inside_spans(at.where("format = 'JPEG'"), films, "start", "start", "end", ["image_id"], extra=lambda p, q: q["_s_start"] < p["start"]).select("image_id", "seq").withColumn("inside", F.lit(True))
+    at = running_before(files, ["image_id"], ["seq"], {"video_at": (video, "last")})
+    films = files.where("is_mjpeg").select("image_id", "start", "end")
+    inside = inside_spans(files.where("format = 'JPEG'").select("image_id", "seq", "start"), films, "start", "start", "end", ["image_id"], extra=lambda p, q: q["_s_start"] < p["start"]).select("image_id", "seq").withColumn("inside", F.lit(True))
     at = at.join(inside, ["image_id", "seq"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
     one_of = lambda sizes: F.coalesce(F.array_contains(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(h).alias("h")) for w, h in sizes]), F.struct(F.col("width").alias("w"), F.col("height").alias("h"))), F.lit(False)) & F.col("width").isNotNull()
     at = at.withColumn("frame_size", one_of(s.frame_sizes)).withColumn("still_size", one_of(dims.STILL_SIZES)).withColumn("near", F.col("start") - F.col("video_at"))
@@ -306,9 +306,9 @@ def keep_new(chosen: DataFrame, s: Settings, seen: DataFrame | None = None) -> D
         old = seen.select(F.col(seen.columns[0]).alias("_old")).distinct().withColumn("_seen", F.lit(True))
         at = at.join(old, key == F.col("_old"), "left").withColumn("is_copy", F.col("is_copy") | F.coalesce("_seen", F.lit(False))).drop("_old", "_seen")
     if s.dedup == "fast":
-        return name_files(materialise(route(at, s).where("NOT is_copy")), s)
+        return name_files(materialise(route(materialise(at), s).where("NOT is_copy")), s)
     # a strict scan hashes a picture after it has joined a burst
-    return name_files(materialise(route(at.withColumn("_copy", F.col("is_copy")).withColumn("is_copy", F.lit(False)), s)), s).where("NOT _copy")
+    return name_files(materialise(route(materialise(at.withColumn("_copy", F.col("is_copy")).withColumn("is_copy", F.lit(False))), s)), s).where("NOT _copy")
 
 
 def scan_stats(chosen: DataFrame, kept: DataFrame) -> DataFrame:

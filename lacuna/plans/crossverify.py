@@ -16,6 +16,8 @@ from ..parsers import videos
 from ..parsers.source import Source
 from ..sources.rawimage import located
 
+#: Films that a task reads, by number and bytes; tasks at most.
+TASK_FILES, TASK_BYTES, MOST_TASKS = 1000, 32 * dims.MIB, 4096
 FRAMES = "index int, offset_in_avi bigint, chunk_size bigint, jpeg_size bigint, sha256 string, is_jpeg boolean"
 
 
@@ -35,7 +37,7 @@ def avi_frames(spark: SparkSession):
 
 
 def frames_of_files(files: DataFrame) -> DataFrame:
-    """files (path, name) -> (video, ...FRAMES): films are read in place by seeks, one file a row, so their size doesn't matter."""
+    """files (path, name, and size where it is known) -> (video, ...FRAMES): films are read in place by seeks, one file a row, so their size doesn't matter. Files are dealt to tasks by what there is to read."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -46,7 +48,9 @@ def frames_of_files(files: DataFrame) -> DataFrame:
                 if found:
                     yield pd.DataFrame(found, columns=["video", *[c.split()[0] for c in FRAMES.split(", ")]])
 
-    return files.select("path", "name").mapInPandas(read, f"video string, {FRAMES}")
+    n, size = files.agg(F.count(F.lit(1)), F.sum("size") if "size" in files.columns else F.lit(0)).first()
+    tasks = min(MOST_TASKS, max(1, -(-n // TASK_FILES), -(-(size or 0) // TASK_BYTES)))
+    return files.select("path", "name").repartition(tasks, "path").mapInPandas(read, f"video string, {FRAMES}")
 
 
 def match_frames(carved: DataFrame, frames: DataFrame) -> DataFrame:

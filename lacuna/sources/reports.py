@@ -15,8 +15,9 @@ CURRENT = "current.json"
 def normal_path(path: Column) -> Column:
     """A path without '.', empty and resolvable '..' parts; a leading '/' stays."""
     step = lambda done, part: F.when(part.isin("", "."), done).when((part == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+    odd = path.rlike(r"//|/$|(^|/)\.{1,2}(/|$)")
     parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), lambda done, part: F.when(F.size(done) > 0, step(done, part)).otherwise(F.when(part.isin("", "."), done).otherwise(F.array(part))))
-    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
+    return F.when(odd, F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))).otherwise(path)  # most paths need no walk over their parts
 
 
 def below(path: Column, root: str) -> Column:

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import bytes as B
 from lacuna.operators import intervals as I
-from lacuna.operators.ordered import number_rows, reached, with_buckets
+from lacuna.operators.ordered import cuts, number_rows, reached, running_before, with_buckets
 from lacuna.plans import carve as C
+from lacuna.plans import crossverify as X
 from lacuna.plans import imaged
+from lacuna.plans.streams import tiny_avi, tiny_jpeg
 from lacuna.sources import lines as L
 from lacuna.sources import manifest as M
 from lacuna.sources.rawimage import ImageFile, input_size, read_image, write_parts
+from lacuna.sources.reports import normal_path
 
 
 def test_crowded_values_are_spread(spark):
@@ -167,3 +170,32 @@ def test_pieces_are_laid_in_order_by_either_join(spark, monkeypatch, sent):
     path = imaged.lay_in_order(spark, spark.createDataFrame(pieces[::-1], "nr long, data binary"), "nr")
     with ImageFile(path) as f:
         assert f.read(1000) == b"".join(x for _, x in pieces)
+
+
+def test_films_are_dealt_by_bytes(spark, tmp_path, monkeypatch):
+    """24 films in one folder, which one task lists, are read by several."""
+    for i in range(24):
+        (tmp_path / f"{i}.avi").write_bytes(tiny_avi([tiny_jpeg(2, 2, body=b"x" * (200 + i))]))
+    monkeypatch.setattr(X, "TASK_BYTES", 1000)
+    for files in (M.listing(spark, str(tmp_path), ("avi",)), M.listing(spark, str(tmp_path)).drop("size")):
+        got = X.frames_of_files(files).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(r.video for r in got) == sorted(f"{i}.avi" for i in range(24)) and (len({r.task for r in got}) >= 4 or "size" not in files.columns)
+
+
+def test_one_bucket_gives_what_many_give(spark):
+    """Rows that are one bucket are put in order by one window; null keys and orders, and all kinds of values, are as with buckets. Runs count their rows once."""
+    r = random.Random(7)
+    rows = [(r.choice(["a", "b", None]), i, r.choice([None, r.randint(-9, 9)])) for i in range(300)]
+    for more in ([], [("a", None, 3)]):
+        df = spark.createDataFrame([*rows, *more], "k string, at long, v long").repartition(3)
+        ask = lambda n: sorted(map(str, running_before(df, ["k"], ["at"], {"s": (F.col("v"), "sum"), "m": (F.col("v"), "max"), "l": (F.col("v"), "last")}, n).collect()))
+        assert ask(10**6) == ask(20) and cuts(df, "at", 10**6) == ([] if more else None) and len(cuts(df, "at", 20)) >= 10
+        runs = lambda n: sorted(map(str, I.gap_regions(df, ["k"], "at", None, 3, ties=["v"], rows=n).collect()))
+        assert runs(10**6) == runs(20)
+
+
+def test_plain_paths_stay_and_odd_ones_are_put_right(spark):
+    paths = ["a/b.jpg", "/a/b", "a//b", "./a", "a/./b", "a/../b", "..", "../a", "a/b/", "/", "//", "", ".", "a/.b/c..d", "...", "a/...", "é/日"]
+    want = ["a/b.jpg", "/a/b", "a/b", "a", "a/b", "b", "..", "../a", "a/b", "/", "/", "", "", "a/.b/c..d", "...", "a/...", "é/日"]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate([*paths, None])], "i int, p string").select("i", normal_path(F.col("p")).alias("n")).orderBy("i").collect()
+    assert [x.n for x in got] == [*want, None]
