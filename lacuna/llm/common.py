@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop_tables, materialise, shared_dir, small_batches  # noqa: F401  (for the operators)
+from ..sources.scratch import drop_tables, materialise, shared_dir, small_batches, store  # noqa: F401  (for the operators)
 
 #: Text bytes that one kernel call handles at a time (a longer text is handled alone).
 CHUNK_BYTES = 2 << 20

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import itertools
@@ -12,10 +13,13 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filter_texts, free_name, join_narrow, least_hash_rows, materialise, small_batches, small_slices, table
+from ..sources.rawimage import located
+from .common import filter_texts, free_name, join_narrow, least_hash_rows, materialise, small_batches, small_slices, store, table
 
 #: Characters of an n-gram at most, and up to how many the counts are shared by both classes.
 ORDER, SHARED = 4, 2
@@ -26,7 +30,7 @@ START, END = "\x02", "\x03"
 #: and words over these ratios (their share, and the logarithm of their number).
 WINDOWS, TOP, OVER = (1, 4, 16, 64), (2, 4), (1.0, 2.0, 3.0)
 N_FEATURES = 1 + len(WINDOWS) + len(TOP) + 2 * len(OVER)
-#: Entries of the models, or of words' ratios, that are sent to every task at most; models of more stay tables, which the words meet in joins.
+#: Entries of the models, or of words' ratios, that every task reads whole at most; models of more stay tables, which the words meet in joins.
 MODEL_ROWS = 1_500_000
 #: Labelled rows that the final calibration is fitted on at most, and the score that a toxic document should reach.
 CALIBRATION_ROWS, CUT = 20_000, 0.7
@@ -191,6 +195,34 @@ class Model:
         return df.mapInArrow(run, _schema(df.drop("text"), name, kind))
 
 
+@functools.lru_cache(maxsize=1)
+def entries(path: str) -> dict[str, dict[str, float]]:
+    """Per kind the numbers by key of a table (kind, key, value) that store() wrote. A worker reads it once and keeps the last one."""
+    fs, root = located(path)
+    out: dict[str, dict[str, float]] = {}
+    for info in fs.get_file_info(pyarrow.fs.FileSelector(root)):
+        if not info.base_name.endswith(".parquet"):
+            continue
+        with fs.open_input_file(info.path) as f:
+            for batch in pyarrow.parquet.ParquetFile(f).iter_batches(1 << 16):
+                for kind, key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    out.setdefault(kind, {})[key] = value
+    return out
+
+
+class StoredModel(Model):
+    """As Model, with its entries in a table below the shared folder (see entries): workers read them there, so neither the driver nor what it sends holds any."""
+
+    def __init__(self, path: str, order: int, shared: int):
+        self.path, self.order, self.shared = path, order, shared
+
+    ratios = functools.cached_property(lambda self: entries(self.path).get("ratio", {}))
+    backoffs = functools.cached_property(lambda self: entries(self.path).get("backoff", {}))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("ratios", "backoffs")}
+
+
 def _schema(df: DataFrame, name: str, kind: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{name} {kind}"])
 
@@ -226,15 +258,15 @@ class TableModel:
         return parts.select("key", "c", F.aggregate("parts", F.lit(0.0), lambda total, x: total + x["v"]).alias("v"))
 
     def apply(self, df: DataFrame, what: Callable[[np.ndarray], pa.Array], name: str, kind: str) -> DataFrame:
-        """As Model.apply. Values of the words that stand in most texts are sent, model_rows at most; a text's other words, none of which is in many texts, are
+        """As Model.apply. Values of the words that stand in most texts, model_rows at most, are read by every task; a text's other words, none of which is in many texts, are
         joined with theirs by key, with the places where they stand."""
         rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
         words = word_counts(rows.select("text", F.lit(0).alias("label"))).select("word", F.col("c0").alias("c"))
         values = materialise(self.word_values(words))
-        got = values.orderBy(F.desc("c"), "key").limit(self.model_rows).select("key", "v").toArrow()
-        sent = dict(zip(got["key"].to_pylist(), got["v"].to_pylist(), strict=True))
+        path = store(values.orderBy(F.desc("c"), "key").limit(self.model_rows).select(F.lit("word").alias("kind"), "key", F.col("v").alias("value")))
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sent = entries(path).get("word", {})
             for batch in small_slices(batches):
                 out = []
                 for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -279,7 +311,7 @@ def models_of(words: DataFrame, order: int = ORDER, shared: int = SHARED, discou
 
     Both classes have their own discounted counts above order `shared` and back off to one distribution of pooled counts below, so that what only
     one class has seen, or neither, is judged by common shorter pieces. Counting and all probabilities are DataFrame
-    aggregations and joins; the tables that would reach the driver are measured first, and where they exceed model_rows they stay tables. All
+    aggregations and joins; the tables that every task would read whole are measured first, and where they exceed model_rows they are joined. All
     counted grams are kept either way. No rows give ratios of 0.
     """
     tables = [t for n, t in levels(gram_counts(words, order), shared, discount).items() if n > shared]
@@ -287,12 +319,8 @@ def models_of(words: DataFrame, order: int = ORDER, shared: int = SHARED, discou
     told = [(t.select("gram", ratio(F.col("p1"), F.col("p0"), "r")), t.select("ctx", ratio(F.col("g1"), F.col("g0"), "b")).distinct()) for t in tables]
     if sum(t.count() for t in tables) > model_rows:
         return TableModel([(n, materialise(r), materialise(b)) for n, (r, b) in reversed([*enumerate(told, shared + 1)])], order, model_rows)
-    ratios: dict[str, float] = {}
-    backoffs: dict[str, float] = {}
-    for r, b in told:
-        for part, into in ((r.toArrow(), ratios), (b.toArrow(), backoffs)):
-            into.update(zip(*(c.to_pylist() for c in part.columns), strict=True))
-    return Model(ratios, backoffs, order, shared)
+    parts = [t.toDF("key", "value").select(F.lit(kind).alias("kind"), "key", "value") for pair in told for kind, t in zip(("ratio", "backoff"), pair, strict=True)]
+    return StoredModel(store(functools.reduce(DataFrame.unionByName, parts).repartition(8)), order, shared)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,11 +26,16 @@ def new_folder(spark: SparkSession, kind: str = "tables") -> str:
     return f"{shared_dir(spark)}/{kind}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame) -> str:
+    """The path below the shared folder where df was written as Parquet."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df))
 
 
 def small_batches(spark: SparkSession) -> None:

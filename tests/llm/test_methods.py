@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pickle
 import random
 import re
 
@@ -264,6 +265,15 @@ def test_models_beyond_the_sent_size_keep_all_grams(spark):
     assert kept.columns == df.columns and 0 < len(ids) == len(set(ids)) and set(ids) <= set(mine)
 
 
+def test_neither_driver_nor_tasks_code_holds_the_models(spark):
+    words = [f"w{hashlib.md5(str(i).encode()).hexdigest()}" for i in range(3000)]
+    texts = spark.createDataFrame([(w, i % 2) for i, w in enumerate(words)], "text string, label int")
+    model = toxicity.train_models(texts)
+    assert len(pickle.dumps(model)) < 10_000
+    assert model.word(words[1]) > 0 > model.word(words[0])  # all entries are there once they are asked for
+    assert len(model.ratios) > 10_000 and len(pickle.dumps(model)) < 10_000
+
+
 def test_final_models_count_all_labelled_texts(spark):
     df = spark.createDataFrame([(i, f"word{chr(0x4E00 + i)}", i % 2) for i in range(24)], "id long, text string, toxic int")
     model = toxicity.train_detector(df, df.select("id", "toxic"), "id", "text", folds=1).model
