@@ -26,6 +26,15 @@ def test_jpeg():
     assert find_end("jpeg_eoi", seam, 0, BIG) == len(seam)
 
 
+def test_a_cut_off_picture_does_not_end_in_the_next_ones():
+    head = tiny_jpeg(64, 48)[:-2]
+    assert images.is_valid_jpeg(head + b"\xff\xd9")
+    # the next picture's start, read as a segment, would be 0xFFE0 bytes long and lead right to the last end marker
+    following = b"\xff\xd8\xff\xe0" + bytes(2 + 0xFFE0 - 4) + b"\xff\xd9"
+    assert not images.is_valid_jpeg(head + bytes(32) + following)
+    assert not images.is_valid_jpeg(b"\xff\xd8\xff\xd8" + head[2:] + b"\xff\xd9")
+
+
 def test_png():
     data = tiny_png(b"abc")
     assert find_end("png_iend", data + b"tail", 0, BIG) == len(data)

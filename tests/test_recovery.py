@@ -5,8 +5,14 @@ import json
 import random
 import struct
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from conftest import same_rows
 from pyspark.sql import functions as F
 
+from lacuna import registry
 from lacuna.plans import carve as C
 from lacuna.plans import classify as K
 from lacuna.plans import crossverify as X
@@ -122,6 +128,24 @@ def test_a_stream_outlives_a_sync_byte_before_it(spark, tmp_path):
     assert [(r.format, r.source_offset, r.source_end) for r in found] == [("JPEG", 50, at - 32), ("MPEG-TS", at, at + len(stream))]
 
 
+@pytest.fixture(scope="module")
+def behind_a_cut_off_picture(tmp_path_factory):
+    """Documents whose mixed image has a picture without its end (107) 0xFFE2 bytes before the end of a film's first frame (110), counted from the next picture's start."""
+    folder = tmp_path_factory.mktemp("cut")
+    lengths = {107: 5000, 108: 20_000, 109: 25_000, 110: 65_113 - 45_000}
+    rows = [(i, chr(97 + i % 26) * lengths.get(i, 4500 + i)) for i in range(100, 126)]
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    pq.write_table(table, f"{folder}/documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["e17_mixed_image"])
+def test_mixed_image_behind_a_cut_off_picture(spark, behind_a_cut_off_picture, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{behind_a_cut_off_picture}/documents.parquet'")
+    same_rows(registry.QUERIES[name](spark, behind_a_cut_off_picture), con.sql(registry.ORACLES[name]))
+
+
 def test_extract_and_stats(spark, tmp_path):
     jpeg, png = tiny_jpeg(30, 20, body=noise(9000)), tiny_png(noise(7000, 2))
     path = image(tmp_path, b"\x00" * 100, jpeg, b"\x00" * 77, png, jpeg[:-2], b"\x00" * 10)
