@@ -139,7 +139,7 @@ def behind_a_cut_off_picture(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["e17_mixed_image", "k15_apply_moves", "k5_report_items"])
+@pytest.mark.parametrize("name", ["e17_mixed_image", "k15_apply_moves", "k5_report_items", "s15_extracted_films"])
 def test_mixed_image_behind_a_cut_off_picture(spark, behind_a_cut_off_picture, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{behind_a_cut_off_picture}/documents.parquet'")
