@@ -22,7 +22,7 @@ from ..operators.intervals import gap_regions, greedy_nonoverlap, inside_spans
 from ..operators.ordered import running_before
 from ..parsers import find_end, images, videos
 from ..parsers.source import Source
-from ..sources.rawimage import ImageFile, clamp, input_size, located
+from ..sources.rawimage import ImageFile, clamp, input_size, located, new_file
 from ..sources.scratch import materialise
 
 #: Bytes that a tile repeats of the next one: a sync pattern needs 8 * 192.
@@ -335,7 +335,7 @@ def extract(manifest: DataFrame, image: str, folder: str) -> DataFrame:
                     target, whole = f"{root}/{rel}", hashlib.sha256()
                     fs.create_dir(os.path.dirname(target))
                     part = f"{target}.{uuid.uuid4().hex}.part"
-                    with fs.open_output_stream(part) as to:
+                    with new_file(fs, part) as to:
                         f.seek(a)
                         left = z - a
                         while left > 0 and (piece := f.read(min(left, 4 * dims.MIB))):

@@ -46,9 +46,12 @@ def lay_out(spark: SparkSession, sf_dir: str) -> str:
 
 
 def lay_in_order(spark: SparkSession, pieces: DataFrame, order: str) -> str:
-    """The path of an image in which pieces (order, data) follow one another. Places are a running sum of lengths, so only lengths are put in order."""
-    pieces = materialise(pieces.withColumn("n", F.octet_length("data").cast("long")))  # so that lengths are read without the data
-    at = materialise(running_before(pieces.select(order, "n"), [], [order], {"place": (F.col("n"), "sum")}))
+    """The path of an image in which pieces (order, data) follow one another. Places are a running sum of lengths, so only lengths are put in order.
+
+    The data is made twice, for its lengths and for the image, and written once: of large images no other copy lies on disk.
+    """
+    lengths = materialise(pieces.select(order, F.octet_length("data").cast("long").alias("n")))
+    at = materialise(running_before(lengths, [], [order], {"place": (F.col("n"), "sum")}))
     rows, size = at.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     places = at.select(order, "place")
     return write_parts(pieces.join(F.broadcast(places) if rows <= SENT_ROWS else places, order).select("place", "data"), size, new_folder(spark, "images"))

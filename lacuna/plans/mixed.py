@@ -12,7 +12,7 @@ from .. import dims
 from ..operators.ordered import running_before
 from ..sources import manifest as M
 from ..sources.reports import read_report, with_presence, write_report
-from ..sources.scratch import materialise, new_folder
+from ..sources.scratch import drop_folder, materialise, new_folder
 from . import carve as C
 from . import classify
 from .imaged import LEAST, lay_in_order
@@ -224,7 +224,9 @@ def file_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e17_mixed_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of the mixed image: format, bucket, extent, name and, of pictures, how far the last film's start is."""
-    found = C.carve(spark, lay_out_mixed(spark, sf_dir), C.Settings(photo_min=LEAST), image_id="mixed")
+    path = lay_out_mixed(spark, sf_dir)
+    found = C.carve(spark, path, C.Settings(photo_min=LEAST), image_id="mixed")
+    drop_folder(spark, path)  # chosen files and their hashes are tables by now
     name = F.regexp_extract("path", r"^[a-z]+/[a-z_]+_\d+", 0)
     return found.select("format", "extension", "bucket", "source_offset", "source_end", "size_bytes", name.alias("name"), F.col("jpeg.width").alias("width"), F.col("jpeg.height").alias("height"), F.col("jpeg.near_video_offset_bytes").alias("behind_film"))
 

@@ -23,6 +23,11 @@ SCHEMA = "image_id string, offset bigint, length int, data binary"
 TILE, PARTITION = 4 << 20, 64 << 20
 #: Bytes of a part of a split image; the note that tells a split image's sizes.
 PART, NOTE = 4 << 20, "image.json"
+#: Codec and level of parts that get smaller by it.
+PACKED = ("zstd", 1)
+#: Bytes of a local file's blocks that aren't written where they are zeros.
+HOLE = 4096
+_ZEROS = bytes(HOLE)
 
 
 def located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -31,7 +36,7 @@ def located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 class ImageFile:
-    """A raw image to seek in and read from: a file or block device, or a folder of parts of equal size (a part that isn't there is zeros)."""
+    """A raw image to seek in and read from: a file or block device, or a folder of parts of equal size (a part that isn't there is zeros, one whose file is shorter is packed)."""
 
     def __init__(self, path: str):
         self.fs, self.root = located(path)
@@ -78,12 +83,48 @@ class ImageFile:
                 if old is not None:
                     old.close()
             name = f"{self.root}/{part_name(i)}"
-            there = self.fs.get_file_info(name).type == pyarrow.fs.FileType.File
-            self.opened[i] = self.fs.open_input_file(name) if there else None
+            info, length = self.fs.get_file_info(name), min(self.part, self.bytes - i * self.part)
+            found = self.fs.open_input_file(name) if info.type == pyarrow.fs.FileType.File else None
+            if found is not None and info.size < length:
+                with found as f:
+                    found = pa.BufferReader(pa.Codec(*PACKED).decompress(f.read(), length))
+            self.opened[i] = found
         f = self.opened[i]
         return bytes(n) if f is None else f.read_at(n, inner).ljust(n, b"\x00")
 
 
+class SparseFile:
+    """A new local file to write to from start to end: blocks of zeros are passed over, so they take no disk where the file system has holes."""
+
+    def __init__(self, path: str):
+        self.file, self.held = open(path, "wb"), b""  # noqa: SIM115
+
+    def __enter__(self) -> SparseFile:
+        return self
+
+    def __exit__(self, *error) -> None:
+        with self.file as f:
+            f.write(self.held)
+            f.truncate(f.tell())
+
+    def write(self, data: bytes) -> None:
+        """Whole blocks go to the file, what is left waits for more."""
+        data = self.held + data
+        whole, start = len(data) // HOLE * HOLE, 0
+        for at in range(0, whole, HOLE):
+            if data[at : at + HOLE] == _ZEROS:
+                self.file.write(data[start:at])
+                self.file.seek(HOLE, os.SEEK_CUR)
+                start = at + HOLE
+        self.file.write(data[start:whole])
+        self.held = data[whole:]
+
+
+def new_file(fs: pyarrow.fs.FileSystem, path: str):
+    """A new file to write to in pieces; a local one leaves zeros out (SparseFile)."""
+    return SparseFile(path) if isinstance(fs, pyarrow.fs.LocalFileSystem) else fs.open_output_stream(path)
+
+
 def part_name(i: int) -> str:
     return f"{i:010d}.part"
 
@@ -92,7 +133,7 @@ def write_parts(pieces: DataFrame, size: int, folder: str, part: int = PART) ->
     """Lays pieces (place, data) that don't overlap into an image of `size` bytes, as parts in a new folder; the folder's path. Between pieces are zeros.
 
     Pieces are cut at part borders and dealt by part, so that every part is one task's work and a piece may be larger than many. A part is written under a name of its
-    own and renamed, so repeated tasks do no harm; the note that makes the folder an image is written last.
+    own and renamed, so repeated tasks do no harm; the note that makes the folder an image is written last. A part of zeros isn't written, and a part is packed where that makes it smaller.
     """
     fs, root = located(folder)
     fs.create_dir(root)
@@ -106,12 +147,14 @@ def write_parts(pieces: DataFrame, size: int, folder: str, part: int = PART) ->
         held, now, done = bytearray(), None, []
 
         def close() -> None:
+            done.append(len(held))
+            if held.count(0) == len(held):
+                return
             name = f"{root}/{part_name(now)}"
-            part_file = f"{name}.{uuid.uuid4().hex}"
+            part_file, packed = f"{name}.{uuid.uuid4().hex}", pa.Codec(*PACKED).compress(bytes(held))
             with target.open_output_stream(part_file) as f:
-                f.write(bytes(held))
+                f.write(packed if packed.size < len(held) else bytes(held))
             target.move(part_file, name)
-            done.append(len(held))
 
         for batch in batches:
             for i, inner, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):

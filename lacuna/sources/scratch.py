@@ -44,7 +44,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that new_folder() named, once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_tables(spark: SparkSession, kind: str = "tables") -> None:
     """Delete all that materialise() wrote in this application. For use once results are written: DataFrames that rest on such tables can't be read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{kind}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(spark, f"{shared_dir(spark)}/{kind}/{spark.sparkContext.applicationId}")

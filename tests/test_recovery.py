@@ -1,5 +1,6 @@
 """Carving, classifying, cross-verifying and entropy over small images and manifests made here."""
 
+import glob
 import hashlib
 import json
 import random
@@ -20,6 +21,7 @@ from lacuna.plans import entropy as E
 from lacuna.plans.streams import tiny_avi, tiny_jpeg, tiny_png
 from lacuna.sources import manifest as M
 from lacuna.sources.rawimage import clamp, input_size, read_image, write_parts
+from lacuna.sources.scratch import shared_dir
 
 
 def image(tmp_path, *parts, name="disk.img"):
@@ -146,6 +148,16 @@ def test_mixed_image_behind_a_cut_off_picture(spark, behind_a_cut_off_picture, n
     same_rows(registry.QUERIES[name](spark, behind_a_cut_off_picture), con.sql(registry.ORACLES[name]))
 
 
+@pytest.mark.parametrize("name", ["e17_mixed_image"])
+def test_images_and_copies_are_dropped(spark, behind_a_cut_off_picture, name):
+    left = lambda: {f for kind in ("images", "extracted") for f in glob.glob(f"{shared_dir(spark).removeprefix('file://')}/{kind}/**", recursive=True) if f.endswith((".part", ".jpg", ".avi"))}
+    tables = lambda: {f for f in glob.glob(f"{shared_dir(spark).removeprefix('file://')}/tables/**/*.parquet", recursive=True)}
+    files, old = left(), tables()
+    registry.QUERIES[name](spark, behind_a_cut_off_picture).collect()
+    assert left() <= files
+    assert not any("data" in pq.read_schema(f).names for f in tables() - old)  # the image is the only copy of the data
+
+
 def test_extract_and_stats(spark, tmp_path):
     jpeg, png = tiny_jpeg(30, 20, body=noise(9000)), tiny_png(noise(7000, 2))
     path = image(tmp_path, b"\x00" * 100, jpeg, b"\x00" * 77, png, jpeg[:-2], b"\x00" * 10)

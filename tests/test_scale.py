@@ -106,6 +106,23 @@ def test_images_in_parts(spark, tmp_path):
     assert b"".join(bytes(x.data[: x.length]) for x in rows) == bytes(whole)
 
 
+def test_zeros_take_no_disk_in_images_and_copies(spark, tmp_path):
+    noise = random.Random(4).randbytes(50_000)
+    whole = b"x" * 300_000 + bytes(1_700_000) + noise + bytes(900_000) + b"y" * 50_000 + b"\0"
+    pieces = [(0, b"x" * 300_000), (2_000_000, noise), (2_950_000, b"y" * 50_000)]
+    path = write_parts(spark.createDataFrame(pieces, "place long, data binary"), len(whole), f"file://{tmp_path}/image", part=500_000)
+    assert sum(f.stat().st_size for f in (tmp_path / "image").iterdir()) < 60_000
+    with ImageFile(path) as f:
+        for at, n in ((0, len(whole)), (299_990, 30), (1_999_000, 60_000), (499_999, 2), (len(whole) - 3, 9)):
+            f.seek(at)
+            assert f.read(n) == whole[at : at + n]
+    told = spark.createDataFrame([("a/all", 0, len(whole)), ("a/end", 100, len(whole) - 1), ("a/zeros", 400_000, 409_000)], "path string, source_offset long, source_end long")
+    assert {r.path: (r.bytes, r.sha256) for r in C.extract(told, path, f"{tmp_path}/out").collect()}["a/all"] == (len(whole), hashlib.sha256(whole).hexdigest())
+    for r in told.collect():
+        copy = tmp_path / "out" / r.path
+        assert copy.read_bytes() == whole[r.source_offset : r.source_end] and copy.stat().st_blocks * 512 < 450_000
+
+
 def test_histograms_merge(spark, monkeypatch):
     r = random.Random(3)
     rows = [(r.choice(["hot"] * 8 + ["a", None]), r.randbytes(r.randint(0, 50)) if r.random() < 0.9 else None) for _ in range(500)]
