@@ -14,7 +14,7 @@ from ..sources import manifest as M
 from ..sources import state
 from ..sources.rawimage import input_size
 from ..sources.reports import read_report, write_report
-from ..sources.scratch import materialise, new_folder
+from ..sources.scratch import drop_folder, materialise, new_folder
 from . import carve as C
 from . import classify, crossverify, dispatch, ledger, mixed, recovery
 from .tables import table
@@ -180,6 +180,7 @@ def k15_apply_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, folder = mixed.lay_out_mixed(spark, sf_dir), f"{new_folder(spark, 'extracted')}/files"
     found = materialise(C.carve(spark, path, image_id="mixed").where("format = 'JPEG'"))
     C.extract(found, path, folder).agg(F.sum("bytes")).collect()  # one row
+    drop_folder(spark, path)
     # the scan lines of a picture are its document's text, whose number the places tell
     places = mixed.file_places(spark, sf_dir)
     items = found.join(places, found["source_offset"] == places["place"]).withColumn("present", F.lit(True))
@@ -187,7 +188,8 @@ def k15_apply_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = F.when(F.col("bucket") == "photos", "likely_still").otherwise("likely_frame")
     moves = classify.plan_moves(items.withColumn("suggested", F.when(F.col("doc_id") % 2 == 0, other).otherwise(same)), M.listing(spark, folder).select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path")))
     done = materialise(classify.apply_moves(moves, folder))
-    files = M.listing(spark, folder).select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("top"), F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("now"), "size")
+    files = materialise(M.listing(spark, folder).select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("top"), F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("now"), "size"))
+    drop_folder(spark, folder)
     at = files.join(done.select(F.when(F.col("status") == "moved", F.col("path_after")).otherwise(F.col("path")).alias("now"), F.substring_index("path", "/", 1).alias("before"), "status"), "now")
     return at.groupBy("top", "before", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
