@@ -268,10 +268,12 @@ def k5_report_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialise(C.carve(spark, path, C.Settings(photo_min=LEAST), image_id="mixed"))
     out = f"{folder}/files"
     C.extract(found.where(F.col("source_offset") % 2 == 0), path, out).agg(F.sum("bytes")).collect()  # one row
+    drop_folder(spark, path)
     M.append_json(found, f"{folder}/manifest")
     lines = M.lines(spark, f"{folder}/manifest")
     manifest = M.parse_manifest(lines).where("kind = 'valid'")
     items = materialise(with_presence(classify.classify(manifest), M.listing(spark, out), out))
+    drop_folder(spark, out)
     moves = classify.plan_moves(items).select("path", "suggested", "status", "reason", "path_after")
     told = items.select("path", "bucket", "source_offset", "present", "still", "frame", "suggested", F.array_join("reasons", ";").alias("reasons"))
     write_report(spark, classify.report(lines, told, moves, {"manifest": f"{folder}/manifest"}), f"{folder}/report")
