@@ -168,9 +168,12 @@ def s15_extracted_films(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, folder = mixed.lay_out_mixed(spark, sf_dir), f"{new_folder(spark, 'extracted')}/films"
     found = materialise(C.carve(spark, path, C.Settings(), image_id="mixed").where("format = 'AVI'"))
     C.extract(found, path, folder).agg(F.sum("bytes")).collect()  # one row
-    frames = crossverify.frames_of_files(M.listing(spark, folder, ("avi",)))
+    size = input_size(path)
+    drop_folder(spark, path)
+    frames = materialise(crossverify.frames_of_files(M.listing(spark, folder, ("avi",))).select("video", "index", "jpeg_size", "offset_in_avi"))
+    drop_folder(spark, folder)
     named = found.select(F.substring_index("path", "/", -1).alias("video"), "source_offset")
-    return frames.join(named, "video").select("source_offset", F.col("index").cast("long").alias("index"), F.lit(input_size(path)).cast("long").alias("image_bytes"), "jpeg_size", "offset_in_avi")
+    return frames.join(named, "video").select("source_offset", F.col("index").cast("long").alias("index"), F.lit(size).cast("long").alias("image_bytes"), "jpeg_size", "offset_in_avi")
 
 
 @query(f"""WITH {mixed._FILES}, b AS (SELECT *, CASE WHEN k = 3 AND film IS NOT NULL THEN 'frames' ELSE 'photos' END AS bucket FROM f WHERE nth = 1 AND k IN (0, 3) AND z >= 4096)
